@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_tree import bpe_encode
 from .common import table
+from .simhash import simhash_components
 from .token_count import count_tokens
 
 
@@ -17,13 +18,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document; see ``simhash``."""
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests; see ``bpe_tree``."""
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op8_bpe_encode)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simhash_dedup, op8_bpe_encode)}
 
 
 def oracle_sql() -> dict[str, str]:
