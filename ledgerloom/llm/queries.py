@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, topk
 from .bpe_tree import bpe_encode
 from .common import table
 from .simhash import simhash_components
@@ -23,14 +24,24 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; see ``mixing``."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests; see ``bpe_tree``."""
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector; see ``topk``."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simhash_dedup, op8_bpe_encode)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simhash_dedup, op7_source_mixing, op8_bpe_encode, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mixing": mixing.SQL, "op10_exact_topk": topk.SQL}
