@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, topk
 from .bpe_tree import bpe_encode
 from .common import table
+from .minhash import fingerprint_pairs
 from .simhash import simhash_components
 from .token_count import count_tokens
 
@@ -24,6 +25,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; see ``minhash``."""
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; see ``mixing``."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -40,7 +46,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simhash_dedup, op7_source_mixing, op8_bpe_encode, op10_exact_topk)}
+    return {f.__name__: f for f in (op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op7_source_mixing, op8_bpe_encode, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
