@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, topk
+from . import mixing, topk, toxicity
 from .bpe_tree import bpe_encode
 from .common import table
 from .minhash import fingerprint_pairs
@@ -15,6 +15,11 @@ from .simhash import simhash_components
 from .token_count import count_tokens
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; see ``toxicity``."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document; see ``token_count``."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,7 +51,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op7_source_mixing, op8_bpe_encode, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op7_source_mixing, op8_bpe_encode, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
