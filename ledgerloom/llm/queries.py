@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, topk, toxicity
+from . import mixing, quality, topk, toxicity
 from .bpe_tree import bpe_encode
 from .common import table
 from .minhash import fingerprint_pairs
@@ -45,13 +45,18 @@ def op8_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; see ``quality``."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every fiftieth vector; see ``topk``."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op7_source_mixing, op8_bpe_encode, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
