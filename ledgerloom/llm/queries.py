@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, topk, toxicity
+from . import mixing, pii, quality, topk, toxicity
 from .bpe_tree import bpe_encode
 from .common import table
 from .minhash import fingerprint_pairs
@@ -35,6 +35,11 @@ def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; see ``pii``."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; see ``mixing``."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
