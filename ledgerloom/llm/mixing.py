@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import shared_checkpoint
 
 BLOCK = 16
-SHARD = 4_000_000
+SHARD = 500_000
 MOST = 3
 SEED = 20
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, topk, toxicity
+from . import lm_score, mixing, pii, quality, topk, toxicity
 from .bpe_tree import bpe_encode
 from .common import table
 from .minhash import fingerprint_pairs
@@ -25,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document; see ``lm_score``."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document; see ``simhash``."""
     return simhash_components(table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_score, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
