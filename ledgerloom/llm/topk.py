@@ -27,8 +27,8 @@ DIM_STEP = 16
 
 
 def usable(col: Column) -> Column:
-    """Whether a vector is there and every component is present and finite."""
-    return col.isNotNull() & F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
+    """Whether a vector is there, has components, and all of them are present and finite."""
+    return (F.size(col) > 0) & F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
 
 
 def quantise(matrix: np.ndarray) -> np.ndarray:
@@ -121,7 +121,7 @@ def top_k(df: DataFrame, every: int = 50, k: int = 5, query_block: int = QUERY_B
     """(query_id, rank, vec_id, score): the k highest scores of each query, ties to the smaller id.
 
     Queries are rows whose id is divisible by ``every``; candidates all rows but those of the query's
-    own id. Vectors that are null or hold null or non-finite components, and rows of null id, take no
+    own id. Vectors that are null, empty or hold null or non-finite components, and rows of null id, take no
     part; only vectors of a query's own length are compared with it, and of repeated query ids the
     first vector in ascending order asks (repeated candidate rows each count). A query without candidates, and an empty table, give no
     rows. Other columns are not read.
@@ -167,7 +167,7 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
 SQL = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 queries AS (SELECT vec_id AS query_id, min(v) AS q FROM rows WHERE vec_id % 50 = 0 GROUP BY vec_id),
 scored AS (
   SELECT query_id, vec_id, list_inner_product(q::DOUBLE[], v::DOUBLE[])::BIGINT AS score
