@@ -81,16 +81,17 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def mix_sources(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row, or the ``keep`` columns in place of doc_id.
+def mix_sources(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row; with ``keep`` also the whole row, as ``row``.
 
     A null text has size 0 and is never taken; a null source is a source of its own; rows that repeat
     a doc_id are separate documents. No document is taken more than ``MOST`` times. An empty table
     gives no rows. Extra columns are read only if kept.
     """
-    kept = keep or ["doc_id"]
-    narrow = shared_checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))) if keep is None else docs.withColumn("size", word_count(F.col("text")))
-    totals = narrow if keep is None else shared_checkpoint(narrow.select("doc_id", "source", "size"))
+    totals = shared_checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    narrow = totals
+    if keep:
+        narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
     sources = shared_checkpoint(source_targets(totals.select("source", "size")))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
@@ -115,21 +116,24 @@ def mix_sources(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     cover = lambda a, b: F.greatest(F.lit(0), F.least(F.col("low") + size, b) - F.greatest(F.col("low"), a))
     part = cover(F.col("start"), F.least(F.col("stop"), z)) + cover(F.lit(0), F.col("stop") - z)
     taken = F.least(MOST * size, F.col("rounds") * size + part).cast("long")
-    return rows.select(*kept, "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *["row"] * keep)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies, and the first words of a document taken in part."""
-    rows = mix_sources(docs, keep=docs.columns)
+    rows = mix_sources(docs, keep=True)
     full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = F.col("taken") - full * F.col("size")
     pieces = F.concat(F.array_repeat(F.col("size"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_words", F.explode(pieces))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("size"), head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("words", F.explode(pieces))
+    part = F.col("words") < F.col("size")
+    head = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    rows = rows.withColumn("head", F.when(part, head))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out["text"] = F.when(part, F.col("head")).otherwise(out["text"])
+    if "n_chars" in out:
+        out["n_chars"] = F.when(part, F.length("head").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in out.items()))
 
 
 #: The same in DuckDB's SQL.

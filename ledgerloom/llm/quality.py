@@ -143,8 +143,8 @@ def fit(sample: DataFrame) -> QualityModel:
     return QualityModel(LineModel(x, lengths, y), Isotonic().fit(out, y), share)
 
 
-def apply_model(documents: DataFrame, model: QualityModel, columns: list[str]) -> DataFrame:
-    """``columns`` of every row with its score; one pass without a shuffle."""
+def apply_model(documents: DataFrame, model: QualityModel, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of every row with its score as ``name``; one pass without a shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     out = documents.select(*columns) if "text" in columns else documents.select(*columns, "text")
 
@@ -153,10 +153,10 @@ def apply_model(documents: DataFrame, model: QualityModel, columns: list[str]) -
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in slices([], map(len, texts), 1_000_000):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(m.scores(texts[a:b]), pa.float64())], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(m.scores(texts[a:b]), pa.float64())], names=[*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-    return out.mapInArrow(run, f"{schema}, score double")
+    return out.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> DataFrame:
@@ -175,4 +175,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESH
     model = fit(labelled_sample(documents, labels, "quality", 5, 0, MOST_ROWS))
     if model.lines is None:
         return documents
-    return apply_model(documents, model, documents.columns).where(F.col("score") >= threshold).drop("score")
+    name = "score"
+    while name in documents.columns:
+        name = f"_{name}"
+    return apply_model(documents, model, documents.columns, name).where(F.col(name) >= threshold).drop(name)

@@ -86,7 +86,7 @@ def test_mixed_documents_hold_the_taken_words(spark):
     rows = [*documents(4, 120), (7, "same id again here", "a", "x")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
     mixed = M.mixed_documents(df)
-    assert mixed.columns == df.columns
+    assert mixed.columns == df.columns and {r.size for r in mixed.collect()} == {"x"}
     words = mixed.select(M.word_count(F.col("text")).alias("n")).agg(F.sum("n")).first()[0]
     assert words == M.mix_sources(df).agg(F.sum("taken")).first()[0]
     assert mixed.where(F.length("text") != F.col("n_chars")).count() == 0
