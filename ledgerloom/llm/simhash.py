@@ -17,7 +17,9 @@ one component already aren't walked any more: the components stay the same, the
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -289,21 +291,24 @@ def link_nodes(nodes: DataFrame, views: list[View], budget: int, accept: int) ->
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "u long, v long")
 
 
-def near_duplicate_components(df: DataFrame, size: int = 3, n_words: int = 1, views: list[View] | None = None, budget: int = 2, accept: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_components(df: DataFrame, size: int = 3, n_words: int = 1, views: Callable[[int], list[View]] | None = None, budget: int = 2, accept: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, s0.., component_id): the smallest id among all rows reachable through near-equal signatures.
 
+    ``views`` makes the views to search from the number of distinct signatures; without it the search is
+    complete for ``budget`` differing bits.
+
     Null and empty texts have no words: signature zero, linked like any other. Repeated ids and null
     ids keep their rows; a component's id is its smallest non-null id, null if it has none. Equal
     signatures are one node, so exact copies never multiply pairs. An empty table gives no rows; other
     columns are not read.
     """
-    views = views or exact_views(64 * n_words, budget)
     accept = budget if accept is None else accept
     rows = shared_checkpoint(fingerprint_rows(df, size, n_words, id_col, text_col))
     names = [f"s{i}" for i in range(n_words)]
     rows = rows.withColumn("node", F.col("s0") if n_words == 1 else F.xxhash64(*names))
     nodes = shared_checkpoint(rows.groupBy("node", *names).agg(F.min(id_col).alias("low")))
-    labels = connected_components(link_nodes(nodes.select("node", *names), views, budget, accept))
+    chosen = views(nodes.count()) if views else exact_views(64 * n_words, budget)
+    labels = connected_components(link_nodes(nodes.select("node", *names), chosen, budget, accept))
     own = nodes.join(labels, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = own.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = own.select("node", "root").join(lowest, "root").select("node", "component_id")
@@ -317,9 +322,21 @@ def simhash_components(df: DataFrame) -> DataFrame:
 
 
 #: The corpus stage: five-word shingles, 256 bits. Similarity (Jaccard) 0.8 means 8/9 of two equally
-#: long shingle lists in common, an angle of acos(8/9), 39 of 256 bits on average; 46 leaves room for
-#: the spread. Twelve tables of 28 bits with two errors each find 91 % of pairs at 0.8, 99.9 % at 0.9.
-STAGE = {"size": 5, "n_words": 4, "tables": 12, "table_bits": 28, "budget": 2, "accept": 46}
+#: long shingle lists in common, an angle of acos(8/9), 39 of 256 bits on average; 44 leaves room for
+#: the spread. A pair right at 44 bits is met in some table with a probability of RECALL, closer pairs
+#: with more; the bits of a table grow with the number of signatures so that a signature meets some
+#: CHANCE unrelated ones a table, and the number of tables follows.
+STAGE = {"size": 5, "n_words": 4, "budget": 2, "accept": 44}
+RECALL, CHANCE = 0.95, 16.0
+
+
+def plan_tables(nodes: int, bits: int = 256, budget: int = 2, accept: int = 44, recall: float = RECALL, chance: float = CHANCE) -> tuple[int, int]:
+    """(tables, bits of a table) for so many signatures."""
+    ball = lambda n: sum(math.comb(n, i) for i in range(budget + 1))
+    width = next(n for n in range(24, 3 * KEY_BITS) if nodes * ball(n) / 2**n <= chance)
+    p = accept / bits
+    met = sum(math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(budget + 1))
+    return math.ceil(math.log(1 - recall) / math.log(1 - met)), width
 
 
 def keep_one_per_group(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
@@ -329,7 +346,7 @@ def keep_one_per_group(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFr
     repeat a kept doc_id are reduced to one. The ids to drop are broadcast only when counted to be
     at most ``broadcast_rows``; else both sides are shuffled.
     """
-    views = sampled_views(64 * STAGE["n_words"], STAGE["tables"], STAGE["table_bits"], STAGE["budget"])
+    views = lambda n: sampled_views(64 * STAGE["n_words"], *plan_tables(n), STAGE["budget"])
     found = shared_checkpoint(near_duplicate_components(docs, STAGE["size"], STAGE["n_words"], views, STAGE["budget"], STAGE["accept"]).select("doc_id", "component_id"))
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")

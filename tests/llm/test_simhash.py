@@ -104,3 +104,18 @@ def test_views_cover_the_budget(budget):
     for _ in range(300):
         flipped = set(rng.sample(range(64), budget))
         assert any(not flipped & set(v.key) for v in views)
+
+
+def test_tables_follow_the_number_of_signatures():
+    assert S.plan_tables(1)[1] == 24
+    small, large = S.plan_tables(10**5), S.plan_tables(10**9)
+    assert large[1] > small[1] and large[0] > small[0]
+    rng = np.random.default_rng(1)
+    views = S.sampled_views(256, *small, 2)
+    tables = [[*v.key, *v.walk] for v in views[::3]]
+    met = 0
+    for _ in range(400):
+        apart = np.zeros(256, int)
+        apart[rng.choice(256, 44, replace=False)] = 1
+        met += any(apart[t].sum() <= 2 for t in tables)
+    assert met >= 360
