@@ -569,3 +569,94 @@ def events_session(spark, sf_dir):
     e = e.withColumn("new", F.when(gap.isNull() | (gap >= 7200), 1).otherwise(0))
     e = e.withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return e.groupBy("user_id", "s").agg(F.min("t").alias("start_unix"), (F.max("t") + 7200).alias("end_unix"), F.count("*").alias("n")).drop("s")
+
+
+# ---- ingest, records and the stream ------------------------------------------------------------
+
+
+@query(f"WITH {LEDGER_SQL} SELECT product, 'n0' AS network, id, hash, ts_unix, from_addr, to_addr, value_raw::{D38} AS value_raw FROM ledger WHERE network = 'n0' AND product <> 'p4'")
+def vendor_json_normalise(spark, sf_dir):
+    """The ledger of one network written as vendor JSON, parsed with the nested schema and normalised a product; p4 isn't allowed."""
+    from ..sources.dimensions import DECIMALS
+    from ..sources.ledger import VENDOR_SCHEMA, normalise_vendor
+
+    x = derived_ledger(spark, sf_dir).where("network = 'n0'")
+    amount = tokens(F.col("value_raw"), F.col("decimals")).cast("decimal(38,18)")
+    stamp = F.concat(day_of(F.col("ts_unix")).cast("string"), F.lit("T00:00:00Z"))
+    row = F.struct("id", F.when(F.col("kind") != "mint", F.col("from_addr")).alias("from_address"), F.when(F.col("kind") != "burn", F.col("to_addr")).alias("to_address"), amount.alias("amount"), stamp.alias("timestamp"), F.col("hash").alias("transaction_hash"),
+                   F.struct(F.col("kind").alias("slug")).alias("transaction_type"), F.struct(F.concat(F.lit("0xTOK"), "product").alias("address"), "decimals").alias("token"))
+    parsed = x.select(F.from_json(F.to_json(row), VENDOR_SCHEMA).alias("r")).select("r.*")
+    parts = [normalise_vendor(parsed.where(F.col("token.address") == f"0xTOK{p}"), p, "n0", DECIMALS[p], ["0xtokp0", "0xtokp1", "0xtokp2", "0xtokp3"]) for p in ("p0", "p1", "p2", "p3", "p4")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("SELECT lower('0xTok' || p_partkey) AS address, (p_size % 3)::INT AS network_id, 6 AS decimals, p_retailprice AS supply FROM part WHERE p_partkey % 4 <> 0")
+def asset_supply_explode(spark, sf_dir):
+    """Nested supply pages built from the part table, read back through the schema; tokens without a supply are left out."""
+    from ..sources.ledger import SUPPLY_SCHEMA, explode_supply
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    supply_of = F.when(F.col("p_partkey") % 4 != 0, F.struct(F.col("p_retailprice").alias("val")))
+    token = F.struct(F.concat(F.lit("0xTok"), F.col("p_partkey")).alias("address"), F.lit(6).alias("decimals"), (F.col("p_size") % 3).cast("int").alias("network_id"), F.lit("n").alias("network_name"), supply_of.alias("total_supply_token"))
+    pages = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.collect_list(token).alias("tokens")).select(F.to_json(F.struct(F.array(F.struct("tokens")).alias("results"))).alias("j"))
+    return explode_supply(pages.select(F.from_json("j", SUPPLY_SCHEMA).alias("r")).select("r.*"))
+
+
+@query(f"WITH {LEDGER_SQL}, {_CALENDAR_SQL} SELECT month_end::VARCHAR AS month_end FROM months WHERE month(month_end) IN (1, 4, 7, 10)")
+def quarter_ticks(spark, sf_dir):
+    """Month-ends that a chart labels."""
+    x = index.month_calendar(derived_ledger(spark, sf_dir))
+    return x.where(F.month("month_end").isin(1, 4, 7, 10)).select(_day())
+
+
+@query(f"WITH {LEDGER_SQL} SELECT product, network, min(DATE '1970-01-01' + (ts_unix // {DAY})::INT)::VARCHAR AS first_day FROM ledger GROUP BY product, network")
+def earliest_transfer_day(spark, sf_dir):
+    from ..sources.ledger import earliest_day
+
+    return earliest_day(derived_ledger(spark, sf_dir))
+
+
+@query(f"""WITH {LEDGER_SQL}, who AS (SELECT from_addr AS address FROM ledger UNION SELECT to_addr FROM ledger), known AS (SELECT * FROM (VALUES {_ADDRESSES_SQL}) AS t(address, tag)), contracts AS (SELECT 's' || s_suppkey AS address, s_name AS contract_name FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT address, coalesce(tag, contract_name) AS name_tag, CASE WHEN tag IS NOT NULL THEN 'known' WHEN contract_name IS NOT NULL THEN 'contract' END AS tag_source FROM who LEFT JOIN known USING (address) LEFT JOIN contracts USING (address)""")
+def name_tag_lookup(spark, sf_dir):
+    """Every address of the ledger against the known ones and contract names."""
+    from ..sources.dimensions import known_addresses, name_tags
+
+    x = derived_ledger(spark, sf_dir)
+    who = x.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).distinct()
+    contracts = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("address"), F.col("s_name").alias("contract_name"))
+    return name_tags(who, known_addresses(spark), contracts)
+
+
+@query(f"""WITH {_TOP_SQL}, seen AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY ts_unix DESC, id) AS n FROM ledger), {PRODUCTS_SQL},
+big AS (SELECT s.product, count(*) AS c FROM seen s JOIN products p ON p.product = s.product WHERE n <= 200 AND s.value_raw::DOUBLE / pow(10, p.decimals) > 30.0 / nav_usd GROUP BY s.product)
+SELECT r.product, count(*) AS holder_count, max(address) FILTER (rank = 1) AS largest, least(10, any_value(coalesce(c, 0))) AS large_transfers FROM ranked r LEFT JOIN big USING (product) GROUP BY r.product""")
+def fund_record(spark, sf_dir):
+    """One record a product; the arrays of the record are reduced to what SQL shows."""
+    p = products(spark)
+    held = replay.balances(ledger_at(spark, sf_dir), ("product",))
+    stats = behaviour.stats(wallets_at(spark, sf_dir, keys=("product",)), NOW, ["product"])
+    large = views.recent_large_transfers(derived_ledger(spark, sf_dir), p, 30.0)
+    x = views.fund_records(p, stats, _latest_aum(spark, sf_dir), holders.top_holders(held, 10, ["product"]), large)
+    return x.select("product", "holder_count", F.col("top_holders")[0]["address"].alias("largest"), F.coalesce(F.size("large_transfers"), F.lit(0)).cast("long").alias("large_transfers"))
+
+
+@query(f"WITH {LEDGER_SQL}, {LEGS_SQL} SELECT product, network, address, sum(amount)::{D38} AS balance, min(ts_unix) FILTER (is_in) AS first_receipt FROM legs GROUP BY product, network, address")
+def stream_incremental_state(spark, sf_dir):
+    """The ledger streamed in three files through the versioned store; the SQL replays it at once."""
+    import uuid
+
+    from ..sources.ledger import LEDGER_SCHEMA
+    from ..sources.paged import shared_folder
+    from ..sources.store import VersionedStore
+    from ..streaming.streams import ledger_stream, maintain_state
+
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = derived_ledger(spark, sf_dir).select([f.name for f in LEDGER_SCHEMA.fields])
+    rows.repartition(3).write.parquet(f"{base}/in")
+    store = VersionedStore(spark, f"{base}/store")
+    maintain_state(ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA, 1), store, f"{base}/checkpoint").awaitTermination()
+    return store.read("state").select(*PN, "address", "balance", "first_receipt")
