@@ -41,29 +41,29 @@ def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame,
 
     Nothing is replayed a month: legs are summed to (product, address, month), a running sum gives the
     balance from each change to the next, and only positive balances are stretched over their months.
-    Trailing windows are turned round: a transfer is assigned to the few month-ends that look back at it,
-    an equi group-by in place of a range join. Shuffles: one by (product, address), one by (product, month).
+    The running last outbound time tells who moved within a trailing window; for volumes a transfer is
+    assigned to the few month-ends that look back at it, an equi group-by in place of a range join. Shuffles: one by (product, address), one by (product, month).
     """
     bounds = calendar.agg(F.min("month").alias("first"), F.max("month").alias("last"))
     last = F.broadcast(bounds.select("last"))
     leg = legs(ledger, ("product",)).withColumn("month", month_number(day_of(F.col("ts_unix"))))
-    change = leg.groupBy("product", "address", "month").agg(F.sum("amount").cast(RAW).alias("net"))
+    change = leg.groupBy("product", "address", "month").agg(F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"))
     w = Window.partitionBy("product", "address").orderBy("month")
-    held = change.withColumn("balance", F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast(RAW)).withColumn("next", F.lead("month").over(w))
-    held = held.join(last).withColumn("until", F.coalesce(F.col("next") - 1, F.col("last"))).where("balance > 0 and until >= month")
-    held = held.withColumn("until", F.least("until", "last")).where("until >= month")
-    monthly = held.select("product", "address", F.explode(F.sequence("month", "until")).alias("month"), "balance")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    held = change.withColumns({"balance": F.sum("net").over(so_far).cast(RAW), "last_out": F.max("out_ts").over(so_far), "next": F.lead("month").over(w)})
+    held = held.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last"))).where("balance > 0 and until >= month")
+    monthly = held.select("product", "address", F.explode(F.sequence("month", "until")).alias("month"), "balance", "last_out")
+    # every outbound row makes a change, so the last one before a month-end is that of the change in force
+    monthly = monthly.withColumn("moved", F.coalesce(F.col("last_out") >= month_end_unix(F.col("month")) - DAYS_90, F.lit(False)))
 
     def looked_at(days: int, months: int) -> Column:
         own = month_number(day_of(F.col("ts_unix")))
         some = F.sequence(own, own + months)
         return F.filter(some, lambda m: month_end_unix(m) - days <= F.col("ts_unix"))
 
-    out = leg.where(~F.col("is_in")).select("product", "address", F.explode(looked_at(DAYS_90, 4)).alias("month")).distinct().withColumn("moved", F.lit(True))
-    monthly = monthly.join(out, ["product", "address", "month"], "left")
     top = Window.partitionBy("product", "month").orderBy(F.desc("balance"), "address")
     five = monthly.withColumn("_r", F.row_number().over(top)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
-    sums = monthly.groupBy("product", "month").agg(F.count("*").alias("holder_count"), F.sum("balance").cast(RAW).alias("total"), F.coalesce(F.sum(F.when(F.col("moved").isNull(), F.col("balance"))), F.lit(0)).cast(RAW).alias("dormant"))
+    sums = monthly.groupBy("product", "month").agg(F.count("*").alias("holder_count"), F.sum("balance").cast(RAW).alias("total"), F.coalesce(F.sum(F.when(~F.col("moved"), F.col("balance"))), F.lit(0)).cast(RAW).alias("dormant"))
     between = ledger.where((F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO))
     volume = between.select("product", "value_raw", F.explode(looked_at(DAYS_30, 1)).alias("month")).groupBy("product", "month").agg(F.sum("value_raw").cast(RAW).alias("volume_raw"))
 
