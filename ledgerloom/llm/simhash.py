@@ -13,6 +13,9 @@ groups that share 35 of 64 bits). Rows of one view and key meet in one task; onl
 forest leave it, so a dense group of copies costs no quadratic output. Inside a task, neighbours in
 trie order and each large group's centre are linked first, and node pairs whose members are all in
 one component already aren't walked any more: the components stay the same, the work near linear.
+
+The corpus stage takes what this search links only as candidates: ``verified_components`` splits each
+candidate group by the exact Jaccard similarity of its members' shingle sets.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, keyed_runs, mix, shared_checkpoint, slices, words
@@ -82,8 +85,12 @@ def signatures(texts: list[str | None], size: int, n_words: int = 1) -> np.ndarr
     """One row of ``n_words`` unsigned words a text; no words: all zero. Word 0 uses XXH64 (seed 42) as it is, the others mix it."""
     lists = [shingles(words(t), size) for t in texts]
     count = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros((len(texts), n_words), np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for x in lists for s in x), np.uint64, int(count.sum()))
+    return majorities(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for x in lists for s in x), np.uint64, int(count.sum())), count, n_words)
+
+
+def majorities(h: np.ndarray, count: np.ndarray, n_words: int) -> np.ndarray:
+    """Signatures of texts that have ``count`` of the shingle hashes each."""
+    out = np.zeros((len(count), n_words), np.uint64)
     full = np.flatnonzero(count)
     if not len(full):
         return out
@@ -321,13 +328,16 @@ def simhash_components(df: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("s0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The corpus stage: five-word shingles, 256 bits. Similarity (Jaccard) 0.8 means 8/9 of two equally
-#: long shingle lists in common, an angle of acos(8/9), 39 of 256 bits on average; 44 leaves room for
-#: the spread. A pair right at 44 bits is met in some table with a probability of RECALL, closer pairs
-#: with more; the bits of a table grow with the number of signatures so that a signature meets some
-#: CHANCE unrelated ones a table, and the number of tables follows.
-STAGE = {"size": 5, "n_words": 4, "budget": 2, "accept": 44}
-RECALL, CHANCE = 0.95, 16.0
+#: The corpus stage: five-word shingles, 256 bits, groups of texts whose shingle sets have a Jaccard
+#: similarity of 0.8 or more. That means 8/9 of two equally large sets in common, an angle of
+#: acos(8/9), 39 of 256 bits on average with a spread of 6. Signatures within 56 bits are candidates; a
+#: pair at 44 bits is met in some table with a probability of RECALL, closer pairs with more; the bits
+#: of a table grow with the number of signatures so that a signature meets some CHANCE unrelated ones a
+#: table, and the number of tables follows. Only exact similarity links.
+STAGE = {"size": 5, "n_words": 4, "budget": 2, "accept": 56}
+RECALL, CHANCE = 0.99, 16.0
+#: A candidate group of at most so many shingles is compared in one task, a larger one in pairs of chunks of that size.
+CHUNK = 200_000
 
 
 def plan_tables(nodes: int, bits: int = 256, budget: int = 2, accept: int = 44, recall: float = RECALL, chance: float = CHANCE) -> tuple[int, int]:
@@ -339,6 +349,168 @@ def plan_tables(nodes: int, bits: int = 256, budget: int = 2, accept: int = 44,
     return math.ceil(math.log(1 - recall) / math.log(1 - met)), width
 
 
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    return [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in set(shingles(words(t), size))), np.uint64)) for t in texts]
+
+
+def set_rows(df: DataFrame, size: int, n_words: int) -> DataFrame:
+    """(doc_id, text_key, node, n, s0, ...) of every row: the hash, size and signature of its shingle set."""
+    names = [f"s{i}" for i in range(n_words)]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in slices([], (len(t or "") for t in texts), 1_500_000):
+                sets = shingle_sets(texts[a:b], size)
+                count = np.array([len(x) for x in sets], np.int64)
+                sig = majorities(np.concatenate(sets), count, n_words).view(np.int64)
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node), pa.array(count), *(pa.array(sig[:, i]) for i in range(n_words))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "node", "n", *names])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", text_key(), "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, n long, " + ", ".join(f"{n} long" for n in names))
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
+def alike(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of ``a`` and ``b`` members with so many in common have a Jaccard similarity of 0.8 or more."""
+    return (9 * shared >= 4 * (a + b)) & (shared > 0)
+
+
+def link_sets(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component; rows of equal label are linked, and rows of side 0 to all sets alike."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    forest = _Forest(n)
+    _, first, back = np.unique(label, return_index=True, return_inverse=True)
+    forest.unite(first[back], np.arange(n))
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    turns = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])[: len(flat)]
+    begin = np.flatnonzero(turns)
+    times = np.diff(np.append(begin, len(flat)))
+    rows = np.repeat(np.arange(n), size)[order]
+    shingle = np.empty(len(flat), np.int64)
+    shingle[order] = np.cumsum(turns) - 1
+    stop = np.cumsum(size)
+    for i in np.flatnonzero(side == 0):
+        if (forest.parent == forest.parent[0]).all():
+            break
+        own = shingle[stop[i] - size[i] : stop[i]]
+        own = own[times[own] > 1]
+        many = times[own]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[own], many)
+        hit = np.flatnonzero(alike(np.bincount(rows[at], minlength=n), size[i], size))
+        forest.unite(np.full(len(hit), i), hit)
+    return forest.parent
+
+
+def link_groups(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) between sets alike within each group of (group, side, label, node, shingles)."""
+
+    def run(batches):
+        for t in keyed_runs(batches, "group", 1):
+            group, node = t.column("group").to_numpy(), t.column("node").to_numpy()
+            side, label, data = t.column("side").to_numpy(), t.column("label").to_numpy(), t.column("shingles").to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            for a, b in zip(starts, np.append(starts[1:], len(group))):
+                low = a + link_sets([np.frombuffer(x, np.uint64) for x in data[a:b]], label[a:b], side[a:b])
+                loose = np.flatnonzero(low != np.arange(a, b))
+                if len(loose):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a + loose]), pa.array(node[low[loose]])], names=["u", "v"])
+
+    return rows.select("group", "side", "label", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(run, "u long, v long")
+
+
+def pivot_labels(rows: DataFrame) -> DataFrame:
+    """(root, node, n, label) of (root, node, n, shingles, pivot, pivot_shingles): the pivot if alike, else the node itself."""
+
+    def run(batches):
+        for batch in batches:
+            node, pivot, n = (batch.column(c).to_numpy() for c in ("node", "pivot", "n"))
+            pairs = zip(batch.column("shingles").to_pylist(), batch.column("pivot_shingles").to_pylist())
+            sets = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in pairs]
+            shared = np.array([len(np.intersect1d(a, b, True)) for a, b in sets], np.int64)
+            ok = alike(shared, n, np.array([len(b) for _, b in sets], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("n"), pa.array(np.where(ok, pivot, node))], names=["root", "node", "n", "label"])
+
+    return rows.mapInArrow(run, "root long, node long, n long, label long")
+
+
+def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast only when counted to be small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def exact_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs alike within each root of (root, node, n, copies, shingles).
+
+    A group of at most ``chunk`` shingles is one task's. Of a larger one, members alike to its pivot (the
+    text with most copies) get one label; a group of one label is settled, else its members are cut into
+    chunks and every pair of chunks is compared, but for those of one and the same label.
+    """
+    comps = sets.groupBy("root").agg(F.sum(F.col("n") + 1).alias("weight"), F.max_by("node", F.struct("copies", "node")).alias("pivot"))
+    big = shared_checkpoint(comps.where(F.col("weight") > chunk).select("root", "pivot"))
+    one = sets.join(_small(big), "root", "left_anti").select(F.col("root").alias("group"), F.lit(0).alias("side"), F.col("node").alias("label"), "node", "shingles")
+    if big.isEmpty():
+        return link_groups(one)
+    some = sets.join(_small(big), "root")
+    pivots = some.where("node = pivot").select("root", F.col("shingles").alias("pivot_shingles"))
+    labels = shared_checkpoint(pivot_labels(some.join(_small(pivots, 64), "root").select("root", "node", "n", "shingles", "pivot", "pivot_shingles")))
+    by_label = labels.groupBy("root", "label").agg(F.sum(F.col("n") + 1).alias("w"))
+    alone = F.col("w") > chunk
+    by_root = by_label.groupBy("root").agg(F.count("*").alias("labels"), F.sum(F.when(~alone, F.col("w"))).alias("rest")).where("labels > 1")
+    parts = by_label.join(by_root, "root").withColumn("parts", F.ceil(F.when(alone, F.col("w")).otherwise(F.col("rest")) / chunk))
+    parts = parts.select("root", "label", F.when(alone, F.col("label")).alias("pure"), "parts")
+    same = (F.col("l.root") == F.col("p.root")) & (F.col("l.label") == F.col("p.label"))
+    placed = labels.alias("l").join(_small(parts).alias("p"), same).select("l.root", "l.node", "l.label", "p.pure", "p.parts")
+    place = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("parts"))
+    placed = shared_checkpoint(placed.select("root", "node", "label", "pure", F.xxhash64("root", F.coalesce("pure", F.lit(0)), F.col("pure").isNull(), place).alias("chunk")))
+    chunks = placed.select("root", "chunk", "pure").distinct()
+    met = chunks.alias("a").join(chunks.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("a.chunk") <= F.col("b.chunk")))
+    met = met.where(~F.coalesce(F.col("a.pure") == F.col("b.pure"), F.lit(False))).select(F.xxhash64("a.chunk", "b.chunk").alias("group"), F.col("a.chunk").alias("c0"), F.col("b.chunk").alias("c1"))
+    ends = F.when(F.col("c0") == F.col("c1"), F.array("c0")).otherwise(F.array("c0", "c1"))
+    met = met.select("group", F.posexplode(ends).alias("side", "chunk"))
+    wide = placed.select("node", "label", "chunk").join(_small(met), "chunk").join(sets.select("node", "shingles"), "node")
+    stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return link_groups(one.unionByName(wide.select("group", "side", "label", "node", "shingles"))).unionByName(stars)
+
+
+def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node, n, s0, ...) of every row, and (node, root) of every node alike to another.
+
+    A node is a distinct shingle set, so copies never multiply pairs. Nodes near in signature are
+    candidates; components are those of pairs with an exact similarity of 0.8 or more within each
+    candidate group, whether or not the search has met the pair itself.
+    """
+    size, n_words, budget, accept = (STAGE[k] for k in ("size", "n_words", "budget", "accept"))
+    names = [f"s{i}" for i in range(n_words)]
+    rows = shared_checkpoint(set_rows(docs, size, n_words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    nodes = shared_checkpoint(rows.groupBy("node", *names).agg(first, F.count("*").alias("copies")))
+    views = sampled_views(64 * n_words, *plan_tables(nodes.count()), budget)
+    near = connected_components(link_nodes(nodes.select("node", *names), views, budget, accept))
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    wanted = shared_checkpoint(near.join(nodes, "node").select("root", "node", "copies", "first.doc_id", "first.text_key"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices([], (len(t or "") for t in texts), 1_500_000):
+                sets = shingle_sets(texts[a:b], size)
+                cols = [*(batch.column(c).slice(a, b - a) for c in ("root", "node", "copies")), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["root", "node", "copies", "n", "shingles"])
+
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_key") == F.col("x.text_key"))
+    texts = docs.select("doc_id", text_key(), "text").alias("d").join(_small(wanted).alias("x"), same).select("x.root", "x.node", "x.copies", "d.text")
+    sets = shared_checkpoint(texts.mapInArrow(run, "root long, node long, copies long, n long, shingles binary").dropDuplicates(["node"]))
+    return rows, connected_components(exact_links(sets, chunk))
+
+
 def keep_one_per_group(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each near-duplicate group; columns unchanged.
 
@@ -346,8 +518,9 @@ def keep_one_per_group(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFr
     repeat a kept doc_id are reduced to one. The ids to drop are broadcast only when counted to be
     at most ``broadcast_rows``; else both sides are shuffled.
     """
-    views = lambda n: sampled_views(64 * STAGE["n_words"], *plan_tables(n), STAGE["budget"])
-    found = shared_checkpoint(near_duplicate_components(docs, STAGE["size"], STAGE["n_words"], views, STAGE["budget"], STAGE["accept"]).select("doc_id", "component_id"))
+    rows, labels = verified_components(docs)
+    rows = rows.join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    found = shared_checkpoint(rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"))
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     small = lambda x: F.broadcast(x) if x.count() <= broadcast_rows else x

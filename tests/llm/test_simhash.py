@@ -119,3 +119,63 @@ def test_tables_follow_the_number_of_signatures():
         apart[rng.choice(256, 44, replace=False)] = 1
         met += any(apart[t].sum() <= 2 for t in tables)
     assert met >= 360
+
+
+def brute_near(texts, size=5):
+    sets = [set(S.shingles(S.words(t), size)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_stage_verifies_candidates_by_their_shingles(spark):
+    rng = random.Random(21)
+    fresh = lambda k: " ".join(f"u{rng.getrandbits(40):x}" for _ in range(k))
+    line = "\n".join(["one line of ten words that is repeated all over"] * 100)
+    rows = [(i, f"{line}\n{fresh(60)}", "e") for i in range(6)]  # alike to 0.1 at most, close as a list of repeats
+    base = fresh(300).split()
+    for i in range(6, 30):  # similarities of 0.55 to 0.9 to one base
+        w = list(base)
+        at = rng.randrange(200)
+        n = rng.randint(12, 80)
+        w[at : at + n] = fresh(n).split()
+        rows.append((i, " ".join(w), "e"))
+    few = fresh(200)
+    rows += [(30, few, "e"), (31, "\n".join([few] * 7), "e")]
+    got = sorted(r.doc_id for r in S.keep_one_per_group(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted(set(brute_near([t for _, t, _ in rows])))
+
+
+@pytest.mark.parametrize("chunk", [1, 3000, S.CHUNK])
+def test_exact_links_are_those_of_all_pairs(spark, chunk):
+    rng = random.Random(chunk)
+    texts = []
+    for _ in range(3):
+        base = [f"u{rng.getrandbits(40):x}" for _ in range(120)]
+        for _ in range(25):
+            w = list(base)
+            n = rng.randint(1, 45)
+            at = rng.randrange(120 - n)
+            w[at : at + n] = [f"u{rng.getrandbits(40):x}" for _ in range(n)]
+            texts.append(" ".join(w))
+    sets = S.shingle_sets(texts, 5)
+    frame = spark.createDataFrame([(7 if chunk > 1 else i % 2, i, len(x), 1 + (i == 9), x.tobytes()) for i, x in enumerate(sets)], "root long, node long, n long, copies long, shingles binary")
+    want = brute_near(texts)
+    if chunk == 1:
+        for part in (0, 1):
+            for i, r in zip(range(part, len(texts), 2), brute_near(texts[part::2])):
+                want[i] = part + 2 * r
+    root = dict(enumerate(range(len(texts))))
+    for r in S.connected_components(S.exact_links(frame, chunk)).collect():
+        root[r.node] = r.root
+    assert [root[i] for i in range(len(texts))] == want
