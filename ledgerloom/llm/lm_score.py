@@ -8,9 +8,11 @@ probabilities are smoothed at run time from such reads:
 
 Counting: tasks pre-aggregate their tokens and pairs in chunks and send one packed block a chunk and
 shard, so a very frequent token is one entry a chunk; a shard (a range of hashes) sums its blocks and
-builds its own part of the filter, sized by its keys. The parts are what is collected and broadcast: at
-most ``MOST_FILTER_BYTES`` together, whatever the corpus; beyond that they keep fewer bits a key and
-their false-positive rate rises, which ``filter_stats`` reports. Exact token counts, which the base
+builds its own part of the filter, sized by its keys: ``BITS_PER_KEY`` bits a key at every size of the
+corpus, so the false-positive rate, which ``filter_stats`` reports, stays the same. Parts are collected
+and broadcast in groups of at most ``MOST_FILTER_BYTES`` (one part at least). One group is the usual
+case; else the documents are read through group after group, each filling in the levels of its own
+shards' n-grams, and only the last pass scores. Exact token counts, which the base
 score needs, are broadcast only while the counted vocabulary is at most ``MOST_WORDS``; a larger one
 stays distributed and is joined.
 """
@@ -28,6 +30,7 @@ from .common import GOLDEN, WordHashes, doc_bucket, keyed_runs, mix, partitions_
 BASE, MU = 1.5, 200.0
 BITS_PER_KEY, PROBES = 12, 8
 MOST_FILTER_BYTES = 192 << 20
+MOST_SHARD_BITS = 2**32 - 64
 MOST_WORDS = 8_000_000
 CHUNK_TOKENS = 2_000_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end of text"))  # no token holds a blank
@@ -129,7 +132,7 @@ def _places(hashes: np.ndarray, level: np.ndarray | int, size: np.ndarray | int)
 
 
 def build_filter(hashes: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[np.ndarray, int]:
-    """The bits (as bytes) for these n-grams, and the number of keys in them."""
+    """The bits (as bytes) for these n-grams, and the number of keys in them; fewer bits a key above ``most_bits``."""
     q = levels(counts)
     keys = int(q.sum())
     size = min(max(64, (BITS_PER_KEY * keys + 63) // 64 * 64), most_bits, 2**32 - 64)
@@ -147,9 +150,8 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray, most_bits: int) -> tupl
     return bits, keys
 
 
-def build_shards(blocks: DataFrame, shards: int, most_bytes: int) -> DataFrame:
+def build_shards(blocks: DataFrame, shards: int) -> DataFrame:
     """One row a shard: its vocabulary (packed), token sum, and its part of the filter."""
-    most_bits = max(64, most_bytes * 8 // shards // 64 * 64)
 
     def run(batches):
         for t in keyed_runs(batches, "shard", 1):
@@ -160,7 +162,9 @@ def build_shards(blocks: DataFrame, shards: int, most_bytes: int) -> DataFrame:
                     got = [_unpack(d) for d, x, k in zip(data, shard, kinds) if x == s and k == kind]
                     parts.append(_summed(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
                 (uni, n_uni), (pair, n_pair) = parts
-                bits, keys = build_filter(np.concatenate([uni, pair]), np.concatenate([n_uni, n_pair]), most_bits)
+                bits, keys = build_filter(np.concatenate([uni, pair]), np.concatenate([n_uni, n_pair]), MOST_SHARD_BITS)
+                if BITS_PER_KEY * keys > MOST_SHARD_BITS:
+                    raise ValueError(f"{keys} keys in one of {shards} shards: raise spark.sql.shuffle.partitions")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(s)], pa.int32()), pa.array([len(uni)], pa.int64()), pa.array([int(n_uni.sum())], pa.int64()), pa.array([keys], pa.int64()), pa.array([_pack(uni, n_uni)], pa.binary()), pa.array([bits.tobytes()], pa.binary())],
                     names=["shard", "n_words", "n_tokens", "n_keys", "words", "bits"],
@@ -174,7 +178,7 @@ def build_shards(blocks: DataFrame, shards: int, most_bytes: int) -> DataFrame:
 
 
 class LogBloom:
-    """The whole filter: shard parts one after another."""
+    """The filter, or some of its shards: parts one after another; n-grams of other shards read as level 0."""
 
     def __init__(self, parts: list[tuple[int, bytes]], shards: int, n_tokens: int, n_words: int) -> None:
         self.shards, self.n, self.v = shards, n_tokens, n_words
@@ -210,21 +214,61 @@ class LogBloom:
             level += 1
         return out
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
+    def read(self, hashes: np.ndarray) -> np.ndarray:
+        """Levels as bytes."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        return VALUE[self.level(distinct)][back]
+        return self.level(distinct).astype(np.uint8)[back]
 
-    def log10(self, flat: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of every token given the one before it."""
-        own = self.counts(flat)
+    def levels_of(self, flat: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Levels of every token and of every pair, as two columns."""
+        return np.stack([self.read(flat), self.read(pair_hashes(before, flat))], 1)
+
+    def log10(self, found: np.ndarray, flat: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 P of every token given the one before it, from the levels of both."""
+        own = VALUE[found[:, 0]]
         prior = (own + 0.5) / (self.n + 0.5 * (self.v + 1))
         context = np.roll(own, 1)
-        start = before == START
-        context[start] = VALUE[self.level(np.array([END]))][0]  # as many starts as ends
-        both = np.minimum(self.counts(pair_hashes(before, flat)), context)
+        context[before == START] = own[np.argmax(flat == END)]  # as many starts as ends
+        both = np.minimum(VALUE[found[:, 1]], context)
         return np.log10((both + MU * np.minimum(prior, 1.0)) / (context + MU))
 
 
+def groups_of(built: DataFrame, most_bytes: int) -> list[list[int]]:
+    """Shards whose parts of the filter are broadcast together: at most so many bytes, or one part."""
+    out, held = [[]], 0
+    for shard, size in built.select("shard", F.length("bits")).orderBy("shard").collect():
+        if out[-1] and held + size > most_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(shard)
+        held += size
+    return out
+
+
+def fill_levels(keyed: DataFrame, built: DataFrame, group: list[int], shards: int) -> DataFrame:
+    """``keyed`` with ``levels``: those of this group's n-grams added to what is there."""
+    context = keyed.sparkSession.sparkContext
+    shared = context.broadcast(LogBloom([(r.shard, bytes(r.bits)) for r in built.where(F.col("shard").isin(group)).select("shard", "bits").toLocalIterator()], shards, 0, 0))
+
+    def run(batches):
+        model, memo = shared.value, WordHashes()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            known = batch.column("levels").to_pylist() if "levels" in batch.schema.names else [None] * len(texts)
+            for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
+                flat, before, size = token_arrays(memo, texts[a:b])
+                found = model.levels_of(flat, before)
+                if known[a] is not None:
+                    found |= np.frombuffer(b"".join(known[a:b]), np.uint8).reshape(-1, 2)
+                data = [x.tobytes() for x in np.split(found, np.cumsum(size)[:-1])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "text_key")), pa.array(data, pa.binary())], names=["doc_id", "text", "text_key", "levels"])
+
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    out = shared_checkpoint(keyed.mapInArrow(run, f"doc_id {kind}, text string, text_key long, levels binary"))
+    shared.unpersist()
+    return out
+
+
 class Vocabulary:
     """Exact counts by hash, for vocabularies of proven size."""
 
@@ -260,10 +304,16 @@ def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_wor
     docs = df.select("doc_id", "text")
     out_of = F.coalesce(doc_bucket(F.col("doc_id"), modulus) == held_out, F.lit(False))
     shards = partitions_for(df)
-    built = build_shards(count_blocks(docs.where(~out_of), shards), shards, most_filter_bytes)
+    built = build_shards(count_blocks(docs.where(~out_of), shards), shards)
     totals = built.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     v, n = int(totals[0]), int(totals[1])
-    bloom = LogBloom([(r.shard, bytes(r.bits)) for r in built.select("shard", "bits").toLocalIterator()], shards, n, v)
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    source = keyed
+    *earlier, last = groups_of(built, most_filter_bytes)
+    for group in earlier:
+        source = fill_levels(source, built, group, shards)
+    mine = built if not earlier else built.where(F.col("shard").isin(last))
+    bloom = LogBloom([(r.shard, bytes(r.bits)) for r in mine.select("shard", "bits").toLocalIterator()], shards, n, v)
     exact = Vocabulary([bytes(r.words) for r in built.select("words").toLocalIterator()]) if v <= most_words else None
     shared = df.sparkSession.sparkContext.broadcast((bloom, exact))
     low = n + 0.5 * (v + 1)
@@ -275,22 +325,25 @@ def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_wor
         memo = WordHashes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            known = batch.column(3).to_pylist() if batch.num_columns > 3 else None
             for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
                 flat, before, size = token_arrays(memo, texts[a:b])
                 starts = np.cumsum(size) - size
-                score = np.add.reduceat(model.log10(flat, before), starts)
+                found = model.levels_of(flat, before)
+                if known is not None:
+                    found |= np.frombuffer(b"".join(known[a:b]), np.uint8).reshape(-1, 2)
+                score = np.add.reduceat(model.log10(found, flat, before), starts)
                 cols = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), pa.array(score)]
                 if vocabulary is not None:
                     c = vocabulary.of(flat)
                     cols += [pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10((c + 0.5) / low), starts))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_tokens", "score", "n_known", "base_score"][: len(cols)])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     schema = f"doc_id {kind}, text_key long, n_tokens long, score double"
     if v <= most_words:
-        scored = keyed.mapInArrow(run, schema + ", n_known long, base_score double")
+        scored = source.mapInArrow(run, schema + ", n_known long, base_score double")
     else:
-        scored = _joined(keyed.mapInArrow(run, schema), keyed, built, kind, low)
+        scored = _joined(source.mapInArrow(run, schema), keyed, built, kind, low)
     return scored.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -94,3 +94,16 @@ def test_empty_tables(spark):
     held = next(i for i in range(100) if doc_bucket_py(i, 5) == 1)
     (r,) = L.score_documents(spark.createDataFrame([(held, "only held out", "")], SCHEMA)).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 4, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("most_words", [L.MOST_WORDS, 0])
+def test_scores_and_error_rate_are_the_same_however_little_is_broadcast(spark, monkeypatch, most_words):
+    df = spark.createDataFrame(rows_of(9), SCHEMA).repartition(3)
+    whole = L.score_documents(df, most_words=most_words).collect()
+    seen, build = [], L.build_shards
+    monkeypatch.setattr(L, "build_shards", lambda *a: seen.append(build(*a)) or seen[-1])
+    got = L.score_documents(df, most_words=most_words, most_filter_bytes=64).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.score)
+    assert sorted(map(key, got)) == [(*k[:2], pytest.approx(k[2], rel=1e-12)) for k in sorted(map(key, whole))]
+    assert L.filter_stats(seen[0]).first().false_positive_rate < 0.005
+    assert len(L.groups_of(seen[0], 64)) > 1
