@@ -480,8 +480,10 @@ def exact_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return link_groups(one.unionByName(wide.select("group", "side", "label", "node", "shingles"))).unionByName(stars)
 
 
-def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, node, n, s0, ...) of every row, and (node, root) of every node alike to another.
+def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_key, node, ...) of every row, (node, first, copies, ...) of every node, and (node, root) of those alike to another.
+
+    ``first`` is the node's smallest (doc_id is null, doc_id, text_key).
 
     A node is a distinct shingle set, so copies never multiply pairs. Nodes near in signature are
     candidates; components are those of pairs with an exact similarity of 0.8 or more within each
@@ -508,25 +510,30 @@ def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame,
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_key") == F.col("x.text_key"))
     texts = docs.select("doc_id", text_key(), "text").alias("d").join(_small(wanted).alias("x"), same).select("x.root", "x.node", "x.copies", "d.text")
     sets = shared_checkpoint(texts.mapInArrow(run, "root long, node long, copies long, n long, shingles binary").dropDuplicates(["node"]))
-    return rows, connected_components(exact_links(sets, chunk))
+    return rows, nodes, connected_components(exact_links(sets, chunk))
 
 
 def keep_one_per_group(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each near-duplicate group; columns unchanged.
+    """``docs`` with one row of each near-duplicate group; columns unchanged.
 
-    Rows of null doc_id in a group with other ids go; a group of null ids only stays whole. Rows that
-    repeat a kept doc_id are reduced to one. The ids to drop are broadcast only when counted to be
-    at most ``broadcast_rows``; else both sides are shuffled.
+    The row of the smallest doc_id stays, nulls last, and of several texts of that id the one of the
+    smallest hash. Decided by row, told apart by doc_id and text: other rows of the same or of null
+    doc_id stay. Rows that repeat a kept id and text are reduced to one. What goes is broadcast only
+    when counted to be at most ``broadcast_rows``; else both sides are shuffled.
     """
-    rows, labels = verified_components(docs)
-    rows = rows.join(labels, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    found = shared_checkpoint(rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"))
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    small = lambda x: F.broadcast(x) if x.count() <= broadcast_rows else x
-    same = lambda x: F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
-    kept = docs.alias("d").join(small(drop).alias("x"), same(drop), "left_anti")
+    rows, nodes, labels = verified_components(docs)
+    own = nodes.join(labels, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+    groups = own.groupBy("root").agg(F.min("first").alias("keep"), F.sum("copies").alias("rows")).where("rows > 1")
+    of_node = own.join(groups, "root").select("node", "keep")
+    mine = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_key") == F.col("keep.text_key"))
+    found = rows.join(_small(of_node, broadcast_rows), "node").select("doc_id", "text_key", mine.alias("mine"))
+    found = shared_checkpoint(found.groupBy("doc_id", "text_key", "mine").agg(F.count("*").alias("n")))
+    drop, again = found.where("not mine").select("doc_id", "text_key"), found.where("mine and n > 1").select("doc_id", "text_key")
+    key = F.xxhash64(F.coalesce("d.text", F.lit("")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (key == F.col("x.text_key"))
+    kept = docs.alias("d").join(_small(drop, broadcast_rows).alias("x"), same, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.alias("d").join(again.alias("x"), same(again), "left_semi").dropDuplicates(["doc_id"])
-    return kept.alias("d").join(small(again).alias("x"), same(again), "left_anti").unionByName(once)
+    again = _small(again, broadcast_rows)
+    once = kept.alias("d").join(again.alias("x"), same, "left_semi").select(F.col("d.doc_id"), text_key(), F.struct(*docs.columns).alias("row"))
+    return kept.alias("d").join(again.alias("x"), same, "left_anti").unionByName(once.dropDuplicates(["doc_id", "text_key"]).select("row.*"))

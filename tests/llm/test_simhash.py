@@ -179,3 +179,16 @@ def test_exact_links_are_those_of_all_pairs(spark, chunk):
     for r in S.connected_components(S.exact_links(frame, chunk)).collect():
         root[r.node] = r.root
     assert [root[i] for i in range(len(texts))] == want
+
+
+def test_stage_decides_by_row_where_ids_are_null_or_repeat(spark):
+    rng = random.Random(31)
+    text = [" ".join(f"u{rng.getrandbits(40):x}" for _ in range(80)) for _ in range(8)]
+    rows = [(3, text[0], "a"), (7, text[0], "b"), (7, text[1], "c")]  # 7 goes with one text, stays with the other
+    rows += [(None, text[0], "d"), (None, text[2], "e"), (None, text[3], "f")]  # one copy, two of their own
+    rows += [(9, text[4], "g"), (9, text[5], "h")]  # two texts of one id
+    rows += [(None, text[6], "i"), (None, text[6], "i"), (None, text[6] + " more", "j")]  # null ids only: one stays
+    rows += [(11, text[7], "k"), (11, text[7], "k"), (12, None, "l"), (12, "", "l")]
+    got = S.keep_one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    stay = sorted(r.extra for r in got)
+    assert [x for x in stay if x not in "ij"] == ["a", "c", "e", "f", "g", "h", "k", "l"] and len(stay) == 9
