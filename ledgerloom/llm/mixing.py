@@ -82,7 +82,8 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row; with ``keep`` also the whole row, as ``row``.
+    """(doc_id, size, source_size, target, taken) for every row; with ``keep`` also the whole row, as ``row``,
+    and ``pieces``: the (from, to) word numbers of each piece taken, whole copies first; no word is in two partial ones.
 
     A null text has size 0 and is never taken; a null source is a source of its own; rows that repeat
     a doc_id are separate documents. No document is taken more than ``MOST`` times. An empty table
@@ -116,23 +117,27 @@ def mix_sources(docs: DataFrame, keep: bool = False) -> DataFrame:
     cover = lambda a, b: F.greatest(F.lit(0), F.least(F.col("low") + size, b) - F.greatest(F.col("low"), a))
     part = cover(F.col("start"), F.least(F.col("stop"), z)) + cover(F.lit(0), F.col("stop") - z)
     taken = F.least(MOST * size, F.col("rounds") * size + part).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *["row"] * keep)
+    piece = lambda a, b: F.struct(a.cast("long").alias("from"), b.cast("long").alias("to"))
+    ends = [(F.col("start"), F.least(F.col("stop"), z)), (F.lit(0), F.col("stop") - z)]
+    parts = F.array(*(piece(F.greatest(F.lit(0), a - F.col("low")), F.least(size, b - F.col("low"))) for a, b in ends))
+    parts = F.filter(parts, lambda x: x["to"] > x["from"])
+    whole = F.array_repeat(piece(F.lit(0), size), F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int"))
+    pieces = F.concat(whole, F.when((size > 0) & (taken % F.greatest(size, F.lit(1)) > 0), parts).otherwise(F.slice(parts, 1, 0)))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row", pieces.alias("pieces")] if keep else []))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: whole copies, and the first words of a document taken in part."""
-    rows = mix_sources(docs, keep=True)
-    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    rest = F.col("taken") - full * F.col("size")
-    pieces = F.concat(F.array_repeat(F.col("size"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("words", F.explode(pieces))
-    part = F.col("words") < F.col("size")
-    head = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
-    rows = rows.withColumn("head", F.when(part, head))
+    """The mix itself, with the columns of ``docs``: whole copies, and of a document taken in part the very words taken."""
+    rows = mix_sources(docs, keep=True).withColumn("piece", F.explode("pieces"))
+    words = F.col("piece.to") - F.col("piece.from")
+    part = words < F.col("size")
+    found = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(found, (F.col("piece.from") + 1).cast("int"), words.cast("int")), "")
+    rows = rows.withColumn("cut", F.when(part, cut))
     out = {c: F.col("row").getField(c) for c in docs.columns}
-    out["text"] = F.when(part, F.col("head")).otherwise(out["text"])
+    out["text"] = F.when(part, F.col("cut")).otherwise(out["text"])
     if "n_chars" in out:
-        out["n_chars"] = F.when(part, F.length("head").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+        out["n_chars"] = F.when(part, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
     return rows.select(*(v.alias(c) for c, v in out.items()))
 
 

@@ -1,6 +1,7 @@
+import hashlib
 import heapq
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
@@ -96,3 +97,21 @@ def test_empty_and_wordless(spark):
     assert M.mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
     got = M.mix_sources(spark.createDataFrame([(1, None, None, ""), (None, " ", "a", "")], SCHEMA)).collect()
     assert {(r.doc_id, r.size, r.target, r.taken) for r in got} == {(1, 0, 0.0, 0), (None, 0, 0.0, 0)}
+
+
+def test_mixed_documents_hold_the_very_words_of_the_run(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(rng.choice([1, 30, 300, 2000]))), rng.choice("abc"), "x") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = [(r.source, r.text.split()) for r in M.mixed_documents(df).collect()]
+    taken, tails = {r.source: r.n for r in M.mix_sources(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("n")).collect()}, 0
+    md5 = lambda *x: hashlib.md5("|".join(map(str, (M.SEED, *x))).encode()).hexdigest()
+    for s, n in taken.items():
+        line = [w for i, t, x, _ in sorted(rows, key=lambda r: md5(r[0])) if x == s for w in t.split()]
+        z = len(line)
+        start = int(md5(s, 0)[:8], 16) % -(-z // M.BLOCK) * M.BLOCK
+        want = Counter({w: n // z for w in line})
+        want.update((line + line)[start : start + n % z])
+        assert Counter(w for x, t in texts if x == s for w in t) == want
+        tails += sum(not t[0].endswith(".0") for x, t in texts if x == s)
+    assert tails
