@@ -155,7 +155,7 @@ class TrieJoin:
     """Self-join of one view's rows, sorted by (key, walk code); joins only within a key."""
 
     #: Node pairs of at most so many member pairs are checked directly; so many are checked at once.
-    SMALL, AT_ONCE = 16, 1 << 20
+    SMALL, AT_ONCE = 16, 1 << 18
 
     def __init__(self, key: np.ndarray, code: np.ndarray, width: int, sig: np.ndarray, local: np.ndarray, forest: _Forest, budget: int, accept: int) -> None:
         self.key, self.code, self.width, self.sig, self.local, self.forest, self.budget, self.accept = key, code, width, sig, local, forest, budget, accept
@@ -447,9 +447,37 @@ def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 
 def exact_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) of ``exact_parts``, together."""
+    one, rest = exact_parts(sets, chunk)
+    return one if rest is None else one.unionByName(rest)
+
+
+def few_components(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """(node, root) as by ``connected_components``, in one task when counted to be at most ``most`` edges."""
+    edges = shared_checkpoint(edges)
+    if edges.count() > most:
+        return connected_components(edges)
+
+    def run(batches):
+        t = pa.Table.from_batches(batches)
+        u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        forest = _Forest(len(ids))
+        forest.unite(at[: len(u)], at[len(u) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[forest.parent])], names=["node", "root"])
+
+    def some(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from run(held)
+
+    return edges.coalesce(1).mapInArrow(some, "node long, root long")
+
+
+def exact_parts(sets: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None]:
     """Edges (u, v) whose components are those of all pairs alike within each root of (root, node, n, copies, shingles).
 
-    A group of at most ``chunk`` shingles is one task's. Of a larger one, members alike to its pivot (the
+    The first part is that of groups of at most ``chunk`` shingles, one task's each: v is the root of u. Of a larger one, members alike to its pivot (the
     text with most copies) get one label; a group of one label is settled, else its members are cut into
     chunks and every pair of chunks is compared, but for those of one and the same label.
     """
@@ -457,7 +485,7 @@ def exact_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     big = shared_checkpoint(comps.where(F.col("weight") > chunk).select("root", "pivot"))
     one = sets.join(_small(big), "root", "left_anti").select(F.col("root").alias("group"), F.lit(0).alias("side"), F.col("node").alias("label"), "node", "shingles")
     if big.isEmpty():
-        return link_groups(one)
+        return link_groups(one), None
     some = sets.join(_small(big), "root")
     pivots = some.where("node = pivot").select("root", F.col("shingles").alias("pivot_shingles"))
     labels = shared_checkpoint(pivot_labels(some.join(_small(pivots, 64), "root").select("root", "node", "n", "shingles", "pivot", "pivot_shingles")))
@@ -477,7 +505,7 @@ def exact_links(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
     met = met.select("group", F.posexplode(ends).alias("side", "chunk"))
     wide = placed.select("node", "label", "chunk").join(_small(met), "chunk").join(sets.select("node", "shingles"), "node")
     stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
-    return link_groups(one.unionByName(wide.select("group", "side", "label", "node", "shingles"))).unionByName(stars)
+    return link_groups(one), link_groups(wide).unionByName(stars)
 
 
 def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -510,7 +538,9 @@ def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame,
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_key") == F.col("x.text_key"))
     texts = docs.select("doc_id", text_key(), "text").alias("d").join(_small(wanted).alias("x"), same).select("x.root", "x.node", "x.copies", "d.text")
     sets = shared_checkpoint(texts.mapInArrow(run, "root long, node long, copies long, n long, shingles binary").dropDuplicates(["node"]))
-    return rows, nodes, connected_components(exact_links(sets, chunk))
+    one, rest = exact_parts(sets, chunk)
+    labels = one.toDF("node", "root")
+    return rows, nodes, shared_checkpoint(labels if rest is None else labels.unionByName(few_components(rest)))
 
 
 def keep_one_per_group(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
