@@ -1,15 +1,20 @@
 """Document fingerprints by one-permutation MinHash.
 
 Every five-word shingle is hashed once; the top bits of the hash name one of ``BINS`` bins, the rest is
-its value, and a bin keeps its smallest. An empty bin borrows by optimal densification: it draws bins
-from a fixed two-universal sequence of (bin, attempt) until one is filled, independent of what its
-neighbours hold. Of each bin ``BITS`` low-order bits are stored, two bins a byte. Two fingerprints
-agree in a bin with probability J + (1 - J) / 2**BITS; the estimate solves that for J.
+its value, and a bin keeps its smallest. An empty bin borrows by optimal densification: it asks the
+others in a fixed seeded order of its own until one is filled, independent of what its neighbours
+hold; that order names every bin, so some filled one is always met. Of each bin ``BITS`` low-order bits
+of its value mixed with the bin's number are stored, two bins a byte: bins that borrowed one value
+store different bits, so they agree by chance independently. Two fingerprints agree in a bin with
+probability J + (1 - J) / 2**BITS; the estimate solves that for J. Its variance is that of ``BINS``
+bins for texts of many shingles, and of as many bins as the union has shingles for shorter ones: with
+few shingles J itself is coarse, while the chance part stays that of ``BINS`` bins.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +45,29 @@ def shingle_arrays(hashes: list[np.ndarray], size: int = SHINGLE) -> tuple[np.nd
     return grams, owner
 
 
+def _orders(bins: int) -> np.ndarray:
+    """For each bin, all bins in the order in which it asks them."""
+    number = np.arange(bins, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return np.argsort(mix(mix((number + np.uint64(1)) * GOLDEN)[:, None] + (number + np.uint64(1)) * GOLDEN), axis=1).astype(np.int64)
+
+
+ORDERS = _orders(BINS)
+_BIN_SALT = mix(mix(np.arange(1, BINS + 1, dtype=np.uint64)))
+
+
 def densify(values: np.ndarray) -> np.ndarray:
     """Fill empty bins of the rows that have any value; rows without one stay empty."""
     empty = values == _FREE
     row, bin_ = np.nonzero(empty & ~empty.all(1)[:, None])
-    attempt = 0
     source = values.copy()
-    while len(row):
-        with np.errstate(over="ignore"):
-            drawn = (mix(bin_.astype(np.uint64) * GOLDEN + np.uint64(attempt + 1)) >> np.uint64(40)).astype(np.int64) % values.shape[1]
-        got = source[row, drawn]
+    for attempt in range(BINS):
+        if not len(row):
+            break
+        got = source[row, ORDERS[bin_, attempt]]
         hit = got != _FREE
         values[row[hit], bin_[hit]] = got[hit]
         row, bin_ = row[~hit], bin_[~hit]
-        attempt += 1
-        if attempt == 4096:  # next filled bin to the right, for what is left
-            for r, b in zip(row, bin_):
-                filled = np.flatnonzero(source[r] != _FREE)
-                values[r, b] = source[r, filled[np.searchsorted(filled, b) % len(filled)]]
-            break
     return values
 
 
@@ -70,7 +79,7 @@ def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     bin_ = (grams >> np.uint64(64 - width)).astype(np.int64)
     np.minimum.at(values, owner * BINS + bin_, grams & np.uint64(2 ** (64 - width) - 1))
     values = densify(values.reshape(-1, BINS))
-    low = (mix(values) & np.uint64(2**BITS - 1)).astype(np.uint8)
+    low = (mix(values ^ _BIN_SALT) & np.uint64(2**BITS - 1)).astype(np.uint8)
     low[(values == _FREE).all(1)] = 0
     return low
 
@@ -105,29 +114,35 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def beside_next(df: DataFrame, partitions: int) -> DataFrame:
-    """(bucket, extra, k, doc_id, text) so that every bucket, sorted, ends with a copy of what follows its last row.
+    """(bucket, extra, k, h, doc_id, text) so that every bucket, sorted, ends with a copy of what follows its last row.
 
-    Buckets are id ranges; only each bucket's largest id is collected (one number a bucket). The copy
-    of the first row overall follows the last one. Null ids sort last.
+    Rows stand in descending order of (k, h, text): k is the id, null ids last, and h the text's hash.
+    Buckets are ranges of (k, h), so an id that many rows share is cut between its texts; only rows of
+    one id and one text keep together. Each bucket's first place (two numbers a bucket) is collected.
+    The copy of the first row overall follows the last one.
     """
     spark = df.sparkSession
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = df.select("doc_id", "text", k.alias("k"))
+    rows = df.select("doc_id", "text", k.alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     wanted = [i / partitions for i in range(1, partitions)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("k", wanted, 10_000)).first()[0] or [])) if wanted else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    highest = sorted((r.bucket, r.k) for r in rows.groupBy("bucket").agg(F.max("k").alias("k")).collect())
+    ids = Counter(rows.agg(F.percentile_approx("k", wanted, 10_000)).first()[0] or []) if wanted else Counter()
+    bounds = [(i, -(2**63) + j * 2**64 // n) for i, n in sorted(ids.items()) for j in range(n)]
+    at = F.struct("k", "h")
+    bucket = F.lit(0)
+    if bounds:
+        listed = F.split(F.lit(",".join(f"{i}:{h}" for i, h in bounds)), ",")  # folded to one constant, however many
+        half = lambda b, n: F.split_part(b, F.lit(":"), F.lit(n)).cast("long")
+        reached = F.transform(listed, lambda b: F.struct(half(b, 1).alias("k"), half(b, 2).alias("h")))
+        bucket = F.size(F.filter(reached, lambda b: b <= at))
+    rows = rows.withColumn("bucket", bucket.cast("int"))
+    highest = sorted((r.bucket, tuple(r.at)) for r in rows.groupBy("bucket").agg(F.max(at).alias("at")).collect())
     if not highest:
-        return rows.select("bucket", F.lit(0).alias("extra"), "k", "doc_id", "text")
-    copies: dict[int, list] = {}
-    for (_, low), (above, _) in zip(highest, highest[1:]):
-        copies.setdefault(low, []).append((above, 1))
-    copies.setdefault(highest[-1][1], []).append((highest[0][0], 2))
-    extra = spark.createDataFrame(list(copies.items()), "k long, also array<struct<bucket:int,extra:int>>")
-    both = rows.join(F.broadcast(extra), "k", "left")
-    own = F.array(F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("extra")))
-    return both.withColumn("at", F.explode(F.when(F.col("also").isNull(), own).otherwise(F.concat(own, F.col("also"))))).select("at.bucket", "at.extra", "k", "doc_id", "text")
+        return rows.select("bucket", F.lit(0).alias("extra"), "k", "h", "doc_id", "text")
+    following = [(low, above, 1) for (_, low), (above, _) in zip(highest, highest[1:])] + [(highest[-1][1], highest[0][0], 2)]
+    extra = spark.createDataFrame([(*place, to, rank) for place, to, rank in following], "k long, h long, to int, extra int")
+    first = rows.join(F.broadcast(extra), ["k", "h"]).groupBy("to", "extra", "k", "h").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("key"), "doc_id", "text")).alias("r"))
+    copies = first.select(F.col("to").alias("bucket"), "extra", "k", "h", "r.doc_id", "r.text")
+    return rows.select("bucket", F.lit(0).alias("extra"), "k", "h", "doc_id", "text").unionByName(copies)
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -142,10 +157,11 @@ def edited(text: str, following: str) -> str:
 def fingerprint_pairs(df: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, with the likeness to that and to the next document.
 
-    The next document has the next smaller doc_id (rows of equal id: in text order; null ids last; after
-    the last comes the first). Null texts count as empty: fingerprint of zeros, alike only to one another
-    (likeness 1). A lone document is its own next. An empty table gives no rows. Texts are shuffled once,
-    into id ranges sorted inside their task; a task streams its range and holds one slice of it.
+    The next document has the next smaller doc_id (rows of equal id: by descending hash of the text, then
+    text; null ids last; after the last comes the first). Null texts count as empty: fingerprint of zeros,
+    alike only to one another (likeness 1). A lone document is its own next. An empty table gives no rows.
+    Texts are shuffled once, a range of places to a task, sorted there; a task streams its range and holds
+    one slice of it. Only rows that repeat both id and text can make a range long.
     """
     partitions = partitions_for(df)
     rows = beside_next(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partitions)
@@ -181,5 +197,5 @@ def fingerprint_pairs(df: DataFrame) -> DataFrame:
                     names=[c.split()[0] for c in COLUMNS.split(", ")],
                 )
 
-    spread = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "extra", F.desc("k"), "text")
+    spread = rows.repartitionById(partitions, "bucket").sortWithinPartitions("bucket", "extra", F.desc("k"), F.desc("h"), F.desc(F.coalesce("text", F.lit(""))))
     return spread.select("bucket", "extra", "doc_id", "text").mapInArrow(run, COLUMNS)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from ledgerloom.llm import minhash as M
 from ledgerloom.llm.common import WordHashes, words
@@ -24,24 +25,88 @@ def texts(n, seed):
     return [" ".join(rng.choices(voc, k=rng.choice([1, 3, 4, 5, 9, 60, 400, 900]))) for _ in range(n)]
 
 
+M64 = 2**64 - 1
+GOLDEN, M1, M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * M1) & M64
+    x = ((x ^ (x >> 27)) * M2) & M64
+    return x ^ (x >> 31)
+
+
+def asked(b):
+    """All bins in the order in which bin ``b`` asks them."""
+    own = mixed((b + 1) * GOLDEN & M64)
+    return sorted(range(512), key=lambda t: mixed((own + (t + 1) * GOLDEN) & M64))
+
+
+ASKED = [asked(b) for b in range(512)]
+
+
+def brute(text):
+    """The 512 stored digits of a text, in plain integers."""
+    h = [xxhash.xxh64_intdigest(w) for w in (text or "").encode().lower().split()]
+    k = min(5, len(h))
+    bins = {}
+    for i in range(len(h) - k + 1 if h else 0):
+        g = k * GOLDEN & M64
+        for x in h[i : i + k]:
+            g = (mixed(g ^ x) + GOLDEN) & M64
+        b, v = g >> 55, g & (2**55 - 1)
+        bins[b] = min(v, bins.get(b, v))
+    if not bins:
+        return [0] * 512
+    full = [bins[b] if b in bins else bins[next(t for t in ASKED[b] if t in bins)] for b in range(512)]
+    return [mixed(v ^ mixed(mixed(b + 1))) & 15 for b, v in enumerate(full)]
+
+
+def hexes(digits):
+    return "".join(f"{d:x}" for d in digits)
+
+
+def likeness(a, b):
+    return min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b)) / 512 - 1 / 16) / (15 / 16)))
+
+
+def place(r):
+    h = xxhash.xxh64_intdigest((r[1] or "").encode(), 42)
+    return (r[0] is not None, r[0] or 0, h - 2**64 if h >= 2**63 else h, r[1] or "")
+
+
 def check(spark, rows):
-    got = M.fingerprint_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
-    want, memo = [], WordHashes()
+    got = M.fingerprint_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    order = sorted(rows, key=place, reverse=True)
+    want = []
     for i, r in enumerate(order):
         t, nxt = r[1] or "", order[(i + 1) % len(order)][1] or ""
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        want.append((r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), *M.pack(M.fingerprints([memo.of(words(t)), memo.of(words(e))]))))
-        
-    assert sorted(map(str, (tuple(g)[:5] for g in got))) == sorted(map(str, want))
+        own, changed, after = brute(t), brute(e), brute(nxt)
+        want.append((r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), hexes(own), hexes(changed), round(likeness(own, changed), 9), round(likeness(own, after), 9)))
+    assert sorted(map(str, ((*tuple(g)[:5], round(g.near_edited, 9), round(g.near_next, 9)) for g in got))) == sorted(map(str, want))
     return got
 
 
 def test_pairs_against_brute_force(spark):
     ts = texts(120, 1)
-    rows = [(i * 3 % 131, t, "c", "f") for i, t in enumerate(ts)]
-    for r in check(spark, rows):
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    check(spark, [(i * 3 % 131, t, "c", "f") for i, t in enumerate(ts)])
+
+
+def test_an_id_that_most_rows_share_is_cut_between_its_texts(spark):
+    rows = [(7 if i % 3 else None, t, "", "") for i, t in enumerate(texts(90, 4))] + [(i, t, "", "") for i, t in enumerate(texts(12, 5))]
+    check(spark, rows)
+    cut = M.beside_next(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"), 8)
+    size = {r.bucket: r["count"] for r in cut.where("extra = 0").groupBy("bucket").count().collect()}
+    assert len(size) >= 6 and max(size.values()) < 40
+
+
+def test_different_texts_of_few_shingles_look_different():
+    rng, memo = random.Random(3), WordHashes()
+    one = [memo.of([f"t{rng.random()}".encode()]) for _ in range(4000)]
+    low = M.fingerprints(one)
+    assert (M.likeness(low[::2], low[1::2]) < 0.1).mean() >= 0.99
+    two = M.fingerprints([memo.of([f"t{rng.random()}".encode() for _ in range(6)]) for _ in range(4000)])
+    assert (M.likeness(two[::2], two[1::2]) < 0.1).mean() >= 0.99
 
 
 def test_nulls_repeats_and_small_tables(spark):
