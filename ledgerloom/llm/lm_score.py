@@ -7,8 +7,10 @@ probabilities are smoothed at run time from such reads:
     P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU),    P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
 Counting: tasks pre-aggregate their tokens and pairs in chunks and send one packed block a chunk and
-shard, so a very frequent token is one entry a chunk; a shard (a range of hashes) sums its blocks and
-builds its own part of the filter, sized by its keys: ``BITS_PER_KEY`` bits a key at every size of the
+shard, so a very frequent token is one entry a chunk; a shard (a range of hashes) sums its blocks, runs in
+hash order, and builds its own part of the filter. Shards are counted from the bytes of the training
+texts, ``SHARD_BYTES`` each, and a task works through its shards one at a time, so neither what a task
+holds nor what it reads grows with the corpus. A part is sized by its keys: ``BITS_PER_KEY`` bits a key at every size of the
 corpus, so the false-positive rate, which ``filter_stats`` reports, stays the same. Parts are collected
 and broadcast in groups of at most ``MOST_FILTER_BYTES`` (one part at least). One group is the usual
 case; else the documents are read through group after group, each filling in the levels of its own
@@ -33,6 +35,8 @@ MOST_FILTER_BYTES = 192 << 20
 MOST_SHARD_BITS = 2**32 - 64
 MOST_WORDS = 8_000_000
 CHUNK_TOKENS = 2_000_000
+#: Training text a shard stands for, and shards a task works through.
+SHARD_BYTES, SHARDS_A_TASK = 24 << 20, 4
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end of text"))  # no token holds a blank
 START = np.uint64(xxhash.xxh64_intdigest(b"\n start of text"))
 #: Boundaries of the levels, for counts up to 2**62.
@@ -150,7 +154,14 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray, most_bits: int) -> tupl
     return bits, keys
 
 
-def build_shards(blocks: DataFrame, shards: int) -> DataFrame:
+def plan_shards(texts: DataFrame, partitions: int, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
+    """(shards, tasks) for these training texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(partitions, -(-size // shard_bytes))
+    return shards, max(partitions, -(-shards // SHARDS_A_TASK))
+
+
+def build_shards(blocks: DataFrame, shards: int, tasks: int) -> DataFrame:
     """One row a shard: its vocabulary (packed), token sum, and its part of the filter."""
 
     def run(batches):
@@ -164,13 +175,13 @@ def build_shards(blocks: DataFrame, shards: int) -> DataFrame:
                 (uni, n_uni), (pair, n_pair) = parts
                 bits, keys = build_filter(np.concatenate([uni, pair]), np.concatenate([n_uni, n_pair]), MOST_SHARD_BITS)
                 if BITS_PER_KEY * keys > MOST_SHARD_BITS:
-                    raise ValueError(f"{keys} keys in one of {shards} shards: raise spark.sql.shuffle.partitions")
+                    raise ValueError(f"{keys} keys in one of {shards} shards: lower SHARD_BYTES")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(s)], pa.int32()), pa.array([len(uni)], pa.int64()), pa.array([int(n_uni.sum())], pa.int64()), pa.array([keys], pa.int64()), pa.array([_pack(uni, n_uni)], pa.binary()), pa.array([bits.tobytes()], pa.binary())],
                     names=["shard", "n_words", "n_tokens", "n_keys", "words", "bits"],
                 )
 
-    sorted_ = blocks.repartition(shards, "shard").sortWithinPartitions("shard")
+    sorted_ = blocks.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard")
     return shared_checkpoint(sorted_.mapInArrow(run, "shard int, n_words long, n_tokens long, n_keys long, words binary, bits binary"))
 
 
@@ -294,7 +305,7 @@ def filter_stats(built: DataFrame) -> DataFrame:
     return built.agg(F.sum("n_keys").alias("keys"), F.sum(F.length("bits")).alias("bytes"), (F.sum(rate * F.col("n_keys")) / F.sum("n_keys")).alias("false_positive_rate"))
 
 
-def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_words: int = MOST_WORDS, most_filter_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
+def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_words: int = MOST_WORDS, most_filter_bytes: int = MOST_FILTER_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Trained on the rows outside the held-out remainder (rows of null doc_id train). A null text counts as
@@ -303,8 +314,9 @@ def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_wor
     """
     docs = df.select("doc_id", "text")
     out_of = F.coalesce(doc_bucket(F.col("doc_id"), modulus) == held_out, F.lit(False))
-    shards = partitions_for(df)
-    built = build_shards(count_blocks(docs.where(~out_of), shards), shards)
+    training = docs.where(~out_of)
+    shards, tasks = plan_shards(training, partitions_for(df), shard_bytes)
+    built = build_shards(count_blocks(training, shards), shards, tasks)
     totals = built.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     v, n = int(totals[0]), int(totals[1])
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))

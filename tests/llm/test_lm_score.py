@@ -76,6 +76,56 @@ def test_seen_passages_score_higher_than_shuffled_ones(spark):
     assert got[held[0]].score > got[held[1]].score + 50
 
 
+def brute_scores(rows):
+    """log10 of each text by quantised counts, in plain Python; no filter, so no false positives."""
+    one, two = collections.Counter(), collections.Counter()
+    for d, t, _ in rows:
+        if d is None or doc_bucket_py(d, 5) != 1:
+            w = tokens(t)
+            one.update(w)
+            two.update(zip(["start", *w], w))
+    n, v = sum(one.values()), len(one)
+
+    def value(c):
+        if c < 2:
+            return float(c)
+        q = 1
+        while c >= 1.5**q:
+            q += 1
+        return 1.0 if q == 1 else (1.5 ** (q - 1) + 1.5**q) / 2
+
+    out = []
+    for d, t, _ in rows:
+        total, before = 0.0, "start"
+        for w in tokens(t):
+            context = value(one[None] if before == "start" else one[before])
+            prior = min(1.0, (value(one[w]) + 0.5) / (n + 0.5 * (v + 1)))
+            total += math.log10((min(value(two[before, w]), context) + 200.0 * prior) / (context + 200.0))
+            before = w
+        out.append((str(d), len(tokens(t)), total))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_bytes", [L.SHARD_BYTES, 2000])
+def test_scores_against_brute_force(spark, shard_bytes):
+    rows = rows_of(11)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in L.score_documents(df, shard_bytes=shard_bytes).collect())
+    want = brute_scores(rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    close = [abs(g[2] - w[2]) <= 1e-9 * abs(w[2]) for g, w in zip(got, want)]
+    # a read above the true level is a false positive of the filter: two reads a token, at most 0.5 % each
+    assert np.mean(close) > np.mean([0.995 ** (2 * w[1]) for w in want]) - 0.05
+    assert all(abs(g[2] - w[2]) < 0.01 * abs(w[2]) + 0.3 for g, w in zip(got, want))
+
+
+def test_shards_follow_the_bytes(spark):
+    df = spark.createDataFrame(rows_of(11), SCHEMA)
+    few, many = L.plan_shards(df, 4), L.plan_shards(df, 4, 1000)
+    size = sum(len((t or "").encode()) for _, t, _ in rows_of(11))
+    assert few == (4, 4) and many == (-(-size // 1000), -(-many[0] // L.SHARDS_A_TASK))
+
+
 def test_blocks_sum_over_chunks(spark, monkeypatch):
     rows = rows_of(7)
     blocks = L.count_blocks(spark.createDataFrame(rows, SCHEMA).repartition(5).select("text"), 4)
