@@ -5,7 +5,8 @@ tree holds the merge rank of symbol ``i`` with its living right neighbour, or ``
 node holds the smaller of its children. The root is the lowest rank; walking down, left child first
 on equal values, finds its leftmost place. Merging there changes three leaves, each repaired in
 log(n) steps; a root of ``NONE`` ends the word. Words of like length go through this together, one
-numpy step for all of them.
+numpy step for all of them; where few are left, each goes on alone in a tree of plain integers, whose
+repairs stop at the first node that doesn't change. So one very long run costs n log n small steps.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import DataFrame
 from .token_count import byte_chars
 
 NONE = np.int32(2**31 - 1)
+#: With fewer words than this in one numpy step each is merged alone.
+FEW = 96
+#: Words of more characters aren't kept in the memo.
+LONG = 256
 #: Fixed: the split pattern of the word-end vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _VOUCHED = re.compile("[\x00-\u024f\u0300-\u036f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
@@ -56,7 +61,9 @@ class TreeBPE:
         order = np.argsort(code, kind="stable")
         self.codes, self.ranks = code[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in merges] + [0], np.int64)
-        self.limit, self.words, self.pre = memo, {}, {}
+        self._made = self.made.tolist()
+        self.rank_of = dict(zip(self.codes.tolist(), self.ranks.tolist()))
+        self.limit, self.words, self.pre, self._new = memo, {}, {}, []
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of symbol pairs; ``NONE`` where either is missing (-1) or no merge exists."""
@@ -64,9 +71,58 @@ class TreeBPE:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
 
+    def merge_one(self, symbols: list[int]) -> list[int]:
+        """One word's symbols, merged to the end."""
+        n, base, rank_of, none = len(symbols), self.base, self.rank_of, int(NONE)
+        if n < 2:
+            return symbols
+        made = self._made
+        width = 1 << (n - 1).bit_length()
+        tree = [none] * (2 * width)
+        tree[width : width + n - 1] = [rank_of.get(a * base + b, none) for a, b in zip(symbols, symbols[1:])]
+        for i in range(width - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def put(leaf: int, value: int) -> None:
+            tree[leaf] = value
+            while leaf > 1:
+                other = tree[leaf ^ 1]
+                if other < value:
+                    value = other
+                leaf >>= 1
+                if tree[leaf] == value:
+                    return
+                tree[leaf] = value
+
+        while (best := tree[1]) != none:
+            node = 1
+            while node < width:
+                node *= 2
+                if tree[node] != best:
+                    node += 1
+            i = node - width
+            j = after[i]
+            new = symbols[i] = made[best]
+            symbols[j] = -1
+            k, h = after[j], before[i]
+            after[i] = k
+            put(j + width, none)
+            if k < n:
+                before[k] = i
+                put(node, rank_of.get(new * base + symbols[k], none))
+            else:
+                put(node, none)
+            if h >= 0:
+                put(h + width, rank_of.get(symbols[h] * base + new, none))
+        return [x for x in symbols if x >= 0]
+
     def merge_rows(self, symbols: np.ndarray) -> np.ndarray:
         """``symbols``: one word a row, -1 beyond its end, the width a power of two. Merged in place; -1 marks symbols that are gone."""
         n, width = symbols.shape
+        if n < FEW:
+            return self._alone(symbols, np.arange(n))
         tree = np.full((n, 2 * width), NONE, np.int32)
         tree[:, width : 2 * width - 1] = self.rank(symbols[:, :-1], symbols[:, 1:])
         level = width
@@ -95,6 +151,15 @@ class TreeBPE:
             has = h >= 0
             self._set(tree, live[has], h[has] + width, self.rank(symbols[live[has], h[has]], symbols[live[has], i[has]]))
             live = live[tree[live, 1] != NONE]
+            if len(live) < FEW:
+                return self._alone(symbols, live)
+        return symbols
+
+    def _alone(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        for r in rows:
+            left = self.merge_one([x for x in symbols[r].tolist() if x >= 0])
+            symbols[r] = -1
+            symbols[r, : len(left)] = left
         return symbols
 
     @staticmethod
@@ -179,7 +244,7 @@ class TreeBPE:
         wanted = {p for x in parts for p in x if isinstance(p, str)}
         if len(self.pre) > self.limit:
             self.pre = {p: self.pre[p] for p in wanted & self.pre.keys()}
-        fresh = [p for p in wanted if p not in self.pre]
+        fresh = self._new = [p for p in wanted if p not in self.pre]
         for p, ids in zip(fresh, self.encode_pretokens(fresh)):
             self.pre[p] = ids
         for w, x in zip(new, parts):
@@ -189,14 +254,25 @@ class TreeBPE:
     def encode_texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: the number of ids, the ids joined by spaces, and the decoded text."""
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
+        wanted = set().union(*split)
+        self.learn(wanted)
         memo = self.words
         out = []
         for s in split:
             got = [memo[w] for w in s]
             out.append((sum([g[2] for g in got]), " ".join([g[0] for g in got if g[2]]), " ".join([g[1] for g in got if g[2]])))
+        self.forget(wanted)
         return out
 
+    def forget(self, words: set[str]) -> None:
+        """Drop long words and pre-tokens, so that the memos are bounded in bytes too."""
+        for w in words:
+            if len(w) > LONG:
+                self.words.pop(w, None)
+        for p in self._new:
+            if len(p) > LONG:
+                self.pre.pop(p, None)
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_texts([text])[0][1].split()]
 

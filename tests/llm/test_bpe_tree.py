@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -40,6 +41,23 @@ def test_long_words(library):
     assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("few", [0, 3, 10**6])
+def test_words_merge_alike_alone_and_together(library, monkeypatch, few):
+    monkeypatch.setattr(B, "FEW", few)
+    rng, bpe = random.Random(4), B.TreeBPE(PATH)
+    words = ["".join(rng.choices("abcdeilnorst", k=rng.randint(1, 70))) for _ in range(400)]
+    assert [bpe.encode(w) for w in words] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_an_unbroken_megabyte_takes_seconds_and_stays_in_no_memo(library):
+    rng, bpe = random.Random(5), B.TreeBPE(PATH)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.perf_counter()
+    assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 60
+    assert not bpe.words and not bpe.pre
+
+
 def test_rows(spark, library):
     rows = [(1, None, "x"), (2, "", "x"), (3, "Hello  World!", "x"), (3, "Hello  World!", "x"), (None, "ü", "x")]
     schema = "doc_id long, text string, ids string"
