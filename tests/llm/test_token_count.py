@@ -35,6 +35,30 @@ def test_a_run_without_boundaries_widens(library):
     assert [i for p in T.encode_spliced(tok, text, 100, 20) for i in p] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_long_run_without_boundaries_costs_a_few_passes(library):
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.chars = tok, 0
+
+        def encode(self, text, **kw):
+            self.chars += len(text)
+            return self.tok.encode(text, **kw)
+
+    for n in (66_000, 264_000, 1_056_000):
+        text, tok = "ab" * (n // 2) + " then words", Counting(T.load(PATH))
+        assert sum(map(len, T.encode_spliced(tok, text))) == len(library.encode(text, add_special_tokens=False))
+        assert tok.chars < 16 * len(text)
+
+
+def test_other_pre_tokenizers_are_left_to_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert T.splittable(PATH) and not T.splittable(path)
+    texts = ["Hello  World's end", "", "x" * 50_000, "<|endoftext|> a"]
+    tok = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA), path).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
 def test_rows(spark, library):
     long = "Some words of a long text, repeated. " * 4000
     rows = [(1, None, "x"), (2, "", "x"), (3, "Hello world", "x"), (3, "Hello world", "x"), (None, "ü", "x"), (5, long, "x")]
