@@ -4,8 +4,10 @@ Candidates are cut into blocks stored by dimension (one contiguous column each).
 partial products accumulate over one block of dimensions at a time, those with the largest query
 entries first. After each step a candidate can reach at most partial + |query rest| * |candidate rest|
 (Cauchy-Schwarz on the mass that remains), and the k-th best lower bound (the same with a minus)
-is a floor: candidates below it are dropped and the survivors' columns compacted. All sums are of
-integers below 2**53, exact in doubles; bounds get a margin that covers their rounding.
+is a floor: candidates below it are dropped and the survivors' columns compacted. While the products of
+the largest norms stay below 2**52 all sums are of integers exact in doubles. Beyond that the doubles
+only bound: margins grow by their rounding, and survivors are scored anew in Python's integers. Scores
+outside a long saturate at its ends, and saturated ones tie.
 
 Queries are the stated set (ids divisible by a number) against all rows, in blocks: a block of at most
 ``QUERY_BLOCK`` vectors is what is broadcast, whatever the table's size, and every block makes one pass
@@ -24,6 +26,9 @@ from .common import shared_checkpoint
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 16_384
 DIM_STEP = 16
+#: Products of norms, and squares of candidates' norms, below this keep every partial sum an exact double.
+EXACT = 2.0**52
+_LONG = 2**63
 
 
 def usable(col: Column) -> Column:
@@ -32,7 +37,8 @@ def usable(col: Column) -> Column:
 
 
 def quantise(matrix: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * matrix.astype(np.float64))
+    """Components as integers; beyond 1e150 they count as that, so that squares stay finite."""
+    return np.floor(np.clip(256.0 * np.clip(matrix.astype(np.float64), -1e150, 1e150), -1e150, 1e150))
 
 
 class Block:
@@ -41,10 +47,22 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         self.ids, self.columns = ids, np.ascontiguousarray(rows.T)
         self.squares = self.columns**2
+        self.largest = float(np.sqrt(self.squares.sum(0).max(initial=0.0)))
+
+    def whole(self, query: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Scores of the candidates at ``places`` in integers of any size, held to a long."""
+        q = [int(x) for x in query]
+        full = [sum(a * int(b) for a, b in zip(q, self.columns[:, p])) for p in places]
+        return np.array([min(_LONG - 1, max(-_LONG, x)) for x in full], np.int64)
 
     def search(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores that may be among the k best, given that scores below ``floor`` aren't."""
+        """Ids and scores (as longs) that may be among the k best, given that scores below ``floor`` aren't."""
         order = np.argsort(-np.abs(query), kind="stable")
+        reach_all = float(np.sqrt((query**2).sum())) * self.largest
+        exact = max(reach_all, self.largest**2) < EXACT
+        slack = 1e-6 if exact else reach_all * len(order) * 2.0**-24 + 1e-6  # what remains is a difference: half the digits
+        held = lambda x: x if exact else -np.inf if x < slack - _LONG else min(x, _LONG - slack)  # noqa: E731  beyond a long all tie
+        floor = held(float(floor) - (0 if exact else slack))
         partial = np.zeros(len(self.ids))
         rest = self.squares.sum(0)
         alive = np.flatnonzero(self.ids != own)
@@ -57,18 +75,18 @@ class Block:
             if not len(left):
                 break
             rest = rest - np.einsum("ij,ij->j", part, part)
-            reach = np.sqrt(np.maximum(rest, 0.0)) * (np.sqrt((query[left] ** 2).sum()) * (1 + 1e-9)) + 1e-6
+            reach = np.sqrt(np.maximum(rest, 0.0)) * (np.sqrt((query[left] ** 2).sum()) * (1 + 1e-9)) + slack
             if len(alive) > k:
                 low = partial - reach
-                floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
+                floor = max(floor, held(np.partition(low, len(low) - k)[len(low) - k]))
             keep = partial + reach >= floor
             if not keep.all():
                 alive, partial, rest = alive[keep], partial[keep], rest[keep]
-        return self.ids[alive], partial
+        return self.ids[alive], partial.astype(np.int64) if exact else self.whole(query, alive)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    take = np.lexsort((ids, -scores))[:k]
+    take = np.lexsort((ids, ~scores))[:k]  # ~x is -x - 1, without overflow
     return ids[take], scores[take]
 
 
@@ -84,7 +102,7 @@ def _pass(rows: DataFrame, q_ids: np.ndarray, q_matrix: np.ndarray, k: int) -> D
     def run(batches):
         ids, queries = shared.value
         width = queries.shape[1]
-        top = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
 
         def search(block: Block) -> None:
             for i, own in enumerate(ids):
@@ -110,7 +128,7 @@ def _pass(rows: DataFrame, q_ids: np.ndarray, q_matrix: np.ndarray, k: int) -> D
         count = [len(t[0]) for t in top]
         if sum(count):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, count)), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]).astype(np.int64))],
+                [pa.array(np.repeat(ids, count)), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))],
                 names=["query_id", "vec_id", "score"],
             )
 
@@ -170,7 +188,7 @@ WITH rows AS (
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 queries AS (SELECT vec_id AS query_id, min(v) AS q FROM rows WHERE vec_id % 50 = 0 GROUP BY vec_id),
 scored AS (
-  SELECT query_id, vec_id, list_inner_product(q::DOUBLE[], v::DOUBLE[])::BIGINT AS score
+  SELECT query_id, vec_id, list_sum(list_transform(list_zip(q, v), lambda p: p[1]::HUGEINT * p[2]::HUGEINT))::BIGINT AS score
   FROM queries JOIN rows ON vec_id <> query_id AND len(q) = len(v)),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
