@@ -1,7 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is mined from the labelled training rows: words and word beginnings that occur in markedly
-more toxic than clean documents, weighted by log odds. It is mined once without each fold, so features of
+more toxic than clean documents, weighted by log odds. It holds every such term of the sample, whose
+``MOST_ROWS`` rows are what bounds it. It is mined once without each fold, so features of
 training rows never know their own label; the trees, and on out-of-fold margins the calibration, are
 fitted on those. Per text: densities of lexicon weight and hits, hits near a second-person word,
 capitals, punctuation and obfuscation rates. Labels, lang, source and doc_id are no inputs.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import doc_bucket, doc_bucket_py, slices
 from .learning import BoostedTrees, Isotonic, labelled_sample
 
-#: Bounds of what is collected to fit: labelled rows, and lexicon entries.
-MOST_ROWS, MOST_TERMS = 12_000, 20_000
+#: Bound of the labelled rows that the lexicon, the trees and the calibration are fitted on.
+MOST_ROWS = 12_000
 FOLDS = 4
 THRESHOLD = 0.3
 #: Fixed: second-person words of the languages at hand.
@@ -149,7 +150,7 @@ def mine(sample: DataFrame) -> list[dict[str, float]]:
     totals = {(r.label, r.fold): r.n for r in sample.select("label", (F.floor(doc_bucket(F.col("doc_id"), 4 * FOLDS) / 4)).cast("int").alias("fold")).groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sum(n for (y, _), n in totals.items() if y), sum(n for (y, _), n in totals.items() if not y)
     frequent = counts.where((toxic >= 2) & (toxic * max(n_clean, 1) >= 4 * clean * max(n_toxic, 1)))
-    found = frequent.orderBy(F.desc(toxic / (clean + 1.0)), F.desc(toxic), "term").limit(MOST_TERMS).collect()
+    found = frequent.orderBy("term").collect()
 
     def lexicon(without: int | None) -> dict[str, float]:
         folds = [f for f in range(FOLDS) if f != without]
@@ -210,8 +211,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 4, he
     """(doc_id, held_out, score, predicted) of every document row.
 
     Null and empty texts have the features of a text without words and are scored like any other; a null
-    doc_id isn't held out; repeated rows each give a row. The model (at most ``MOST_TERMS`` terms and
-    some trees) is what the scoring pass receives; that pass has no shuffle. No labels: score 0.
+    doc_id isn't held out; repeated rows each give a row. The model (the sample's lexicon and some trees)
+    is what the scoring pass receives; that pass has no shuffle. No labels: score 0.
     """
     model = fit(labelled_sample(documents, labels, "toxic", modulus, held_out, MOST_ROWS))
     shared = documents.sparkSession.sparkContext.broadcast(model)
