@@ -4,7 +4,8 @@ A document's non-blank lines are a chain. Each line's features (lengths, charact
 whether the line occurs again in the document) are binned; a line sees its own bins, those of the line
 before and of the line after, and the chain's transitions. Forward-backward gives each line's marginal
 of being good; their mean weighted by line length is the document's raw quality, calibrated on
-out-of-fold rows. Training lines carry their document's label. Labels, lang, source and doc_id are no inputs.
+out-of-fold rows. Training lines carry their document's label; a labelled document is in the training
+sample whole or not at all. Labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from . import crf
 from .common import doc_bucket, doc_bucket_py, slices
 from .learning import Binner, Isotonic, labelled_sample
 
-#: Bound of the labelled rows whose line features are collected to fit.
-MOST_ROWS = 5_000
+#: Bounds of what is collected to fit: labelled rows, and lines in all of them.
+MOST_ROWS, MOST_LINES = 5_000, 400_000
 FOLDS = 2
 THRESHOLD = 0.3
 BINS = 8
@@ -111,8 +112,25 @@ class QualityModel:
         return self.calibrate(self.lines.raw(*_arrays([line_features(t) for t in texts]), self.share))
 
 
-def fit(sample: DataFrame) -> QualityModel:
+def within_lines(sample: DataFrame, most: int) -> DataFrame:
+    """The rows of a sample whose lines, taken whole documents in order of a hash of the id, fit in ``most``."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    held, ids, over = 0, [], False
+    for r in sample.select("doc_id", lines.alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        if held + r.n <= most:
+            held += r.n
+            ids.append((r.doc_id,))
+        else:
+            over = True
+    if not over:
+        return sample
+    chosen = sample.sparkSession.createDataFrame(ids, sample.select("doc_id").schema)  # at most MOST_ROWS ids
+    return sample.join(F.broadcast(chosen), "doc_id")
+
+
+def fit(sample: DataFrame, most_lines: int = MOST_LINES) -> QualityModel:
     """From (doc_id, text, label). No rows: every score 0; rows of one label only: its share."""
+    sample = within_lines(sample, most_lines)
 
     def features(batches):
         for batch in batches:
@@ -171,7 +189,11 @@ def score_quality(documents: DataFrame, labels: DataFrame, modulus: int = 5, hel
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` scored at least ``threshold``, columns unchanged; all rows if nothing is labelled."""
+    """The rows of ``documents`` scored at least ``threshold``, columns unchanged; all rows if nothing is labelled.
+
+    Null and empty texts are scored as texts without lines, by the labels' share; repeated rows are kept or
+    go together; an empty table gives no rows; extra columns, of whatever name, pass through.
+    """
     model = fit(labelled_sample(documents, labels, "quality", 5, 0, MOST_ROWS))
     if model.lines is None:
         return documents

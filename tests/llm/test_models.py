@@ -77,6 +77,81 @@ def test_trees_and_calibration():
     assert len(Isotonic().fit(np.zeros(0), np.zeros(0))(np.zeros(3))) == 3
 
 
+def test_calibration_against_brute_force():
+    rng = np.random.default_rng(4)
+    raw, y = rng.normal(size=60).round(1), (rng.random(60) < 0.4).astype(float)
+    order = np.argsort(raw, kind="stable")
+    v = y[order]
+    n = len(v)
+    mean = lambda a, b: v[a : b + 1].mean()
+    want = np.array([max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)])  # min-max formula
+    iso = Isotonic().fit(raw, y)
+    pools = [(want[i], np.flatnonzero(want == want[i])) for i in sorted({int(np.flatnonzero(want == w)[0]) for w in want})]
+    assert len(pools) == len(iso.at)
+    for (level, rows), at, value in zip(pools, iso.at, iso.value):
+        assert np.isclose(at, raw[order][rows].mean()) and np.isclose(value, (level * len(rows) + 0.01) / (len(rows) + 0.02))
+
+
+def test_first_tree_against_exhaustive_search():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(200, 3)), (rng.random(200) < 0.5).astype(float)
+    y[x[:, 1] > 0.3] = 1.0
+    t = BoostedTrees(trees=1, depth=1).fit(x, y)
+    share = (y.sum() + 0.5) / 201
+    g, h = share - y, np.full(200, share * (1 - share))
+    b = t.binner(x)
+    best = None
+    for f in range(3):
+        for c in range(t.bins):
+            left = b[:, f] <= c
+            if h[left].sum() < t.least or h[~left].sum() < t.least:
+                continue
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + t.ridge) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + t.ridge)
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, f, c)
+    feature, cut, value = t.model[0]
+    assert (feature[0], cut[0]) == best[1:]
+    left = b[:, best[1]] <= best[2]
+    want = np.where(left, *(-t.rate * g[m].sum() / (h[m].sum() + t.ridge) for m in (left, ~left))) + np.log(share / (1 - share))
+    assert np.allclose(t.raw(x), want)
+
+
+def test_toxicity_features_against_plain_counts():
+    lexicon = {"grobble": 4.0, "^snar": 3.5, "meh": 1.6}
+    text = "You GROBBLE! the meh, meh snarfing gr0bble?? one two three four five six seven you 12 $$ ok"
+    f = toxicity.Features(lexicon).one(text)
+    n = 18
+    weight = 4.0 + 1.6 * 2 + 3.5 + 4.0
+    size = len(text.encode())
+    assert len(f) == toxicity.Features.COUNT and len(text.split()) == n
+    want = {0: np.log1p(n), 1: weight / n, 3: 5 / n, 4: 3 / n, 5: np.log1p(3), 6: 3.0, 7: 4.0, 8: 3.5, 9: 4.0 + 4.0 + 3.5, 11: 2.0, 12: 2 / 3, 13: 1.0, 14: 2 / n, 15: 8 / size, 16: 1 / n, 17: 3 / size, 18: 2 / size, 19: 3 / size, 20: 1 / n, 21: 1.0}
+    for i, v in want.items():
+        assert np.isclose(f[i], v), (i, f[i], v)
+
+
+def test_line_bound_takes_documents_whole(spark):
+    rows = [(i, "\n".join(["a line of words"] * (i + 1)), 1) for i in range(40)] + [(99, "x\n" * 1_000_000, 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert quality.within_lines(sample, 10**7).count() == 41
+    got = quality.within_lines(sample, 300).collect()
+    assert 0 < sum(r.text.count("\n") + 1 for r in got) <= 300 and 99 not in {r.doc_id for r in got}
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in quality.within_lines(sample.repartition(7), 300).collect())
+    assert quality.fit(sample, 300).lines is None  # one label left
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    docs, labels = corpus(11, 400)
+    text = {d: t for d, t, _, _ in docs}
+    good, bad = ([text[i] for i, q, _ in labels if q == v and text[i].count("\n") > 2] for v in (1, 0))
+    sample = spark.createDataFrame([(i, text[i], q) for i, q, _ in labels], "doc_id long, text string, label int")
+    model = quality.fit(sample)
+    mixed = [quality.line_features(a + "\n" + b) for a, b in zip(good[:40], bad[:40])]
+    x, lengths, _ = quality._arrays(mixed)
+    p = model.lines.marginals(x, lengths)
+    truth = np.concatenate([np.repeat([1, 0], [a.count("\n") + 1, b.count("\n") + 1]) for a, b in zip(good[:40], bad[:40])])
+    assert ((p > 0.5) == truth).mean() > 0.85
+
+
 def corpus(seed, n):
     rng = random.Random(seed)
     voc = ["".join(rng.choices("abcdefghiklmnorstu", k=rng.randint(2, 9))) for _ in range(1500)]
