@@ -7,8 +7,8 @@
    target / 1, / 3, / 5, ...; a source's blocks go to its shards the same way, by shard size. The
    quotas of a divisor method lie within a proven distance of the ideal share, so only the few
    quotients near it are listed and ranked, never one row a block.
-3. A source has one shard per ``SHARD`` words, documents are dealt by digest, so a hot source is many
-   groups of bounded size. In a shard, documents stand in a seeded order on one line of words; the
+3. A source has one shard per ``SHARD`` words, documents are dealt by a digest of id and text, so a hot
+   source, and rows that share an id or have none, are many groups of bounded size. In a shard, documents stand in a seeded order on one line of words; the
    quota takes the line as often as it fits and then blocks in a row from a seeded start, round the end.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint
+from .common import partitions_for, shared_checkpoint
 
 BLOCK = 16
 SHARD = 500_000
@@ -39,20 +39,49 @@ def number(hexes: Column) -> Column:
     return F.conv(F.substring(hexes, 1, 8), 16, 10).cast("long")
 
 
+def same(a: str, b: str, names: list[str]) -> Column:
+    """Null-safe equality of the named columns of two aliased tables."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
+    return out
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each name, the sum of its column over all rows before this one in ``order`` (which must tell rows apart).
+
+    Rows are dealt to ranges of the order and summed inside each; only one total a range, as many as
+    there are partitions, passes through one task.
+    """
+    dealt = shared_checkpoint(df.repartitionByRange(partitions_for(df), *order).withColumn("_range", F.spark_partition_id()))
+    each = dealt.groupBy("_range").agg(*(F.sum(e).alias(f"_of_{n}") for n, e in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select("_range", *(F.coalesce(F.sum(f"_of_{n}").over(earlier), F.lit(0)).alias(f"_of_{n}") for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(offsets), "_range")
+    return out.withColumns({n: F.col(f"_of_{n}") + F.coalesce(F.sum(e).over(inside), F.lit(0)) for n, e in sums.items()}).drop("_range", *(f"_of_{n}" for n in sums))
+
+
+def with_totals(df: DataFrame, group: list[str], *totals: Column) -> DataFrame:
+    """``df`` with aggregates over each group (over all rows without one); groups meet only as partial sums."""
+    if not group:
+        return df.crossJoin(F.broadcast(df.agg(*totals)))  # one row
+    each = df.groupBy(*group).agg(*totals)
+    names = [c for c in each.columns if c not in group]
+    return df.alias("a").join(_small(each).alias("b"), same("a", "b", group)).select("a.*", *(f"b.{n}" for n in names))
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target, total) from (source, size)."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    by = by.withColumn("weight", F.pmod(F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(3)) + 1)
-    ratio = everything.orderBy(F.col("source_size") * MOST / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    by = by.withColumn("total", F.sum("source_size").over(everything)).withColumn("place", F.row_number().over(ratio))
-    by = by.withColumn("level", (F.col("total") - F.coalesce(F.sum(F.col("source_size") * MOST).over(before), F.lit(0))) / F.sum("weight").over(after))
-    held = F.col("level") * F.col("weight") <= F.col("source_size") * MOST
-    by = by.withColumn("level", F.min_by("level", F.when(held, F.col("place"))).over(everything))
-    cap = (F.col("source_size") * MOST).cast("double")
-    return by.select("source", "source_size", F.when(F.col("total") == 0, 0.0).otherwise(F.least(cap, F.col("level") * F.col("weight"))).alias("target"), "total")
+    """(source, source_size, target, total) from (source, size). Nothing holds all sources in one task."""
+    by = shared_checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    name = F.col("source").asc_nulls_last()
+    by = running(by, [name], {"_rank": F.lit(1)}).withColumn("weight", F.col("_rank") % 3 + 1).drop("_rank")
+    by = with_totals(by, [], F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).withColumn("most", F.col("source_size") * MOST)
+    by = running(by, [(F.col("most") / F.col("weight")).asc(), name], {"place": F.lit(1), "before": F.col("most"), "weight_before": F.col("weight")})
+    by = by.withColumn("level", (F.col("total") - F.col("before")) / (F.col("weights") - F.col("weight_before")))
+    held = F.col("level") * F.col("weight") <= F.col("most")
+    by = with_totals(shared_checkpoint(by), [], F.min_by("level", F.when(held, F.col("place"))).alias("water"))
+    return by.select("source", "source_size", F.when(F.col("total") == 0, 0.0).otherwise(F.least(F.col("most").cast("double"), F.col("water") * F.col("weight"))).alias("target"), "total")
 
 
 def quotas(items: DataFrame, group: list[str], order: Column, amount: str, seats: Column) -> DataFrame:
@@ -60,18 +89,20 @@ def quotas(items: DataFrame, group: list[str], order: Column, amount: str, seats
 
     With A the group's amount, n its rows and S its seats, the divisor d obeys |S - A/d| <= n/2, so a
     quota lies within a/d +- 1/2 for a/d in S*a/A*(1 +- n/(2S)). All quotients below that range win, all
-    above lose; those inside (some 4n in a group) are ranked, ties by ``order``.
+    above lose; those inside (some 4n in a group) are ranked, ties by ``order``. The ranking runs over
+    ranges of (group, quotient), so neither many rows nor a hot group meet in one task.
     """
-    w = Window.partitionBy(*group)
-    x = items.withColumn("_seats", seats).withColumn("_all", F.sum(amount).over(w)).withColumn("_n", F.count("*").over(w))
+    x = with_totals(items.withColumn("_seats", seats), group, F.sum(amount).alias("_all"), F.count("*").alias("_n"))
     x = x.withColumn("_ideal", F.when(F.col("_all") > 0, F.col("_seats") * F.col(amount) / F.col("_all")).otherwise(0.0))
     x = x.withColumn("_slack", F.when(F.col("_seats") > 0, F.col("_ideal") * F.col("_n") / (2 * F.col("_seats"))).otherwise(0.0))
     x = x.withColumn("_base", F.greatest(F.lit(0), F.floor(F.col("_ideal") - F.col("_slack") - 0.500001)).cast("long"))
     x = x.withColumn("_top", F.when(F.col(amount) > 0, F.ceil(F.col("_ideal") + F.col("_slack") + 1.500001)).otherwise(0).cast("long"))
-    x = x.withColumn("_open", F.col("_seats") - F.sum("_base").over(w))
+    x = with_totals(shared_checkpoint(x), group, F.sum("_base").alias("_dealt")).withColumn("_open", F.col("_seats") - F.col("_dealt"))
     listed = x.withColumn("_k", F.explode_outer(F.when(F.col("_top") > F.col("_base"), F.sequence(F.col("_base"), F.col("_top") - 1))))
-    by = Window.partitionBy(*group).orderBy(F.desc_nulls_last(F.col(amount) / (2 * F.col("_k") + 1)), order, F.col("_k"))
-    won = listed.withColumn("_won", (F.col("_k").isNotNull() & (F.row_number().over(by) <= F.col("_open"))).cast("long"))
+    quotient = (F.col(amount) / (2 * F.col("_k") + 1)).desc_nulls_last()
+    listed = shared_checkpoint(running(listed, [*(F.col(g).asc_nulls_last() for g in group), quotient, order, F.col("_k").asc()], {"_r": F.lit(1)}))
+    listed = with_totals(listed, group, F.min("_r").alias("_first"))
+    won = listed.withColumn("_won", (F.col("_k").isNotNull() & (F.col("_r") - F.col("_first") < F.col("_open"))).cast("long"))
     keys = items.columns
     return won.groupBy(*keys).agg((F.max("_base") + F.sum("_won")).alias("quota"))
 
@@ -89,24 +120,22 @@ def mix_sources(docs: DataFrame, keep: bool = False) -> DataFrame:
     a doc_id are separate documents. No document is taken more than ``MOST`` times. An empty table
     gives no rows. Extra columns are read only if kept.
     """
-    totals = shared_checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    narrow = totals
-    if keep:
-        narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    known = ["doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_digest")]
+    totals = shared_checkpoint(docs.select(*known))
+    narrow = docs.select(*known, F.struct(*docs.columns).alias("row")) if keep else totals
     sources = shared_checkpoint(source_targets(totals.select("source", "size")))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
     def sharded(df: DataFrame) -> DataFrame:
-        joined = df.alias("d").join(_small(sources).alias("s"), same("d", "s")).select("d.*", "s.source_size", "s.target")
+        joined = df.alias("d").join(_small(sources).alias("s"), same("d", "s", ["source"])).select("d.*", "s.source_size", "s.target")
         count = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD)).cast("long")
-        return joined.withColumn("order_key", digest("doc_id")).withColumn("shard", F.pmod(number(F.col("order_key")), count))
+        return joined.withColumn("order_key", digest("doc_id", "text_digest")).withColumn("shard", F.pmod(number(F.col("order_key")), count))
 
     shards = sharded(totals).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     seats = F.floor(F.col("total") / BLOCK + 0.5).cast("long")
     per_source = quotas(sources.select("source", "target", "total"), [], F.col("source").asc_nulls_last(), "target", seats).select("source", F.col("quota").alias("seats"))
-    shards = shards.alias("d").join(_small(shared_checkpoint(per_source)).alias("s"), same("d", "s")).select("d.*", "s.seats")
+    shards = shards.alias("d").join(_small(shared_checkpoint(per_source)).alias("s"), same("d", "s", ["source"])).select("d.*", "s.seats")
     shards = shared_checkpoint(quotas(shards, ["source"], F.col("shard"), "shard_size", F.col("seats")).select("source", "shard", "shard_size", "quota"))
-    rows = sharded(narrow).alias("d").join(_small(shards).alias("q"), same("d", "q") & (F.col("d.shard") == F.col("q.shard"))).select("d.*", "q.shard_size", "q.quota")
+    rows = sharded(narrow).alias("d").join(_small(shards).alias("q"), same("d", "q", ["source", "shard"])).select("d.*", "q.shard_size", "q.quota")
 
     line = Window.partitionBy("source", "shard").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("low", F.coalesce(F.sum("size").over(line), F.lit(0)))
@@ -127,7 +156,11 @@ def mix_sources(docs: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: whole copies, and of a document taken in part the very words taken."""
+    """The mix itself, with the columns of ``docs``: whole copies, and of a document taken in part the very words taken.
+
+    Rows without words (null or empty texts) are never taken; repeated rows are documents of their own; very
+    long texts are cut between words; an empty table gives no rows; extra columns of whatever name are copied.
+    """
     rows = mix_sources(docs, keep=True).withColumn("piece", F.explode("pieces"))
     words = F.col("piece.to") - F.col("piece.from")
     part = words < F.col("size")
@@ -145,7 +178,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, ''))) AS order_key
+         md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS order_key
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

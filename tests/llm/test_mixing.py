@@ -93,6 +93,47 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert mixed.where(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_many_sources_meet_the_sql(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 2, 5, 40])), f"host{i % 20_000}" if i % 7 else None, "x") for i in range(30_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    documents = df.toPandas()  # noqa: F841
+    got = M.mix_sources(df).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = duckdb.sql(M.SQL).df().sort_values("doc_id").reset_index(drop=True)
+    assert (got == want[got.columns]).all().all()
+
+
+def test_rows_of_one_id_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD", 2000)
+    rows = [(None if i % 2 else 5, f"t{i} " * 40, "hot", "x") for i in range(1000)]
+    got = M.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 1000 and sum(r.taken for r in got) == pytest.approx(40_000, abs=M.BLOCK * 22)
+    monkeypatch.setattr(M, "digest", lambda *p: F.lit("0" * 32))  # all in one shard: what the text in the key prevents
+    assert sum(r.taken for r in M.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()) == 40_000
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "a", "b", "c"]), i, rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i long, x long")
+    got = {r.i: (r.s, r.n) for r in M.running(df, [F.col("g").asc_nulls_last(), F.col("i").desc()], {"s": F.col("x"), "n": F.lit(1)}).collect()}
+    total = 0
+    for n, (_, i, x) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", -r[1]))):
+        assert got[i] == (total, n)
+        total += x
+
+
+def test_mixed_documents_of_odd_tables(spark):
+    schema = "doc_id long, text string, source string, size string, taken long, shard string, piece string, row string"
+    assert M.mixed_documents(spark.createDataFrame([], schema)).collect() == []
+    rows = [(None, None, None, "s", 1, "a", "b", "c"), (1, "", "a", "s", 1, "a", "b", "c"), (2, "word " * 300_000, "a", "s", 1, "a", "b", "c"), (3, "one two", None, "s", 1, "a", "b", "c"), (3, "one two", None, "s", 1, "a", "b", "c")]
+    out = M.mixed_documents(spark.createDataFrame(rows, schema))
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "source", "size", "taken", "shard", "piece", "row"]
+    assert {(r["size"], r.taken, r.shard, r.piece, r["row"]) for r in got} == {("s", 1, "a", "b", "c")}
+    assert abs(sum(len((r.text or "").split()) for r in got) - 300_004) <= 3 * M.BLOCK
+
+
 def test_empty_and_wordless(spark):
     assert M.mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
     got = M.mix_sources(spark.createDataFrame([(1, None, None, ""), (None, " ", "a", "")], SCHEMA)).collect()
@@ -107,7 +148,7 @@ def test_mixed_documents_hold_the_very_words_of_the_run(spark):
     taken, tails = {r.source: r.n for r in M.mix_sources(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("n")).collect()}, 0
     md5 = lambda *x: hashlib.md5("|".join(map(str, (M.SEED, *x))).encode()).hexdigest()
     for s, n in taken.items():
-        line = [w for i, t, x, _ in sorted(rows, key=lambda r: md5(r[0])) if x == s for w in t.split()]
+        line = [w for i, t, x, _ in sorted(rows, key=lambda r: md5(r[0], hashlib.md5(r[1].encode()).hexdigest())) if x == s for w in t.split()]
         z = len(line)
         start = int(md5(s, 0)[:8], 16) % -(-z // M.BLOCK) * M.BLOCK
         want = Counter({w: n // z for w in line})
