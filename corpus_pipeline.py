@@ -46,10 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between two stages the rows are written to shared storage and read again."""
+    """All stages over ``documents``; between two stages the rows are written to shared storage and read again.
+
+    A stage's table goes once the next one is written; that of the last stage but one stays, since the
+    result reads it.
+    """
     docs = common.table(spark, sf_dir, "documents")
     base = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            common.remove(spark, f"{base}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -118,22 +118,31 @@ def keyed_runs(batches, key: str, least: int = 200_000):
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (single-machine runs, tests) a folder of our own is set.
+    Only where that setting is empty in a single-machine run, as in tests, a folder of our own is set.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and stage tables; raises on a cluster that names none."""
     context = spark.sparkContext
     named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """The session's shuffle partitions, or ``least`` if that is more."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -54,6 +54,25 @@ def test_stages_take_effect(spark, tables, tmp_path):
     assert sorted((r.doc_id, tuple(r.ids)) for r in C.run(spark, base).collect()) == mixed
 
 
+def test_clashing_columns_ties_and_very_long_texts(spark, tables, tmp_path):
+    base, docs, _ = tables
+    extra = ["score", "label", "node", "n", "size", "row", "piece", "pieces", "kind", "keep", "root", "text_key", "shard", "taken", "cut", "first"]
+    long = "\n".join(docs[2][1].split("\n") * 400)
+    rows = [*docs, (9001, long, "en", "src0", len(long)), (9002, long + " tail", "en", "src0", len(long) + 5), docs[4], (None, docs[3][1] + " x", "en", None, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame = frame.select("*", *(F.lit(f"<{c}>").alias(c) for c in extra))
+    columns = frame.columns
+    for name, stage in C.STAGES:
+        stage(spark, frame, base).write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+        if name != "bpe":
+            assert frame.columns == columns and frame.count() > 0
+            assert frame.where(" or ".join(f"`{c}` is null or `{c}` <> '<{c}>'" for c in extra)).count() == 0
+        if name == "near_dedup":
+            kept = [r.doc_id for r in frame.select("doc_id").collect()]
+            assert 9002 not in kept and kept.count(docs[4][0]) <= 1
+
+
 def test_empty_documents(spark, tables, tmp_path):
     base, *_ = tables
     frame = spark.read.parquet(f"{base}/documents.parquet").limit(0)
