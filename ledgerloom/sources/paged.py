@@ -114,6 +114,8 @@ def clear_cache(spark: SparkSession, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's checkpoint folder, else one in the warehouse."""
+    """A folder that driver and executors share: the cluster's checkpoint folder; a single machine may do with one in the warehouse."""
     named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
