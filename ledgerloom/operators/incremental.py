@@ -14,13 +14,21 @@ KEYS = ["product", "network"]
 #: How much worse than the stored state a rebuilt one may deviate from supply and still replace it.
 REBUILD_SLACK = 0.005
 WARN_SHARE, MIN_NOTIONAL_USD = 0.05, 1_000_000
+#: Units (product and network) up to which a table of one row a unit is broadcast, counted first.
+MOST_UNITS = 100_000
+
+
+def _units(cursor: DataFrame) -> DataFrame:
+    """(product, network, last_ts) of a cursor: a row a unit, broadcast only when counted to be few."""
+    one = cursor.groupBy(*KEYS).agg(F.max("last_ts").alias("last_ts"))
+    return F.broadcast(one) if one.count() <= MOST_UNITS else one
 
 
 def since_cursor(ledger: DataFrame, cursor: DataFrame | None) -> DataFrame:
     """Rows from the start of each cursor's UTC day on; all rows of products and networks without one."""
     if cursor is None:
         return ledger
-    c = cursor.select(*KEYS, (F.floor(F.col("last_ts") / DAY) * DAY).alias("_from"))
+    c = _units(cursor).select(*KEYS, (F.floor(F.col("last_ts") / DAY) * DAY).alias("_from"))
     return ledger.join(c, KEYS, "left").where("_from is null or ts_unix >= _from").drop("_from")
 
 
@@ -28,28 +36,25 @@ def drop_boundary(fetched: DataFrame, cursor: DataFrame | None) -> DataFrame:
     """Without rows whose ids the cursor has seen on its boundary day. By id, never by order; no cursor or no ids drops nothing."""
     if cursor is None:
         return fetched
-    seen = cursor.select(*KEYS, F.explode("boundary_ids").alias("id")).distinct()
-    return fetched.join(seen, [*KEYS, "id"], "left_anti")
+    return fetched.join(cursor.where("id is not null").select(*KEYS, "id"), [*KEYS, "id"], "left_anti")
 
 
 def next_cursor(fresh: DataFrame, prior: DataFrame | None) -> DataFrame:
-    """(product, network, last_ts, boundary_ids): the latest time and the ids of its UTC day.
+    """(product, network, last_ts, id): the latest time, and a row for each id of its UTC day.
 
-    Ids of the same day as before are joined by the earlier ones; without new rows the cursor stays.
+    Ids of the same day as before are joined by the earlier ones; without new rows the cursor stays. Ids
+    are rows, so a busy day is spread over tasks; a cursor without ids is one row with a null id.
     """
+    seen = fresh.select(*KEYS, "ts_unix", "id")
+    if prior is not None:
+        seen = seen.unionByName(prior.select(*KEYS, F.col("last_ts").alias("ts_unix"), "id"))
+    last = seen.groupBy(*KEYS).agg(F.max("ts_unix").alias("last_ts"))
+    last = F.broadcast(last) if last.count() <= MOST_UNITS else last
     day = lambda c: F.floor(F.col(c) / DAY)
-    last = fresh.groupBy(*KEYS).agg(F.max("ts_unix").alias("last_ts"))
-    on_last = fresh.join(last, KEYS).where(day("ts_unix") == day("last_ts"))
-    new = on_last.groupBy(*KEYS, "last_ts").agg(F.collect_set("id").alias("boundary_ids"))
-    if prior is None:
-        return new.withColumn("boundary_ids", F.sort_array("boundary_ids"))
-    both = new.alias("n").join(prior.alias("p"), KEYS, "full_outer")
-    ids_n, ids_p = F.col("n.boundary_ids"), F.coalesce("p.boundary_ids", F.array().cast("array<string>"))
-    newer = F.col("n.last_ts").isNotNull()
-    same = newer & (F.floor(F.col("n.last_ts") / DAY) == F.floor(F.col("p.last_ts") / DAY))
-    ids = F.when(same, F.array_union(ids_n, ids_p)).when(newer, ids_n).otherwise(ids_p)
-    latest = F.when(same, F.greatest("n.last_ts", "p.last_ts")).when(newer, F.col("n.last_ts")).otherwise(F.col("p.last_ts"))
-    return both.select(*KEYS, latest.alias("last_ts"), F.sort_array(ids).alias("boundary_ids"))
+    ids = seen.join(last, KEYS).where(day("ts_unix") == day("last_ts")).select(*KEYS, "last_ts", "id").distinct()
+    some = ids.groupBy(*KEYS).agg(F.count("id").alias("_n"))
+    some = F.broadcast(some) if last.count() <= MOST_UNITS else some
+    return ids.join(some, KEYS).where("id is not null or _n = 0").select(*KEYS, "last_ts", "id")
 
 
 def deltas(fresh: DataFrame, case_sensitive: Column | bool = False) -> DataFrame:
@@ -63,12 +68,35 @@ def merge(state: DataFrame | None, change: DataFrame) -> DataFrame:
     return both.groupBy(*KEYS, "address").agg(F.sum("balance").cast(RAW).alias("balance"), F.min("first_receipt").alias("first_receipt"))
 
 
+def unit_name(product: str, network: str) -> str:
+    return f"{product}/{network}"
+
+
+def lifecycle(store: VersionedStore) -> dict[str, dict]:
+    """Backfill state by unit: ``lifecycle`` (in_progress or complete; a unit never begun has none) and ``span_days``."""
+    return store.meta.get("units", {})
+
+
+def outside_backfill(ledger: DataFrame, store: VersionedStore) -> DataFrame:
+    """Without the units whose backfill is in progress: normal runs leave those alone."""
+    busy = [u for u, x in lifecycle(store).items() if x["lifecycle"] == "in_progress"]
+    return ledger.where(~F.concat_ws("/", *KEYS).isin(busy)) if busy else ledger
+
+
 def run_increment(ledger: DataFrame, store: VersionedStore) -> int:
     """One run: fetch from the cursor's day, drop what was seen, merge, move the cursor; one atomic commit."""
+    return _advance(outside_backfill(ledger, store), store)
+
+
+def _advance(ledger: DataFrame, store: VersionedStore, meta: dict | None = None, at_least: tuple[str, str, int] | None = None) -> int:
     at = store.version
     state, cursor = store.read("state"), store.read("cursor")
     fresh = drop_boundary(since_cursor(ledger, cursor), cursor)
-    return store.commit({"state": merge(state, deltas(fresh)), "cursor": next_cursor(fresh, cursor)}, expect=at)
+    moved = next_cursor(fresh, cursor)
+    if at_least:  # the cursor of a window's end, where the window held nothing later
+        end = ledger.sparkSession.createDataFrame([(*at_least, None)], moved.schema)
+        moved = next_cursor(moved.unionByName(end).withColumnRenamed("last_ts", "ts_unix"), None)
+    return store.commit({"state": merge(state, deltas(fresh)), "cursor": moved}, meta, expect=at)
 
 
 def reconcile(held: DataFrame) -> DataFrame:
@@ -108,11 +136,27 @@ def rebuild(ledger: DataFrame, supply: DataFrame, store: VersionedStore) -> int
 
 
 def backfill(windows: list[DataFrame], store: VersionedStore, complete: bool) -> int:
-    """Oldest to newest, one commit a window, so a stopped run resumes after the last; an empty window commits its cursor unchanged."""
+    """Windows of all units together, oldest to newest, one commit a window, so a stopped run resumes after the last."""
     for i, rows in enumerate(windows):
-        run_increment(rows, store)
         last = complete and i == len(windows) - 1
-        store.commit({}, {"lifecycle": "complete" if last else "in_progress"})
+        _advance(rows, store, {"lifecycle": "complete" if last else "in_progress"})
+    return store.version
+
+
+def backfill_unit(product: str, network: str, windows: list[tuple[DataFrame, int]], store: VersionedStore, complete: bool, span_days: int | None = None) -> int:
+    """A unit's windows (rows, end exclusive), oldest to newest, one commit each: state, cursor, lifecycle and span together.
+
+    The cursor ends at the last row's time or, in a window without rows, at its end, so that an empty stretch
+    isn't asked for again. ``span_days`` is what the next run is to begin with. While the unit is in
+    progress, ``run_increment`` leaves it alone.
+    """
+    unit = unit_name(product, network)
+    for i, (rows, end) in enumerate(windows):
+        done = complete and i == len(windows) - 1
+        entry = {**lifecycle(store).get(unit, {}), "lifecycle": "complete" if done else "in_progress", **({"span_days": span_days} if span_days else {})}
+        mine = rows.where((F.col("product") == product) & (F.col("network") == network))
+        empty = (product, network, end - 1) if mine.isEmpty() else None
+        _advance(mine, store, {"units": {**lifecycle(store), unit: entry}}, empty)
     return store.version
 
 

@@ -1,7 +1,8 @@
 """Streams of the ledger and of events.
 
-Batch state lives in the versioned store, so balances and cursor commit together; the stream's batch
-number is kept in the store's metadata and a batch seen before is skipped, which makes retries harmless.
+Batch state lives in the versioned store, so balances, cursor and known ids commit together; the stream's
+batch number is kept in the store's metadata and a batch seen before is skipped, which makes retries
+harmless, and an id that comes again in a later batch is known, which makes redelivery harmless.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import deltas, merge
+from ..operators.incremental import KEYS, deltas, merge, next_cursor
+from ..sources.ledger import DAY
 from ..sources.store import VersionedStore
 
 
@@ -21,15 +23,36 @@ def ledger_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return reader.parquet(path)
 
 
-def maintain_state(stream: DataFrame, store: VersionedStore, checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch into the stored holder state; runs until what is available is consumed."""
+def maintain_state(stream: DataFrame, store: VersionedStore, checkpoint: str, horizon_days: int | None = None) -> StreamingQuery:
+    """Merge every micro-batch into the stored holder state; runs until what is available is consumed.
+
+    Tables ``state``, ``cursor`` and ``seen`` (unit, id, ts_unix) change together. With ``horizon_days`` ids
+    are remembered for so many days behind each unit's latest row, and older rows, which can't be told
+    from known ones any more, go to the table ``late`` for a rebuild; without it all ids are remembered.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         at = store.version
         if store.meta.get("batch", -1) >= number:
             return
-        fresh = batch.dropDuplicates(["product", "network", "id"])
-        store.commit({"state": merge(store.read("state"), deltas(fresh))}, {"batch": number}, expect=at)
+        state, cursor, seen, late = (store.read(t) for t in ("state", "cursor", "seen", "late"))
+        fresh = batch.dropDuplicates([*KEYS, "id"])
+        if seen is not None:
+            fresh = fresh.join(seen.select(*KEYS, "id"), [*KEYS, "id"], "left_anti")
+        tables: dict[str, DataFrame] = {}
+        if horizon_days is not None and cursor is not None:
+            floor = cursor.groupBy(*KEYS).agg((F.max("last_ts") - horizon_days * DAY).alias("_floor"))
+            old = F.coalesce(F.col("ts_unix") < F.col("_floor"), F.lit(False))
+            marked = fresh.join(floor, KEYS, "left")
+            lost, fresh = marked.where(old).drop("_floor"), marked.where(~old).drop("_floor")
+            tables["late"] = lost if late is None else late.unionByName(lost).dropDuplicates([*KEYS, "id"])
+        moved = next_cursor(fresh, cursor)
+        known = fresh.select(*KEYS, "id", "ts_unix")
+        known = known if seen is None else seen.unionByName(known)
+        if horizon_days is not None:
+            floor = moved.groupBy(*KEYS).agg((F.max("last_ts") - horizon_days * DAY).alias("_floor"))
+            known = known.join(floor, KEYS).where("ts_unix >= _floor").drop("_floor")
+        store.commit({"state": merge(state, deltas(fresh)), "cursor": moved, "seen": known, **tables}, {"batch": number}, expect=at)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -76,6 +76,55 @@ def test_backfill_lifecycle(spark, tmp_path):
     assert store.meta["lifecycle"] == "complete" and state_of(store.read("state")) == replay(rows)
 
 
+def test_units_have_their_own_lifecycle(spark, tmp_path):
+    from ledgerloom.sources.ledger import DAY
+
+    rows, store = random_rows(5), VersionedStore(spark, str(tmp_path / "s"))
+    cut = 10 * DAY
+    early, late = [r for r in rows if r[4] < cut], [r for r in rows if r[4] >= cut]
+    incremental.backfill_unit("p", "n0", [(frame(spark, early), cut), (frame(spark, []), 11 * DAY)], store, False, 17)
+    assert incremental.lifecycle(store) == {"p/n0": {"lifecycle": "in_progress", "span_days": 17}}
+    ((last, i),) = [(r.last_ts, r.id) for r in store.read("cursor").collect()]
+    assert (last, i) == (11 * DAY - 1, None)  # the empty window's end
+    incremental.run_increment(frame(spark, rows), store)  # n0 is in progress: only n1 moves
+    assert state_of(store.read("state")) == replay([r for r in rows if r[1] == "n1" or r in early])
+    incremental.backfill_unit("p", "n0", [(frame(spark, [r for r in late if r[4] >= 11 * DAY]), 400 * DAY)], store, True)
+    assert incremental.lifecycle(store)["p/n0"] == {"lifecycle": "complete", "span_days": 17}
+    want = [r for r in rows if r[1] == "n1" or not cut <= r[4] < 11 * DAY]
+    assert state_of(store.read("state")) == replay(want)
+    incremental.run_increment(frame(spark, want), store)
+    assert state_of(store.read("state")) == replay(want)
+
+
+def test_ids_that_come_again_in_a_later_batch_count_once(spark, tmp_path):
+    rows = random_rows(6, 60)
+    for i, part in enumerate((rows[:40], rows[20:], rows[:5] + rows[55:])):
+        append(frame(spark, part).coalesce(1), str(tmp_path / "in"))
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    stream = streams.ledger_stream(spark, str(tmp_path / "in"), LEDGER_SCHEMA, 1)
+    streams.maintain_state(stream, store, str(tmp_path / "ck")).awaitTermination()
+    assert store.version == 3 and state_of(store.read("state")) == replay(rows)
+    last = {n: max(r[4] for r in rows if r[1] == n) for n in ("n0", "n1")}
+    assert {(r.network, r.last_ts) for r in store.read("cursor").collect()} == set(last.items())
+
+
+def test_rows_behind_the_horizon_are_kept_apart(spark, tmp_path):
+    rows = random_rows(7, 200)  # 16 days
+    for part in (rows[100:], rows[:10] + rows[150:]):
+        append(frame(spark, part).coalesce(1), str(tmp_path / "in"))
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    stream = streams.ledger_stream(spark, str(tmp_path / "in"), LEDGER_SCHEMA, 1)
+    streams.maintain_state(stream, store, str(tmp_path / "ck"), horizon_days=6).awaitTermination()
+    got = state_of(store.read("state"))
+    first = {r.id for r in store.read("late").collect()}
+    if store.read("late").count() == 10:  # the later rows came first
+        assert first == {r[2] for r in rows[:10]} and got == replay(rows[100:])
+    else:
+        assert first == set() and got == replay(rows[:10] + rows[100:])
+    top = max(r[4] for r in rows)
+    assert store.read("seen").agg(F.min("ts_unix")).first()[0] >= top - 7 * 86_400
+
+
 def test_stream_equals_batch_and_retries_are_harmless(spark, tmp_path):
     rows, store = random_rows(4), VersionedStore(spark, str(tmp_path / "s"))
     for a, b in ((0, 100), (100, 200), (200, 300)):
