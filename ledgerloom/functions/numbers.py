@@ -34,7 +34,7 @@ def integer_text(text: Column) -> Column:
 
 def integer_text_or_zero(text: Column) -> Column:
     """The read side's lenient form: text that is no integer counts as 0."""
-    return F.when(text.rlike(r"^-?\d+$"), F.expr("1") * text.try_cast(RAW)).otherwise(F.lit(0)).cast(RAW)
+    return F.when(text.rlike(r"^-?\d+$"), text.try_cast(RAW)).otherwise(F.lit(0)).cast(RAW)
 
 
 def tokens(raw: Column, decimals: Column) -> Column:
@@ -45,6 +45,31 @@ def tokens(raw: Column, decimals: Column) -> Column:
     return whole + rest.cast("double") / scale.cast("double")
 
 
+def floor_div(x: Column, d: Column) -> Column:
+    """floor(x / d) of exact integers, d above zero."""
+    return ((x - F.pmod(x, d)) / d).cast(RAW)
+
+
+def usd_micro(raw: Column, decimals: Column, nav: Column) -> Column:
+    """Smallest units at a NAV, as whole millionths of a dollar, rounded half up once; the NAV counts to six places.
+
+    Whole tokens and the rest are multiplied apart, so nothing passes 38 digits.
+    """
+    price = (nav.cast("decimal(18,6)") * F.lit(1_000_000)).cast("decimal(18,0)")
+    scale = pow10(decimals)
+    rest = F.pmod(raw, scale).cast(RAW)
+    whole = ((raw - rest) / scale).cast(RAW)
+    twice = (rest * price).cast(RAW) * F.lit(2).cast("decimal(1,0)")
+    return ((whole * price).cast(RAW) + floor_div((twice.cast(RAW) + scale).cast(RAW), (scale * F.lit(2).cast("decimal(1,0)")).cast(RAW))).cast(RAW)
+
+
+def dollars(micro: Column, digits: int = 2) -> Column:
+    """Millionths of a dollar as a double, rounded half up to ``digits`` in integers."""
+    step = 10 ** (6 - digits)
+    whole = floor_div((micro + F.lit(step // 2).cast("decimal(7,0)")).cast(RAW), F.lit(step).cast(RAW))
+    return whole.cast("double") / float(10**digits)
+
+
 def permyriad(part: Column, whole: Column) -> Column:
     """floor(part * 10000 / whole) as a long for 0 <= part <= whole; 0 where whole is 0."""
     scaled = part * F.lit(10000).cast("decimal(5,0)")

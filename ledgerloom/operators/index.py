@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import RAW, half_up, permyriad, pow10
+from ..functions.numbers import RAW, half_up, permyriad, pow10, usd_micro
 from ..functions.scores import FACTORS, METHODOLOGY_VERSION, factor_score
 from ..sources.ledger import DAY, ZERO, day_of
 from .replay import legs
@@ -36,59 +36,92 @@ def month_calendar(ledger: DataFrame) -> DataFrame:
     return months.select(F.explode(F.sequence("first", "last")).alias("month")).withColumn("month_end", month_end_day(F.col("month")))
 
 
+#: Levels of the month tree below: 4096 months.
+LEVELS = 12
+
+
+def blocks(first: Column, last: Column) -> Column:
+    """The fewest blocks (level, index) of the binary month tree that make up the months from ``first`` to ``last``."""
+    found = []
+    for level in range(LEVELS):
+        size = 2**level
+        a, b = F.ceil(first / size), F.floor((last + 1) / size) - 1  # whole blocks inside
+        block = lambda i, ok, level=level: F.when(ok, F.struct(F.lit(level).alias("level"), i.cast("long").alias("block")))
+        found += [block(a, (a <= b) & (a % 2 == 1)), block(b, (a <= b) & (b % 2 == 0))]
+    return F.array_compact(F.array(*found))
+
+
 def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame, aum: DataFrame) -> DataFrame:
     """One row a (month, product): AUM, holders, top-5 share, dormant share, 30-day volume and velocity.
 
-    Nothing is replayed a month: legs are summed to (product, address, month), a running sum gives the
-    balance from each change to the next, and only positive balances are stretched over their months.
-    The running last outbound time tells who moved within a trailing window; for volumes a transfer is
-    assigned to the few month-ends that look back at it, an equi group-by in place of a range join. Shuffles: one by (product, address), one by (product, month).
+    Nothing is replayed a month and no wallet is stretched over its months. Legs are summed to (product,
+    address, month); a running sum gives the balance from each change to the next, an interval of months.
+    Counts and sums are differences at an interval's ends, summed up month by month: an interval is
+    dormant from the first month-end that lies beyond the trailing window of its last outbound transfer.
+    For the top 5 an interval goes to the few blocks of a binary tree of months that make it up; each
+    block keeps its five largest, and a month's five are among those of the blocks above it. For volumes
+    a transfer is assigned to the month-ends that look back at it. Shuffles: one by (product, address),
+    the others of pre-aggregated rows by (product, month) or (product, block).
     """
-    bounds = calendar.agg(F.min("month").alias("first"), F.max("month").alias("last"))
-    last = F.broadcast(bounds.select("last"))
+    bounds = calendar.agg(F.max("month").alias("last"))
+    last = F.broadcast(bounds)
     leg = legs(ledger, ("product",)).withColumn("month", month_number(day_of(F.col("ts_unix"))))
     change = leg.groupBy("product", "address", "month").agg(F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"))
     w = Window.partitionBy("product", "address").orderBy("month")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     held = change.withColumns({"balance": F.sum("net").over(so_far).cast(RAW), "last_out": F.max("out_ts").over(so_far), "next": F.lead("month").over(w)})
     held = held.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last"))).where("balance > 0 and until >= month")
-    monthly = held.select("product", "address", F.explode(F.sequence("month", "until")).alias("month"), "balance", "last_out")
-    # every outbound row makes a change, so the last one before a month-end is that of the change in force
-    monthly = monthly.withColumn("moved", F.coalesce(F.col("last_out") >= month_end_unix(F.col("month")) - DAYS_90, F.lit(False)))
+    seen = F.col("last_out") + DAYS_90
+    own = month_number(day_of(seen))  # its month-end is the first at or after ``seen``
+    still = F.when(F.col("last_out").isNull(), F.col("month")).otherwise(F.greatest(F.col("month"), own + F.when(month_end_unix(own) <= seen, 1).otherwise(0)))
+    top = Window.partitionBy("product", "level", "block").orderBy(F.desc("balance"), "address")
+    zero = F.lit(0).cast(RAW)
+    event = lambda m, n, total, dormant: F.struct(m.cast("long").alias("month"), F.lit(n).alias("n"), total.cast(RAW).alias("total"), dormant.cast(RAW).alias("dormant"))
+    b, after = F.col("balance"), F.col("until") + 1
+    dormant = F.col("still") <= F.col("until")
+    ends = F.array(event(F.col("month"), 1, b, zero), event(after, -1, -b, zero), event(F.when(dormant, F.col("still")), 0, zero, b), event(F.when(dormant, after), 0, zero, -b))
+    events = held.withColumn("still", still).select("product", F.explode(F.filter(ends, lambda e: e["month"].isNotNull())).alias("e")).select("product", "e.*")
+    steps = events.groupBy("product", "month").agg(F.sum("n").alias("n"), F.sum("total").cast(RAW).alias("total"), F.sum("dormant").cast(RAW).alias("dormant"))
+    run = Window.partitionBy("product").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    largest = held.select("product", "address", "balance", F.explode(blocks(F.col("month"), F.col("until"))).alias("t")).select("product", "address", "balance", "t.*")
+    largest = largest.withColumn("_r", F.row_number().over(top)).where("_r <= 5").drop("_r")
+    above = calendar.select("month", F.explode(levels).alias("level")).withColumn("block", F.floor(F.col("month") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    by_month = Window.partitionBy("product", "month").orderBy(F.desc("balance"), "address")
+    five = largest.join(above, ["level", "block"]).withColumn("_r", F.row_number().over(by_month)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
 
     def looked_at(days: int, months: int) -> Column:
         own = month_number(day_of(F.col("ts_unix")))
         some = F.sequence(own, own + months)
         return F.filter(some, lambda m: month_end_unix(m) - days <= F.col("ts_unix"))
 
-    top = Window.partitionBy("product", "month").orderBy(F.desc("balance"), "address")
-    five = monthly.withColumn("_r", F.row_number().over(top)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
-    sums = monthly.groupBy("product", "month").agg(F.count("*").alias("holder_count"), F.sum("balance").cast(RAW).alias("total"), F.coalesce(F.sum(F.when(~F.col("moved"), F.col("balance"))), F.lit(0)).cast(RAW).alias("dormant"))
     between = ledger.where((F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO))
     volume = between.select("product", "value_raw", F.explode(looked_at(DAYS_30, 1)).alias("month")).groupBy("product", "month").agg(F.sum("value_raw").cast(RAW).alias("volume_raw"))
 
     grid = calendar.crossJoin(F.broadcast(products.select("product", "decimals", "nav_usd")))  # months x the products dimension
+    steps = grid.select("product", "month").join(steps, ["product", "month"], "full_outer")
+    total = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0))
+    sums = steps.select("product", "month", total("n").alias("holder_count"), total("total").cast(RAW).alias("total"), total("dormant").cast(RAW).alias("dormant"))
     x = grid.join(sums, ["product", "month"], "left").join(five, ["product", "month"], "left").join(volume, ["product", "month"], "left")
-    x = x.join(aum.select("product", F.col("day").alias("month_end"), "aum_usd"), ["product", "month_end"], "left")
-    zero = F.lit(0).cast(RAW)
+    x = x.join(aum.select("product", F.col("day").alias("month_end"), "aum_micro"), ["product", "month_end"], "left")
     less = pow10(F.greatest(F.lit(0), F.col("decimals") - 6))
     vol = F.coalesce("volume_raw", zero)
-    micro = ((vol - vol % less) / less).cast("double")
-    usd = micro / F.pow(F.lit(10.0), F.least(F.col("decimals"), F.lit(6))) * F.col("nav_usd")
-    aum_usd = F.coalesce("aum_usd", F.lit(0.0))
+    micro = ((vol - vol % less) / less).cast(RAW)  # tokens to six places, the rest cut
+    x = x.withColumns({"volume_micro": usd_micro(micro, F.least(F.col("decimals"), F.lit(6)), F.col("nav_usd")), "aum_micro": F.coalesce("aum_micro", zero).cast(RAW)})
+    aum_usd, usd = F.col("aum_micro").cast("double") / 1e6, F.col("volume_micro").cast("double") / 1e6
     return x.select(
-        "month", "month_end", "product", aum_usd.alias("aum_usd"), F.coalesce("holder_count", F.lit(0)).alias("holder_count"),
+        "month", "month_end", "product", "aum_micro", aum_usd.alias("aum_usd"), F.coalesce("holder_count", F.lit(0)).alias("holder_count"),
         (permyriad(F.coalesce("top5", zero), F.coalesce("total", zero)) / 10000.0).alias("top5_share"),
         (permyriad(F.coalesce("dormant", zero), F.coalesce("total", zero)) / 10000.0).alias("dormancy_share"),
-        usd.alias("volume_30d_usd"), F.when(aum_usd > 0, usd / aum_usd).otherwise(0.0).alias("velocity"),
+        "volume_micro", usd.alias("volume_30d_usd"), F.when(F.col("aum_micro") > 0, usd / aum_usd).otherwise(0.0).alias("velocity"),
     )
 
 
 def month_rollup(rows: DataFrame) -> DataFrame:
-    """One row a month: totals, mean top-5 share over products with holders, AUM-weighted dormancy, velocity, live products. AUM adds up in decimals, whatever the order."""
+    """One row a month: totals, mean top-5 share over products with holders, AUM-weighted dormancy, velocity, live products. AUM adds up in whole millionths, whatever the order."""
     aum, held = F.col("aum_usd"), F.col("holder_count") > 0
     g = rows.groupBy("month", "month_end").agg(
-        F.sum(F.round(aum, 6).cast("decimal(28,6)")).cast("double").alias("total_aum"), F.sum("holder_count").alias("total_holders"), F.coalesce(F.avg(F.when(held, F.col("top5_share"))), F.lit(0.0)).alias("avg_top5_share"),
+        F.sum("aum_micro").cast(RAW).alias("total_micro"), (F.sum("aum_micro").cast(RAW).cast("double") / 1e6).alias("total_aum"), F.sum("holder_count").alias("total_holders"), F.coalesce(F.avg(F.when(held, F.col("top5_share"))), F.lit(0.0)).alias("avg_top5_share"),
         F.sum(F.when(aum > 0, F.col("dormancy_share") * aum)).alias("_d"), F.sum(F.when(aum > 0, aum)).alias("_a"),
         F.sum(F.col("velocity") * aum).alias("total_volume_30d"), F.count_if((aum > 0) | held).alias("live_products"),
     )

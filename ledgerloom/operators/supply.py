@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import RAW, tokens
+from ..functions.numbers import RAW, usd_micro
 from ..sources.ledger import ZERO, day_of
 
 
@@ -32,9 +32,19 @@ def gap_fill(points: DataFrame, keys: list[str], day: str, value: str, order: st
 
 
 def with_aum(series: DataFrame, products: DataFrame, supply: str = "supply_raw") -> DataFrame:
-    """AUM in USD: tokens at today's NAV. The product dimension is a handful of rows."""
+    """AUM in USD: tokens at today's NAV, exact as ``aum_micro`` (millionths), and that as a double in ``aum_usd``.
+
+    The product dimension is a handful of rows.
+    """
     p = F.broadcast(products.select("product", "decimals", "nav_usd"))
-    return series.join(p, "product").withColumn("aum_usd", tokens(F.col(supply), F.col("decimals")) * F.col("nav_usd"))
+    x = series.join(p, "product").withColumn("aum_micro", usd_micro(F.col(supply), F.col("decimals"), F.col("nav_usd")))
+    return x.withColumn("aum_usd", F.col("aum_micro").cast("double") / 1e6)
+
+
+def by_contract(supply: DataFrame, configured: DataFrame) -> DataFrame:
+    """Supply rows (contract, ...) with the product of their contract, whatever its case; rows of other contracts are left out."""
+    c = configured.select(F.lower("contract").alias("_contract"), "product").distinct()  # the products' own contracts: a dimension
+    return supply.withColumn("_contract", F.lower("contract")).join(F.broadcast(c), "_contract").drop("_contract")
 
 
 def loose_number(text: Column) -> Column:
@@ -57,9 +67,9 @@ def as_of(dates: DataFrame, series: DataFrame, keys: list[str], day: str, value:
 def daily_total(series: DataFrame) -> DataFrame:
     """AUM summed over the products that have the day; nothing is carried past a series' end.
 
-    Summed in millionths as decimals, so the result doesn't depend on the order of addition.
+    Summed in whole millionths, so the result doesn't depend on the order of addition.
     """
-    return series.groupBy("day").agg(F.sum(F.round("aum_usd", 6).cast("decimal(28,6)")).cast("double").alias("total_aum_usd"), F.count("*").alias("products"))
+    return series.groupBy("day").agg((F.sum("aum_micro").cast(RAW).cast("double") / 1e6).alias("total_aum_usd"), F.count("*").alias("products"))
 
 
 def supply_by_network(configured: DataFrame, supply: DataFrame) -> DataFrame:

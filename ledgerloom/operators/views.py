@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import tokens
+from ..functions.numbers import RAW, tokens, usd_micro
 from ..sources.ledger import ZERO
 
 
@@ -32,9 +32,10 @@ def recent_large_transfers(ledger: DataFrame, products: DataFrame, usd: float =
     """
     w = Window.partitionBy("product").orderBy(F.desc("ts_unix"), "id")
     x = ledger.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= scanned)
-    x = x.drop("decimals").join(F.broadcast(products.select("product", "decimals", "nav_usd")), "product").withColumn("amount", tokens(F.col("value_raw"), F.col("decimals")))
+    x = x.drop("decimals").join(F.broadcast(products.select("product", "decimals", "nav_usd")), "product")
+    x = x.withColumns({"amount": tokens(F.col("value_raw"), F.col("decimals")), "value_micro": usd_micro(F.col("value_raw"), F.col("decimals"), F.col("nav_usd"))})
     x = x.where(F.col("amount") > usd / F.col("nav_usd")).withColumn("rank", F.row_number().over(Window.partitionBy("product").orderBy("_n"))).where(F.col("rank") <= shown)
-    return x.select("product", "rank", "id", "ts_unix", "from_addr", "to_addr", "amount", (F.col("amount") * F.col("nav_usd")).alias("value_usd"), (F.col("from_addr") == ZERO).alias("is_mint"), (F.col("to_addr") == ZERO).alias("is_burn"))
+    return x.select("product", "rank", "id", "ts_unix", "from_addr", "to_addr", "amount", (F.col("value_micro").cast("double") / 1e6).alias("value_usd"), "value_micro", (F.col("from_addr") == ZERO).alias("is_mint"), (F.col("to_addr") == ZERO).alias("is_burn"))
 
 
 def with_tags(transfers: DataFrame, tags: DataFrame) -> DataFrame:
@@ -49,9 +50,10 @@ def homepage(products: DataFrame, latest_aum: DataFrame, stats: DataFrame) -> Da
     """One row: AUM of products that have any, holders, dormancy weighted by AUM where it is known."""
     x = products.join(latest_aum, "product", "left").join(stats, "product", "left")
     aum, d = F.col("aum_usd"), F.col("dormancy_share_pct")
-    live = F.coalesce(aum > 0, F.lit(False))
+    live = F.coalesce(F.col("aum_micro") > 0, F.lit(False))
+    total = F.sum(F.when(live, F.col("aum_micro"))).cast(RAW)
     return x.agg(
-        F.sum(F.when(live, aum)).alias("total_aum_usd"), F.sum("holder_count").alias("total_holders"), F.count_if(live).alias("products_live"),
+        total.alias("total_aum_micro"), (total.cast("double") / 1e6).alias("total_aum_usd"), F.sum("holder_count").alias("total_holders"), F.count_if(live).alias("products_live"),
         (F.sum(F.when(live, d * aum)) / F.nullif(F.sum(F.when(live & d.isNotNull(), aum)), F.lit(0.0))).alias("dormancy_pct"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, schedule
-from ..functions.numbers import RAW, half_up, tokens
+from ..functions.numbers import RAW, dollars, half_up, tokens
 from ..functions.scores import FACTORS, normalize_sql
 from ..operators import behaviour, holders, incremental, index, replay, supply, views
 from ..sources.dimensions import KNOWN_ADDRESSES, PRODUCTS_SQL, is_custodian, products
@@ -38,6 +38,23 @@ def rs(x: str, digits: int = 4) -> str:
     return f"floor(({x}) * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE"
 
 
+def fd(x: str, d: str) -> str:
+    """floor(x / d) of HUGEINTs."""
+    return f"((({x}) - (((({x}) % ({d})) + ({d})) % ({d}))) // ({d}))"
+
+
+def micro_sql(raw: str, decimals: str, nav: str) -> str:
+    """Millionths of a dollar in integers, as ``numbers.usd_micro``."""
+    scale, price = f"pow(10, {decimals})::HUGEINT", f"round({nav} * 1000000)::HUGEINT"
+    rest = f"((({raw}) % {scale}) + {scale}) % {scale}"
+    return f"((({raw}) - ({rest})) // {scale} * {price} + {fd(f'({rest}) * {price} * 2 + {scale}', f'2 * {scale}')})"
+
+
+def dollars_sql(micro: str, digits: int = 2) -> str:
+    step = 10 ** (6 - digits)
+    return f"{fd(f'{micro} + {step // 2}', str(step))}::DOUBLE / {10**digits}::DOUBLE"
+
+
 def ledger_at(spark: SparkSession, sf_dir: str, now: int = NOW) -> DataFrame:
     return derived_ledger(spark, sf_dir).where(F.col("ts_unix") <= now)
 
@@ -204,13 +221,14 @@ def negative_balances(spark, sf_dir):
 
 
 def _held(spark, sf_dir) -> DataFrame:
-    """Positive balances in tokens against the ledger's own net supply."""
+    """Positive balances in tokens against the ledger's own net supply, both from one replay.
+
+    A transfer's two legs cancel unless it mints or burns, so all balances of a unit add up to its net supply.
+    """
     p = products(spark).select("product", "decimals", "nav_usd")
-    w = wallets_at(spark, sf_dir).join(F.broadcast(p), "product")
-    positive = holders.positive_tokens(w, PN)
-    net = F.when(F.col("from_addr") == ZERO, F.col("value_raw")).when(F.col("to_addr") == ZERO, -F.col("value_raw")).otherwise(F.lit(0).cast(RAW))
-    s = ledger_at(spark, sf_dir).groupBy(*PN, "decimals").agg(F.sum(net).cast(RAW).alias("supply_raw")).withColumn("supply_tokens", tokens(F.col("supply_raw"), F.col("decimals")))
-    return positive.join(s.select(*PN, "supply_tokens"), PN, "left").join(F.broadcast(p.select("product", "nav_usd")), "product")
+    raw = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(RAW)
+    x = wallets_at(spark, sf_dir).groupBy(*PN).agg(raw(F.when(F.col("balance") > 0, F.col("balance"))).alias("positive_raw"), raw("balance").alias("supply_raw")).join(F.broadcast(p), "product")
+    return x.withColumns({"positive_tokens": tokens(F.col("positive_raw"), F.col("decimals")), "supply_tokens": tokens(F.col("supply_raw"), F.col("decimals"))})
 
 
 @query(f"""WITH {wallets_sql()}, {PRODUCTS_SQL},
@@ -248,7 +266,8 @@ days AS (SELECT product, DATE '1970-01-01' + (ts_unix // {DAY})::INT AS day, sum
 points AS (SELECT product, day, sum(net) OVER (PARTITION BY product ORDER BY day) AS supply_raw FROM days),
 calendar AS (SELECT product, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM points GROUP BY product),
 filled AS (SELECT c.product, c.day, last_value(p.supply_raw IGNORE NULLS) OVER (PARTITION BY c.product ORDER BY c.day) AS supply_raw FROM calendar c LEFT JOIN points p ON p.product = c.product AND p.day = c.day),
-aum AS (SELECT f.product, f.day, f.supply_raw, f.supply_raw::DOUBLE / pow(10, decimals) * nav_usd AS aum_usd FROM filled f JOIN products d ON d.product = f.product)"""
+micros AS (SELECT f.product, f.day, f.supply_raw, {micro_sql('f.supply_raw', 'decimals', 'nav_usd')} AS aum_micro FROM filled f JOIN products d ON d.product = f.product),
+aum AS (SELECT *, aum_micro::DOUBLE / 1000000 AS aum_usd FROM micros)"""
 
 
 def _aum(spark, sf_dir) -> DataFrame:
@@ -261,12 +280,12 @@ def supply_daily(spark, sf_dir):
     return supply.daily_supply(derived_ledger(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"WITH {_SUPPLY_SQL} SELECT product, day::VARCHAR AS day, supply_raw::{D38} AS supply_raw, {rs('aum_usd', 2)} AS aum_usd FROM aum")
+@query(f"WITH {_SUPPLY_SQL} SELECT product, day::VARCHAR AS day, supply_raw::{D38} AS supply_raw, {dollars_sql('aum_micro')} AS aum_usd FROM aum")
 def supply_gap_filled(spark, sf_dir):
-    return _aum(spark, sf_dir).select("product", F.col("day").cast("string").alias("day"), "supply_raw", r(F.col("aum_usd"), 2).alias("aum_usd"))
+    return _aum(spark, sf_dir).select("product", F.col("day").cast("string").alias("day"), "supply_raw", dollars(F.col("aum_micro")).alias("aum_usd"))
 
 
-@query(f"WITH {_SUPPLY_SQL} SELECT day::VARCHAR AS day, sum(round(aum_usd, 6)::DECIMAL(28,6))::DOUBLE AS total_aum_usd, count(*) AS products FROM aum GROUP BY day")
+@query(f"WITH {_SUPPLY_SQL} SELECT day::VARCHAR AS day, sum(aum_micro)::HUGEINT::DOUBLE / 1000000 AS total_aum_usd, count(*) AS products FROM aum GROUP BY day")
 def aum_daily_total(spark, sf_dir):
     return supply.daily_total(_aum(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), "total_aum_usd", "products")
 
@@ -286,15 +305,15 @@ def month_end_calendar(spark, sf_dir):
 def _month_aum(spark, sf_dir) -> DataFrame:
     months = index.month_calendar(derived_ledger(spark, sf_dir)).select(F.col("month_end").alias("day"))
     dates = months.crossJoin(F.broadcast(products(spark).select("product")))
-    return supply.as_of(dates, _aum(spark, sf_dir), ["product"], "day", "aum_usd")
+    return supply.as_of(dates, _aum(spark, sf_dir), ["product"], "day", "aum_micro")
 
 
-_ASOF_SQL = "month_aum AS (SELECT p.product, m.month_end, m.month_ts, m.i, p.decimals, p.nav_usd, arg_max(a.aum_usd, a.day) AS aum_usd FROM months m CROSS JOIN products p LEFT JOIN aum a ON a.product = p.product AND a.day <= m.month_end GROUP BY ALL)"
+_ASOF_SQL = "month_aum AS (SELECT p.product, m.month_end, m.month_ts, m.i, p.decimals, p.nav_usd, arg_max(a.aum_micro, a.day) AS aum_micro FROM months m CROSS JOIN products p LEFT JOIN aum a ON a.product = p.product AND a.day <= m.month_end GROUP BY ALL)"
 
 
-@query(f"WITH {_SUPPLY_SQL}, {_CALENDAR_SQL}, {_ASOF_SQL} SELECT product, month_end::VARCHAR AS day, {rs('aum_usd', 2)} AS aum_usd FROM month_aum")
+@query(f"WITH {_SUPPLY_SQL}, {_CALENDAR_SQL}, {_ASOF_SQL} SELECT product, month_end::VARCHAR AS day, {dollars_sql('aum_micro')} AS aum_usd FROM month_aum")
 def aum_asof_month_end(spark, sf_dir):
-    return _month_aum(spark, sf_dir).select("product", F.col("day").cast("string").alias("day"), r(F.col("aum_usd"), 2).alias("aum_usd"))
+    return _month_aum(spark, sf_dir).select("product", F.col("day").cast("string").alias("day"), dollars(F.col("aum_micro")).alias("aum_usd"))
 
 
 # ---- index -------------------------------------------------------------------------------------
@@ -307,13 +326,14 @@ sized AS (SELECT *, row_number() OVER (PARTITION BY month_end, product ORDER BY
 sums AS (SELECT month_end, product, count(*) AS holders, sum(balance) AS total, sum(balance) FILTER (rn <= 5) AS top5, coalesce(sum(balance) FILTER (NOT moved), 0) AS dormant FROM sized GROUP BY month_end, product),
 vols AS (SELECT m.month_end, product, sum(value_raw) AS volume FROM months m JOIN ledger ON ts_unix <= month_ts AND ts_unix >= month_ts - {index.DAYS_30} WHERE from_addr <> '{ZERO}' AND to_addr <> '{ZERO}' GROUP BY m.month_end, product),
 metrics AS (
-  SELECT g.i, g.month_end, g.product, coalesce(g.aum_usd, 0) AS aum_usd, coalesce(s.holders, 0) AS holder_count,
+  SELECT g.i, g.month_end, g.product, coalesce(g.aum_micro, 0)::HUGEINT AS aum_micro, coalesce(g.aum_micro, 0)::HUGEINT::DOUBLE / 1000000 AS aum_usd, coalesce(s.holders, 0) AS holder_count,
     coalesce((s.top5 * 10000) // s.total, 0)::DOUBLE / 10000 AS top5_share, coalesce((s.dormant * 10000) // s.total, 0)::DOUBLE / 10000 AS dormancy_share,
-    (coalesce(v.volume, 0) // (CASE WHEN decimals = 18 THEN 1000000000000 ELSE 1 END))::DOUBLE / 1000000 * nav_usd AS volume_30d_usd
+    ((coalesce(v.volume, 0) // (CASE WHEN decimals = 18 THEN 1000000000000 ELSE 1 END))::HUGEINT) AS volume_tokens, nav_usd
   FROM month_aum g LEFT JOIN sums s ON s.month_end = g.month_end AND s.product = g.product LEFT JOIN vols v ON v.month_end = g.month_end AND v.product = g.product),
-product_months AS (SELECT *, CASE WHEN aum_usd > 0 THEN volume_30d_usd / aum_usd ELSE 0 END AS velocity FROM metrics),
+volumes AS (SELECT *, {micro_sql('volume_tokens', '6', 'nav_usd')} AS volume_micro FROM metrics),
+product_months AS (SELECT *, volume_micro::DOUBLE / 1000000 AS volume_30d_usd, CASE WHEN aum_micro > 0 THEN (volume_micro::DOUBLE / 1000000) / aum_usd ELSE 0 END AS velocity FROM volumes),
 rolled AS (
-  SELECT i, month_end, sum(round(aum_usd, 6)::DECIMAL(28,6))::DOUBLE AS total_aum, sum(holder_count)::BIGINT AS total_holders, coalesce(avg(top5_share) FILTER (holder_count > 0), 0) AS avg_top5_share,
+  SELECT i, month_end, sum(aum_micro)::HUGEINT AS total_micro, sum(aum_micro)::HUGEINT::DOUBLE / 1000000 AS total_aum, sum(holder_count)::BIGINT AS total_holders, coalesce(avg(top5_share) FILTER (holder_count > 0), 0) AS avg_top5_share,
     coalesce(sum(dormancy_share * aum_usd) FILTER (aum_usd > 0) / nullif(sum(aum_usd) FILTER (aum_usd > 0), 0), 0) AS avg_dormancy_share,
     sum(velocity * aum_usd) AS total_volume_30d, count(*) FILTER (aum_usd > 0 OR holder_count > 0) AS live_products
   FROM product_months GROUP BY i, month_end),
@@ -347,19 +367,19 @@ def _day(c: str = "month_end"):
     return F.col(c).cast("string").alias(c)
 
 
-_VOLUME_SQL = rs("CASE WHEN aum_usd > 0 THEN volume_30d_usd ELSE 0 END", 2)
+_VOLUME_SQL = dollars_sql("CASE WHEN aum_micro > 0 THEN volume_micro ELSE 0 END")
 
 
-@query(f"WITH {_METRICS_SQL} SELECT month_end::VARCHAR AS month_end, product, {rs('aum_usd', 2)} AS aum_usd, holder_count, top5_share, dormancy_share, {_VOLUME_SQL} AS volume_30d_usd, {rs('velocity', 6)} AS velocity FROM product_months")
+@query(f"WITH {_METRICS_SQL} SELECT month_end::VARCHAR AS month_end, product, {dollars_sql('aum_micro')} AS aum_usd, holder_count, top5_share, dormancy_share, {_VOLUME_SQL} AS volume_30d_usd, {rs('velocity', 6)} AS velocity FROM product_months")
 def month_product_metrics(spark, sf_dir):
-    volume = F.when(F.col("aum_usd") > 0, F.col("volume_30d_usd")).otherwise(0.0)
-    return _product_months(spark, sf_dir).select(_day(), "product", r(F.col("aum_usd"), 2).alias("aum_usd"), "holder_count", "top5_share", "dormancy_share", r(volume, 2).alias("volume_30d_usd"), r(F.col("velocity"), 6).alias("velocity"))
+    volume = F.when(F.col("aum_micro") > 0, F.col("volume_micro")).otherwise(F.lit(0).cast(RAW))
+    return _product_months(spark, sf_dir).select(_day(), "product", dollars(F.col("aum_micro")).alias("aum_usd"), "holder_count", "top5_share", "dormancy_share", dollars(volume).alias("volume_30d_usd"), r(F.col("velocity"), 6).alias("velocity"))
 
 
-@query(f"WITH {_METRICS_SQL} SELECT month_end::VARCHAR AS month_end, {rs('total_aum', 2)} AS total_aum, total_holders, {rs('avg_top5_share', 6)} AS avg_top5_share, {rs('avg_dormancy_share', 6)} AS avg_dormancy_share, {rs('velocity', 6)} AS velocity, live_products FROM month_rows")
+@query(f"WITH {_METRICS_SQL} SELECT month_end::VARCHAR AS month_end, {dollars_sql('total_micro')} AS total_aum, total_holders, {rs('avg_top5_share', 6)} AS avg_top5_share, {rs('avg_dormancy_share', 6)} AS avg_dormancy_share, {rs('velocity', 6)} AS velocity, live_products FROM month_rows")
 def month_rollup(spark, sf_dir):
     x = index.month_rollup(_product_months(spark, sf_dir))
-    return x.select(_day(), r(F.col("total_aum"), 2).alias("total_aum"), "total_holders", *(r(F.col(c), 6).alias(c) for c in ("avg_top5_share", "avg_dormancy_share", "velocity")), "live_products")
+    return x.select(_day(), dollars(F.col("total_micro")).alias("total_aum"), "total_holders", *(r(F.col(c), 6).alias(c) for c in ("avg_top5_share", "avg_dormancy_share", "velocity")), "live_products")
 
 
 @query(f"WITH {_METRICS_SQL} SELECT month_end::VARCHAR AS month_end, {', '.join(rs(f.key, 6) + f' AS {f.key}' for f in FACTORS)} FROM factors")
@@ -416,32 +436,32 @@ def fund_network_rollup(spark, sf_dir):
 
 
 def _latest_aum(spark, sf_dir) -> DataFrame:
-    return _aum(spark, sf_dir).groupBy("product").agg(F.max_by("aum_usd", "day").alias("aum_usd"))
+    return _aum(spark, sf_dir).groupBy("product").agg(F.max_by("aum_usd", "day").alias("aum_usd"), F.max_by("aum_micro", "day").alias("aum_micro"))
 
 
 @query(f"""WITH {_SUPPLY_SQL}, {LEGS_SQL},
 wallets AS (SELECT product, address, sum(amount) AS balance, coalesce(sum(-amount) FILTER (NOT is_in AND ts_unix >= {NOW - W}), 0) AS outflow FROM legs WHERE ts_unix <= {NOW} GROUP BY product, address),
 stats AS (SELECT product, count(*) FILTER (balance > 0) AS holders, coalesce(((sum(balance) FILTER (balance > 0 AND outflow = 0)) * 10000) // sum(balance) FILTER (balance > 0), 0)::DOUBLE / 100 AS d FROM wallets GROUP BY product),
-top AS (SELECT product, arg_max(aum_usd, day) AS a FROM aum GROUP BY product)
-SELECT {rs('sum(a) FILTER (a > 0)', 2)} AS total_aum_usd, sum(holders)::BIGINT AS total_holders, count(*) FILTER (a > 0) AS products_live, {rs('sum(d * a) FILTER (a > 0) / nullif(sum(a) FILTER (a > 0), 0)')} AS dormancy_pct
+top AS (SELECT product, arg_max(aum_micro, day) AS m, arg_max(aum_usd, day) AS a FROM aum GROUP BY product)
+SELECT {dollars_sql('(sum(m) FILTER (m > 0))::HUGEINT')} AS total_aum_usd, sum(holders)::BIGINT AS total_holders, count(*) FILTER (m > 0) AS products_live, {rs('sum(d * a) FILTER (m > 0) / nullif(sum(a) FILTER (m > 0 AND d IS NOT NULL), 0)')} AS dormancy_pct
 FROM products LEFT JOIN top USING (product) LEFT JOIN stats USING (product)""")
 def homepage_summary(spark, sf_dir):
     s = behaviour.stats(wallets_at(spark, sf_dir, keys=("product",)), NOW, ["product"]).select("product", "holder_count", "dormancy_share_pct")
     x = views.homepage(products(spark).select("product"), _latest_aum(spark, sf_dir), s)
-    return x.select(r(F.col("total_aum_usd"), 2).alias("total_aum_usd"), "total_holders", "products_live", r(F.col("dormancy_pct")).alias("dormancy_pct"))
+    return x.select(dollars(F.col("total_aum_micro")).alias("total_aum_usd"), "total_holders", "products_live", r(F.col("dormancy_pct")).alias("dormancy_pct"))
 
 
 _LARGE_SQL = f"""{LEDGER_SQL}, {PRODUCTS_SQL},
 seen AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY ts_unix DESC, id) AS n FROM ledger),
-big AS (SELECT s.product, s.n, s.id, s.ts_unix, s.from_addr, s.to_addr, s.value_raw::DOUBLE / pow(10, p.decimals) AS amount, nav_usd FROM seen s JOIN products p ON p.product = s.product WHERE n <= 200),
+big AS (SELECT s.product, s.n, s.id, s.ts_unix, s.from_addr, s.to_addr, s.value_raw::DOUBLE / pow(10, p.decimals) AS amount, {micro_sql('s.value_raw', 'p.decimals', 'nav_usd')} AS value_micro, nav_usd FROM seen s JOIN products p ON p.product = s.product WHERE n <= 200),
 large AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY n) AS rank FROM big WHERE amount > 30.0 / nav_usd)"""
 
 
-@query(f"WITH {_LARGE_SQL} SELECT product, rank::INT AS rank, id, ts_unix, from_addr, to_addr, amount, {rs('amount * nav_usd')} AS value_usd, from_addr = '{ZERO}' AS is_mint, to_addr = '{ZERO}' AS is_burn FROM large WHERE rank <= 10")
+@query(f"WITH {_LARGE_SQL} SELECT product, rank::INT AS rank, id, ts_unix, from_addr, to_addr, amount, {dollars_sql('value_micro', 4)} AS value_usd, from_addr = '{ZERO}' AS is_mint, to_addr = '{ZERO}' AS is_burn FROM large WHERE rank <= 10")
 def recent_large_transfers(spark, sf_dir):
     """The largest of the latest 200 transfers; the derived ledger's amounts are small, so the floor is 30 USD."""
     x = views.recent_large_transfers(derived_ledger(spark, sf_dir), products(spark), 30.0)
-    return x.withColumn("rank", F.col("rank").cast("int")).withColumn("value_usd", r(F.col("value_usd")))
+    return x.withColumn("rank", F.col("rank").cast("int")).withColumn("value_usd", dollars(F.col("value_micro"), 4)).drop("value_micro")
 
 
 @query(f"""WITH {_LARGE_SQL}, tags AS (SELECT 's' || s_suppkey AS address, {_TAG_SQL} AS name_tag FROM supplier)
@@ -476,10 +496,19 @@ def boundary_dedup(spark, sf_dir):
     return incremental.drop_boundary(incremental.since_cursor(ledger, cursor), cursor).select(*PN, "id")
 
 
-@query(f"WITH {_CUT_LEDGER}, {_CURSOR1} SELECT product, network, last_ts, array_to_string(ids, ',') AS boundary_ids FROM cursor1")
+@query(f"WITH {_CUT_LEDGER}, {_CURSOR1} SELECT product, network, last_ts, unnest(ids) AS id FROM cursor1")
 def cursor_next(spark, sf_dir):
-    x = incremental.next_cursor(_first_run(derived_ledger(spark, sf_dir)), None)
-    return x.select(*PN, "last_ts", F.array_join("boundary_ids", ",").alias("boundary_ids"))
+    return incremental.next_cursor(_first_run(derived_ledger(spark, sf_dir)), None)
+
+
+@query(f"""WITH {LEDGER_SQL}, slice AS (SELECT * FROM ledger WHERE ts_unix <= {unix(1998, 6, 30, 23, 59, 59)}), last AS (SELECT product, network, max(ts_unix) AS last_ts FROM slice GROUP BY product, network)
+SELECT s.product, s.network, l.last_ts, s.id FROM slice s JOIN last l ON l.product = s.product AND l.network = s.network AND s.ts_unix // {DAY} = l.last_ts // {DAY}""")
+def cursor_after_second_run(spark, sf_dir):
+    """The cursor of a second run that ends inside the first one's boundary day: its ids join the earlier ones."""
+    ledger = derived_ledger(spark, sf_dir)
+    cursor = incremental.next_cursor(_first_run(ledger), None)
+    fresh = incremental.drop_boundary(incremental.since_cursor(ledger.where(F.col("ts_unix") <= CUT), cursor), cursor)
+    return incremental.next_cursor(fresh, cursor)
 
 
 @query(f"WITH {LEDGER_SQL}, {LEGS_SQL} SELECT product, network, address, sum(amount)::{D38} AS balance, min(ts_unix) FILTER (is_in) AS first_receipt FROM legs GROUP BY product, network, address")
