@@ -14,14 +14,19 @@ KEYS = ["product", "network"]
 #: How much worse than the stored state a rebuilt one may deviate from supply and still replace it.
 REBUILD_SLACK = 0.005
 WARN_SHARE, MIN_NOTIONAL_USD = 0.05, 1_000_000
-#: Units (product and network) up to which a table of one row a unit is broadcast, counted first.
+#: Units (product and network) up to which a table of one row a unit passes through the driver and is broadcast.
 MOST_UNITS = 100_000
 
 
+def _few(units: DataFrame) -> DataFrame:
+    """A table of one row a unit, read once and broadcast if it is short; a longer one stays distributed."""
+    rows = units.limit(MOST_UNITS + 1).collect()
+    return F.broadcast(units.sparkSession.createDataFrame(rows, units.schema)) if len(rows) <= MOST_UNITS else units
+
+
 def _units(cursor: DataFrame) -> DataFrame:
-    """(product, network, last_ts) of a cursor: a row a unit, broadcast only when counted to be few."""
-    one = cursor.groupBy(*KEYS).agg(F.max("last_ts").alias("last_ts"))
-    return F.broadcast(one) if one.count() <= MOST_UNITS else one
+    """(product, network, last_ts) of a cursor."""
+    return _few(cursor.groupBy(*KEYS).agg(F.max("last_ts").alias("last_ts")))
 
 
 def since_cursor(ledger: DataFrame, cursor: DataFrame | None) -> DataFrame:
@@ -43,18 +48,14 @@ def next_cursor(fresh: DataFrame, prior: DataFrame | None) -> DataFrame:
     """(product, network, last_ts, id): the latest time, and a row for each id of its UTC day.
 
     Ids of the same day as before are joined by the earlier ones; without new rows the cursor stays. Ids
-    are rows, so a busy day is spread over tasks; a cursor without ids is one row with a null id.
+    are rows, so a busy day is spread over tasks; the end of a window without rows is a row with a null id.
     """
     seen = fresh.select(*KEYS, "ts_unix", "id")
     if prior is not None:
         seen = seen.unionByName(prior.select(*KEYS, F.col("last_ts").alias("ts_unix"), "id"))
-    last = seen.groupBy(*KEYS).agg(F.max("ts_unix").alias("last_ts"))
-    last = F.broadcast(last) if last.count() <= MOST_UNITS else last
+    last = _few(seen.groupBy(*KEYS).agg(F.max("ts_unix").alias("last_ts")))
     day = lambda c: F.floor(F.col(c) / DAY)
-    ids = seen.join(last, KEYS).where(day("ts_unix") == day("last_ts")).select(*KEYS, "last_ts", "id").distinct()
-    some = ids.groupBy(*KEYS).agg(F.count("id").alias("_n"))
-    some = F.broadcast(some) if last.count() <= MOST_UNITS else some
-    return ids.join(some, KEYS).where("id is not null or _n = 0").select(*KEYS, "last_ts", "id")
+    return seen.join(last, KEYS).where(day("ts_unix") == day("last_ts")).select(*KEYS, "last_ts", "id").distinct()
 
 
 def deltas(fresh: DataFrame, case_sensitive: Column | bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.numbers import RAW, half_up, permyriad, pow10, usd_micro
 from ..functions.scores import FACTORS, METHODOLOGY_VERSION, factor_score
 from ..sources.ledger import DAY, ZERO, day_of
 from .replay import legs
+from .supply import supply_change
 
 DAYS_30, DAYS_90 = 30 * DAY, 90 * DAY
 
@@ -26,9 +27,21 @@ def month_end_unix(month: Column) -> Column:
     return F.datediff(month_end_day(month), F.lit("1970-01-01").cast("date")).cast("long") * DAY + DAY - 1
 
 
-def month_calendar(ledger: DataFrame) -> DataFrame:
+def daily_totals(ledger: DataFrame) -> DataFrame:
+    """(product, day, eve, low, high, net, volume): all that months need of the ledger beside its wallets, in one pass.
+
+    ``eve`` is the day a second later: a trailing window begins with a day's last second, so whether it
+    covers a transfer is a matter of whole eves. ``net`` is null without mints and burns.
+    """
+    plain = (F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO)
+    return ledger.groupBy("product", day_of(F.col("ts_unix")).alias("day"), day_of(F.col("ts_unix") + 1).alias("eve")).agg(
+        F.min("ts_unix").alias("low"), F.max("ts_unix").alias("high"), F.sum(supply_change()).cast(RAW).alias("net"), F.sum(F.when(plain, F.col("value_raw"))).cast(RAW).alias("volume")
+    )
+
+
+def month_calendar(ledger: DataFrame, low: str = "ts_unix", high: str = "ts_unix") -> DataFrame:
     """(month, month_end): every month from the first transfer's to the last complete one."""
-    span = ledger.agg(F.min("ts_unix").alias("a"), F.max("ts_unix").alias("b"))
+    span = ledger.agg(F.min(low).alias("a"), F.max(high).alias("b"))
     first = month_number(day_of(F.col("a")))
     b = month_number(day_of(F.col("b")))
     last = F.when(F.last_day(day_of(F.col("b"))) == day_of(F.col("b")), b).otherwise(b - 1)
@@ -36,22 +49,23 @@ def month_calendar(ledger: DataFrame) -> DataFrame:
     return months.select(F.explode(F.sequence("first", "last")).alias("month")).withColumn("month_end", month_end_day(F.col("month")))
 
 
-#: Levels of the month tree below: 4096 months.
+#: Levels of the month tree: an interval of up to 4096 months is a few blocks, a longer one a few more.
 LEVELS = 12
 
 
-def blocks(first: Column, last: Column) -> Column:
-    """The fewest blocks (level, index) of the binary month tree that make up the months from ``first`` to ``last``."""
+def blocks(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """The blocks (level, index) of a binary tree of months that make up the months from ``first`` to ``last``, with nulls between."""
     found = []
-    for level in range(LEVELS):
-        size = 2**level
-        a, b = F.ceil(first / size), F.floor((last + 1) / size) - 1  # whole blocks inside
-        block = lambda i, ok, level=level: F.when(ok, F.struct(F.lit(level).alias("level"), i.cast("long").alias("block")))
+    for level in range(levels):
+        a, b = F.shiftright(first + (2**level - 1), level), F.shiftright(last + 1, level) - 1  # whole blocks inside
+        block = lambda i, ok, level=level: F.when(ok, F.struct(F.lit(level).alias("level"), i.cast("int").alias("block")))
         found += [block(a, (a <= b) & (a % 2 == 1)), block(b, (a <= b) & (b % 2 == 0))]
-    return F.array_compact(F.array(*found))
+    a, b = F.shiftright(first + (2**levels - 1), levels), F.shiftright(last + 1, levels) - 1
+    whole = F.when(a <= b, F.transform(F.sequence(a, b), lambda i: F.struct(F.lit(levels).alias("level"), i.cast("int").alias("block"))))
+    return F.when(a <= b, F.concat(F.array(*found), whole)).otherwise(F.array(*found))
 
 
-def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame, aum: DataFrame) -> DataFrame:
+def product_months(ledger: DataFrame, daily: DataFrame, calendar: DataFrame, products: DataFrame, aum: DataFrame) -> DataFrame:
     """One row a (month, product): AUM, holders, top-5 share, dormant share, 30-day volume and velocity.
 
     Nothing is replayed a month and no wallet is stretched over its months. Legs are summed to (product,
@@ -60,50 +74,50 @@ def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame,
     dormant from the first month-end that lies beyond the trailing window of its last outbound transfer.
     For the top 5 an interval goes to the few blocks of a binary tree of months that make it up; each
     block keeps its five largest, and a month's five are among those of the blocks above it. For volumes
-    a transfer is assigned to the month-ends that look back at it. Shuffles: one by (product, address),
-    the others of pre-aggregated rows by (product, month) or (product, block).
+    a day of ``daily_totals`` is assigned to the month-ends that look back at it. Shuffles: one by (product,
+    address), the others of pre-aggregated rows by (product, month) or (product, block).
     """
-    bounds = calendar.agg(F.max("month").alias("last"))
-    last = F.broadcast(bounds)
+    last = F.broadcast(calendar.agg(F.max("month").alias("last")))  # one row
     leg = legs(ledger, ("product",)).withColumn("month", month_number(day_of(F.col("ts_unix"))))
     change = leg.groupBy("product", "address", "month").agg(F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"))
     w = Window.partitionBy("product", "address").orderBy("month")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     held = change.withColumns({"balance": F.sum("net").over(so_far).cast(RAW), "last_out": F.max("out_ts").over(so_far), "next": F.lead("month").over(w)})
-    held = held.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last"))).where("balance > 0 and until >= month")
+    held = held.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last")).cast("int")).where("balance > 0 and until >= month")
     seen = F.col("last_out") + DAYS_90
     own = month_number(day_of(seen))  # its month-end is the first at or after ``seen``
     still = F.when(F.col("last_out").isNull(), F.col("month")).otherwise(F.greatest(F.col("month"), own + F.when(month_end_unix(own) <= seen, 1).otherwise(0)))
-    top = Window.partitionBy("product", "level", "block").orderBy(F.desc("balance"), "address")
+    size = F.col("balance").cast("double").desc()  # settles most comparisons without touching a wide decimal
+    top = Window.partitionBy("product", "level", "block").orderBy(size, F.desc("balance"), "address")
     zero = F.lit(0).cast(RAW)
     event = lambda m, n, total, dormant: F.struct(m.cast("long").alias("month"), F.lit(n).alias("n"), total.cast(RAW).alias("total"), dormant.cast(RAW).alias("dormant"))
     b, after = F.col("balance"), F.col("until") + 1
     dormant = F.col("still") <= F.col("until")
     ends = F.array(event(F.col("month"), 1, b, zero), event(after, -1, -b, zero), event(F.when(dormant, F.col("still")), 0, zero, b), event(F.when(dormant, after), 0, zero, -b))
-    events = held.withColumn("still", still).select("product", F.explode(F.filter(ends, lambda e: e["month"].isNotNull())).alias("e")).select("product", "e.*")
+    events = held.withColumn("still", still).select("product", F.explode(ends).alias("e")).select("product", "e.*").where("month is not null")
     steps = events.groupBy("product", "month").agg(F.sum("n").alias("n"), F.sum("total").cast(RAW).alias("total"), F.sum("dormant").cast(RAW).alias("dormant"))
     run = Window.partitionBy("product").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    largest = held.select("product", "address", "balance", F.explode(blocks(F.col("month"), F.col("until"))).alias("t")).select("product", "address", "balance", "t.*")
+    # reading the same columns as above lets both branches share one exchange
+    largest = held.where(F.coalesce("last_out", F.lit(0)) > -1).select("product", "address", "balance", F.explode(blocks(F.col("month").cast("int"), F.col("until"))).alias("t")).where("t is not null").select("product", "address", "balance", "t.*")
     largest = largest.withColumn("_r", F.row_number().over(top)).where("_r <= 5").drop("_r")
-    above = calendar.select("month", F.explode(levels).alias("level")).withColumn("block", F.floor(F.col("month") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    above = calendar.select("month", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(F.col("month").cast("int"), i).alias("block")) for i in range(LEVELS + 1)))).alias("t")).select("month", "t.*")
     by_month = Window.partitionBy("product", "month").orderBy(F.desc("balance"), "address")
-    five = largest.join(above, ["level", "block"]).withColumn("_r", F.row_number().over(by_month)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
-
-    def looked_at(days: int, months: int) -> Column:
-        own = month_number(day_of(F.col("ts_unix")))
-        some = F.sequence(own, own + months)
-        return F.filter(some, lambda m: month_end_unix(m) - days <= F.col("ts_unix"))
-
-    between = ledger.where((F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO))
-    volume = between.select("product", "value_raw", F.explode(looked_at(DAYS_30, 1)).alias("month")).groupBy("product", "month").agg(F.sum("value_raw").cast(RAW).alias("volume_raw"))
-
-    grid = calendar.crossJoin(F.broadcast(products.select("product", "decimals", "nav_usd")))  # months x the products dimension
-    steps = grid.select("product", "month").join(steps, ["product", "month"], "full_outer")
+    five = largest.join(F.broadcast(above), ["level", "block"]).withColumn("_r", F.row_number().over(by_month)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
+
+    own = month_number(F.col("day"))
+    seen_from = F.filter(F.sequence(own, own + 1), lambda m: F.col("eve") > F.date_sub(month_end_day(m), DAYS_30 // DAY))
+    volume = daily.where("volume is not null").select("product", "volume", F.explode(seen_from).alias("month")).groupBy("product", "month").agg(F.sum("volume").cast(RAW).alias("volume_raw"))
+
+    # one exchange by (product, month) brings all measures together, months without any included
+    grid = calendar.select("month").crossJoin(F.broadcast(products.select("product")))  # months x the products dimension
+    owned = aum.select("product", month_number(F.col("day")).alias("month"), "aum_micro")
+    rows = grid
+    for part in (steps, five, volume, owned):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    x = rows.groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in ("total", "dormant", "top5", "volume_raw")), F.max("aum_micro").alias("aum_micro"))
     total = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0))
-    sums = steps.select("product", "month", total("n").alias("holder_count"), total("total").cast(RAW).alias("total"), total("dormant").cast(RAW).alias("dormant"))
-    x = grid.join(sums, ["product", "month"], "left").join(five, ["product", "month"], "left").join(volume, ["product", "month"], "left")
-    x = x.join(aum.select("product", F.col("day").alias("month_end"), "aum_micro"), ["product", "month_end"], "left")
+    x = x.withColumns({"holder_count": total("n"), "total": total("total").cast(RAW), "dormant": total("dormant").cast(RAW)})
+    x = x.join(F.broadcast(products.select("product", "decimals", "nav_usd")), "product").join(F.broadcast(calendar), "month")  # a row a month
     less = pow10(F.greatest(F.lit(0), F.col("decimals") - 6))
     vol = F.coalesce("volume_raw", zero)
     micro = ((vol - vol % less) / less).cast(RAW)  # tokens to six places, the rest cut

@@ -9,13 +9,21 @@ from ..functions.numbers import RAW, usd_micro
 from ..sources.ledger import ZERO, day_of
 
 
+def supply_change() -> Column:
+    """What a transfer adds to supply: mints count, burns count against, others are null."""
+    amount = F.col("value_raw")
+    return F.when(F.col("from_addr") == ZERO, amount).when(F.col("to_addr") == ZERO, -amount).cast(RAW)
+
+
 def daily_supply(ledger: DataFrame) -> DataFrame:
     """(product, day, supply_raw): cumulative mints less burns on days that have any. Days are pre-aggregated before the running sum."""
-    amount = F.col("value_raw")
-    change = F.when(F.col("from_addr") == ZERO, amount).otherwise(-amount).cast(RAW)
-    days = ledger.where((F.col("from_addr") == ZERO) | (F.col("to_addr") == ZERO)).groupBy("product", day_of(F.col("ts_unix")).alias("day")).agg(F.sum(change).cast(RAW).alias("net"))
+    return running_supply(ledger.groupBy("product", day_of(F.col("ts_unix")).alias("day")).agg(F.sum(supply_change()).cast(RAW).alias("net")))
+
+
+def running_supply(days: DataFrame) -> DataFrame:
+    """The same from (product, day, net), net null on days without mint or burn."""
     w = Window.partitionBy("product").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select("product", "day", F.sum("net").over(w).cast(RAW).alias("supply_raw"))
+    return days.where("net is not null").select("product", "day", F.sum("net").over(w).cast(RAW).alias("supply_raw"))
 
 
 def gap_fill(points: DataFrame, keys: list[str], day: str, value: str, order: str | None = None) -> DataFrame:

@@ -195,3 +195,14 @@ def test_formats(spark):
     assert f(formats.short_address, [("0x1234567890abcd",)], "x string") == ["0x1234…abcd"]
     assert f(formats.key_label, [("someNewFactor2m",)], "x string") == ["Some New Factor 2m"]
     assert values(spark, formats.factor_raw(F.col("k"), F.col("x")), [("aumGrowth3m", 0.1), ("dormancyDelta3m", -0.02), ("transferActivityRatio", 1.0), ("breadth", 6.0)], "k string, x double") == ["+10.0%", "-2.0pp", "×1.00", "6"]
+
+
+def test_month_blocks_tile_their_interval(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = [(a, a + rng.choice([0, 1, 5, 40, 300, 9000])) for a in (rng.randint(0, 30_000) for _ in range(120))]
+    df = spark.createDataFrame(pairs, "a int, b int").select("a", "b", F.filter(index.blocks(F.col("a"), F.col("b")), lambda t: t.isNotNull()).alias("t"))
+    for r in df.collect():
+        months = [m for t in r.t for m in range(t.block << t.level, (t.block + 1) << t.level)]
+        assert sorted(months) == list(range(r.a, r.b + 1)) and len(r.t) <= 26
