@@ -76,6 +76,30 @@ def aggregate_networks(rows: DataFrame) -> DataFrame:
         F.when(n == 1, F.min("dormancy_share_pct")).otherwise(weighted).alias("dormancy_share_pct"),
         F.when(known == n, total).alias("market_value_usd"),
         n.alias("networks"),
+        *([F.max("classified_at").alias("classified_at")] if "classified_at" in rows.columns else []),
     )
     a, d = F.col("behavior_accumulating"), F.col("behavior_distributing")
     return g.withColumn("net_accumulation_ratio", F.when(a + d > 0, a.cast("double") / (a + d))).withColumn("net_change", F.col("net_new_wallets_90d") - F.col("exited_wallets_90d"))
+
+
+def latest_classification(rows: DataFrame) -> DataFrame:
+    """(classified_at): the latest time over all funds; null of none."""
+    return rows.agg(F.max("classified_at").alias("classified_at"))
+
+
+def stats_from_classifications(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates rebuilt from stored rows (keys, balance, behavior, classified_at).
+
+    What the rows can't tell, net-new and exited wallets, is 0; dormancy is the balance of those labelled
+    dormant or accumulating, who sent nothing in the window.
+    """
+    is_ = lambda x: F.col("behavior") == x
+    held = F.sum("balance").cast(RAW)
+    still = F.coalesce(F.sum(F.when(is_("Dormant") | is_("Accumulating"), F.col("balance"))), F.lit(0)).cast(RAW)
+    g = stored.groupBy(*keys).agg(
+        F.count("*").alias("holder_count"), *(F.count_if(is_(x)).alias(f"behavior_{x.lower()}") for x in LABELS),
+        F.lit(0).cast("long").alias("net_new_wallets_90d"), F.lit(0).cast("long").alias("exited_wallets_90d"),
+        (permyriad(still, held) / 100.0).alias("dormancy_share_pct"), F.max("classified_at").alias("classified_at"),
+    )
+    a, d = F.col("behavior_accumulating"), F.col("behavior_distributing")
+    return g.withColumn("net_accumulation_ratio", F.when(a + d > 0, a.cast("double") / (a + d)))

@@ -611,23 +611,21 @@ def events_session(spark, sf_dir):
 # ---- ingest, records and the stream ------------------------------------------------------------
 
 
-@query(f"WITH {LEDGER_SQL} SELECT product, 'n0' AS network, id, hash, ts_unix, from_addr, to_addr, value_raw::{D38} AS value_raw FROM ledger WHERE network = 'n0' AND product <> 'p4'")
+@query(f"WITH {LEDGER_SQL} SELECT product, network, id, hash, ts_unix, from_addr, to_addr, value_raw::{D38} AS value_raw FROM ledger WHERE product <> 'p4'")
 def vendor_json_normalise(spark, sf_dir):
-    """The ledger of one network written as vendor JSON, parsed with the nested schema and normalised a product; p4 isn't allowed."""
+    """The ledger written as vendor JSON, parsed with the nested schema and normalised in one pass; the token of p4 isn't allowed."""
     from ..sources.dimensions import DECIMALS
     from ..sources.ledger import VENDOR_SCHEMA, normalise_vendor
 
-    x = derived_ledger(spark, sf_dir).where("network = 'n0'")
+    x = derived_ledger(spark, sf_dir)
     amount = tokens(F.col("value_raw"), F.col("decimals")).cast("decimal(38,18)")
     stamp = F.concat(day_of(F.col("ts_unix")).cast("string"), F.lit("T00:00:00Z"))
     row = F.struct("id", F.when(F.col("kind") != "mint", F.col("from_addr")).alias("from_address"), F.when(F.col("kind") != "burn", F.col("to_addr")).alias("to_address"), amount.alias("amount"), stamp.alias("timestamp"), F.col("hash").alias("transaction_hash"),
                    F.struct(F.col("kind").alias("slug")).alias("transaction_type"), F.struct(F.concat(F.lit("0xTOK"), "product").alias("address"), "decimals").alias("token"))
-    parsed = x.select(F.from_json(F.to_json(row), VENDOR_SCHEMA).alias("r")).select("r.*")
-    parts = [normalise_vendor(parsed.where(F.col("token.address") == f"0xTOK{p}"), p, "n0", DECIMALS[p], ["0xtokp0", "0xtokp1", "0xtokp2", "0xtokp3"]) for p in ("p0", "p1", "p2", "p3", "p4")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parsed = x.select("network", F.from_json(F.to_json(row), VENDOR_SCHEMA).alias("r")).select("network", "r.*")
+    configured = spark.createDataFrame([(f"0xTOK{p}", p, d) for p, d in DECIMALS.items()], "address string, product string, configured int")
+    known = parsed.join(F.broadcast(configured), F.col("token.address") == F.col("address")).drop("address")  # five rows
+    return normalise_vendor(known, F.col("product"), F.col("network"), F.col("configured"), [f"0xtok{p}" for p in DECIMALS if p != "p4"])
 
 
 @query("SELECT lower('0xTok' || p_partkey) AS address, (p_size % 3)::INT AS network_id, 6 AS decimals, p_retailprice AS supply FROM part WHERE p_partkey % 4 <> 0")
@@ -697,3 +695,179 @@ def stream_incremental_state(spark, sf_dir):
     store = VersionedStore(spark, f"{base}/store")
     maintain_state(ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA, 1), store, f"{base}/checkpoint").awaitTermination()
     return store.read("state").select(*PN, "address", "balance", "first_receipt")
+
+
+# ---- scans, filters, routes and display rules that no query above shows ------------------------
+
+
+@query(f"WITH {LEDGER_SQL} SELECT product, network, id FROM ledger WHERE product IN ('p0', 'p2') AND network IN ('n1')")
+def scoped_ledger(spark, sf_dir):
+    """A run limited to two products, its backfill allowed on one network."""
+    from ..sources.ledger import in_scope
+
+    return in_scope(derived_ledger(spark, sf_dir), ["p0", "p2"], ["n1"]).select(*PN, "id")
+
+
+_SPAN = (unix(1995, 1, 1), unix(1995, 7, 1))
+
+
+@query(f"WITH {LEDGER_SQL} SELECT greatest(1, ceil(count(*) / 1000.0))::BIGINT AS pages FROM ledger WHERE ts_unix >= {_SPAN[0]} AND ts_unix < {_SPAN[1]}")
+def window_pages(spark, sf_dir):
+    from ..sources.ledger import windowed
+
+    return windowed(derived_ledger(spark, sf_dir), *_SPAN, 1000)[1]
+
+
+@query(f"WITH {LEDGER_SQL} SELECT product, network, id, row_number() OVER (PARTITION BY product, network ORDER BY ts_unix, id)::INT AS place FROM ledger")
+def feed_order(spark, sf_dir):
+    from ..sources.ledger import in_feed_order
+
+    return in_feed_order(derived_ledger(spark, sf_dir), PN, "id").select(*PN, "id", "place")
+
+
+@query(f"WITH {_SUPPLY_SQL} SELECT least((SELECT min(day) FROM points), (SELECT min(DATE '1970-01-01' + (ts_unix // {DAY})::INT) FROM ledger))::VARCHAR AS first_day")
+def earliest_of_sources(spark, sf_dir):
+    """The earlier of the first day with AUM and the first transfer."""
+    from ..sources.ledger import earliest_of
+
+    ledger = derived_ledger(spark, sf_dir)
+    return earliest_of((supply.daily_supply(ledger), "day"), (ledger.select(day_of(F.col("ts_unix")).alias("day")), "day"))
+
+
+@query("SELECT epoch_us(ts) // 1000000 AS fetched_at, event_id FROM events WHERE epoch_us(ts) // 1000000 > (SELECT max(epoch_us(ts) // 1000000) FROM events) - 86400")
+def fresh_rows(spark, sf_dir):
+    """Rows fetched within a day of the latest."""
+    from ..sources.ledger import fresh, seconds
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(seconds(F.col("ts")).alias("fetched_at"), "event_id")
+    return fresh(e, e.agg(F.max("fetched_at")).first()[0], 86_400)
+
+
+@query(f"""WITH {wallets_sql()} SELECT product, network, count(*) AS holder_count, count(*) FILTER (behavior = 'Dormant') AS behavior_dormant, count(*) FILTER (behavior = 'Active') AS behavior_active,
+  count(*) FILTER (behavior = 'Accumulating') AS behavior_accumulating, count(*) FILTER (behavior = 'Distributing') AS behavior_distributing, 0::BIGINT AS net_new_wallets_90d, 0::BIGINT AS exited_wallets_90d,
+  ((coalesce(sum(balance) FILTER (behavior IN ('Dormant', 'Accumulating')), 0) * 10000) // sum(balance))::DOUBLE / 100 AS dormancy_share_pct, max({NOW} - length(address))::BIGINT AS classified_at,
+  {rs("count(*) FILTER (behavior = 'Accumulating')::DOUBLE / nullif(count(*) FILTER (behavior IN ('Accumulating', 'Distributing')), 0)", 6)} AS net_accumulation_ratio FROM labelled GROUP BY product, network""")
+def stats_from_classifications(spark, sf_dir):
+    """Aggregates rebuilt from stored classifications; each row was classified at a time of its own."""
+    stored = behaviour.classify(wallets_at(spark, sf_dir)).withColumn("classified_at", (F.lit(NOW) - F.length("address")).cast("long"))
+    return behaviour.stats_from_classifications(stored, PN).withColumn("net_accumulation_ratio", r(F.col("net_accumulation_ratio"), 6))
+
+
+@query(f"""WITH {wallets_sql()}, units AS (SELECT product, network, max({NOW} - length(address))::BIGINT AS t FROM labelled GROUP BY product, network)
+SELECT product, max(t) AS classified_at, (SELECT max(t) FROM units) AS latest FROM units GROUP BY product""")
+def classification_times(spark, sf_dir):
+    """When each fund was last classified over its networks, beside the latest of all funds."""
+    stored = behaviour.classify(wallets_at(spark, sf_dir)).withColumn("classified_at", (F.lit(NOW) - F.length("address")).cast("long"))
+    rows = behaviour.stats_from_classifications(stored, PN).withColumn("market_value_usd", F.lit(1.0))
+    funds = behaviour.aggregate_networks(rows).select("product", "classified_at")
+    return funds.crossJoin(F.broadcast(behaviour.latest_classification(rows).withColumnRenamed("classified_at", "latest")))  # one row
+
+
+@query(f"""WITH configured AS (SELECT 'p' || (p_partkey % 5) AS product, (p_size % 3)::INT AS network_id, lower('0xTok' || p_partkey) AS address FROM part),
+found AS (SELECT c.*, p_retailprice AS supply FROM configured c LEFT JOIN part ON address = lower('0xTok' || p_partkey) AND p_partkey % 4 <> 0)
+SELECT product, network_id, {rs('sum(supply)', 2)} AS supply, count(*) FILTER (supply IS NULL) AS missing FROM found GROUP BY product, network_id""")
+def supply_by_network(spark, sf_dir):
+    """Configured tokens against the reported supply, summed by network, with the number of tokens that have none."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    configured = p.select(F.concat(F.lit("p"), F.col("p_partkey") % 5).alias("product"), (F.col("p_size") % 3).cast("int").alias("network_id"), F.concat(F.lit("0xTok"), "p_partkey").alias("address"), F.lit(6).alias("decimals"))
+    x = supply.supply_by_network(configured, asset_supply_explode(spark, sf_dir).select("address", "decimals", "supply"))
+    return x.select("product", "network_id", r(F.col("supply"), 2).alias("supply"), F.size("missing").cast("long").alias("missing"))
+
+
+@query("SELECT p_partkey, 'p' || (p_partkey % 7) AS product, p_retailprice AS supply FROM part WHERE p_partkey % 7 < 5")
+def supply_by_contract(spark, sf_dir):
+    """Supply rows joined to products by contract in whatever case; contracts of no product are left out."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("0XAbC"), F.col("p_partkey") % 7).alias("contract"), F.col("p_retailprice").alias("supply"))
+    configured = spark.createDataFrame([(f"0xaBc{i}", f"p{i}") for i in range(5)], "contract string, product string")
+    return supply.by_contract(p, configured).select("p_partkey", "product", "supply")
+
+
+@query("""WITH t AS (SELECT 'f' || n_regionkey AS slug, n_nationkey % 4 AS network_id, lower('0xNAT' || n_nationkey) AS address FROM nation WHERE n_nationkey % 3 <> 0)
+SELECT slug, network_id::INT AS network_id, 'net' || network_id AS network_slug, array_to_string(list_sort(list(address)), ',') AS addresses, 6 AS decimals FROM t GROUP BY slug, network_id""")
+def observable_networks(spark, sf_dir):
+    """Networks of each fund that behaviour can be replayed on; tokens that can't be observed are left out."""
+    from ..sources.dimensions import observable_networks as networks
+
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    k = F.col("n_nationkey").cast("int")
+    token = F.struct((k % 4).alias("network_id"), F.concat(F.lit("net"), k % 4).alias("network_slug"), F.concat(F.lit("0xNAT"), k).alias("address"), (k % 3 != 0).alias("behaviorally_observable"), F.when(k % 2 == 0, 6).alias("decimals"))
+    funds = n.groupBy(F.concat(F.lit("f"), "n_regionkey").alias("slug")).agg(F.collect_list(token).alias("tokens")).withColumn("decimals", F.lit(6))
+    return networks(funds).select("slug", "network_id", "network_slug", F.array_join("addresses", ",").alias("addresses"), "decimals")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 100 ELSE c_nationkey END::BIGINT AS n, CASE WHEN c_custkey % 4 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS mv FROM customer
+UNION ALL SELECT -c_custkey - 1, 7, NULL FROM customer WHERE c_custkey % 50 = 0""")
+def upsert_keeping_nulls(spark, sf_dir):
+    """New rows replace old ones of their key, but a missing value leaves the stored one; new keys are added."""
+    from ..sources.store import upsert
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    old = c.select("c_custkey", F.col("c_nationkey").cast("long").alias("n"), F.col("c_acctbal").alias("mv"))
+    new = old.where("c_custkey % 2 = 0").select("c_custkey", (F.col("n") + 100).alias("n"), F.when(F.col("c_custkey") % 4 == 2, F.col("mv") + 1).alias("mv"))
+    more = old.where("c_custkey % 50 = 0").select((-F.col("c_custkey") - 1).alias("c_custkey"), F.lit(7).cast("long").alias("n"), F.lit(None).cast(old.schema["mv"].dataType).alias("mv"))
+    return upsert(old, new.unionByName(more), ["c_custkey"], ("mv",))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'left' WHEN c_custkey % 5 = 0 THEN 'right' ELSE 'differs' END AS missing_from FROM customer
+WHERE (c_custkey % 7 = 0) <> (c_custkey % 5 = 0) OR (c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 = 0)""")
+def parity_diff(spark, sf_dir):
+    """Two versions of a table: rows that one lacks, and rows that differ."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    k = F.col("c_custkey")
+    return views.parity(c.where(k % 7 != 0), c.where(k % 5 != 0).select("c_custkey", F.when(k % 3 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("c_nationkey")), ["c_custkey"])
+
+
+@query("SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 14")
+def last_fourteen_days(spark, sf_dir):
+    """Tail slice of a daily series."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    return views.latest(e, "day", 14)
+
+
+_KEYS_SHOWN = [*formats.FACTOR_META, "zeta", "alpha"]
+
+
+@query("SELECT key, row_number() OVER (ORDER BY pos, key)::INT AS place FROM (VALUES " + ", ".join(f"('{k}', {i if k in formats.FACTOR_META else 999})" for i, k in enumerate(_KEYS_SHOWN)) + ") AS t(key, pos)")
+def factor_order(spark, sf_dir):
+    """Factor keys in display order, unknown ones last by name."""
+    from pyspark.sql import Window
+
+    x = spark.createDataFrame([(k,) for k in sorted(_KEYS_SHOWN)], "key string").withColumn("_rank", formats.factor_rank(F.col("key")))
+    return x.select("key", F.row_number().over(Window.orderBy("_rank", "key")).alias("place"))
+
+
+@query(f"WITH {wallets_sql(keys='product')} SELECT to_json({{'product': product, 'holders': count(*), 'dormant': count(*) FILTER (behavior = 'Dormant')}})::VARCHAR AS json FROM labelled GROUP BY product")
+def diagnostics_json(spark, sf_dir):
+    x = behaviour.mix(behaviour.classify(wallets_at(spark, sf_dir, keys=("product",))), ["product"])
+    return views.diagnostics(x.select("product", F.col("total").alias("holders"), "dormant"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 100)::BIGINT::DECIMAL(38,0) AS units, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END::DECIMAL(38,0) AS lenient FROM orders")
+def integer_texts(spark, sf_dir):
+    """Integer text read strictly (zero decimals allowed), and leniently: what is no integer counts as 0."""
+    from ..functions.numbers import integer_text, integer_text_or_zero
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x"), "o_custkey")).otherwise(F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", integer_text(F.when(F.col("o_orderkey") % 2 == 0, F.concat(cents, F.lit(".00"))).otherwise(cents)).alias("units"), integer_text_or_zero(text).alias("lenient"))
+
+
+@query("""SELECT p_partkey, status >= 500 OR (status = 400 AND body = 'reason: connect ETIMEDOUT') AS retryable, p_size % 6 = 1 AS rate_limited
+FROM (SELECT p_partkey, p_size, CASE p_size % 4 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 502 ELSE 404 END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'reason: connect ETIMEDOUT' ELSE 'bad request' END AS body FROM part)""")
+def retry_rules(spark, sf_dir):
+    """Which answers of a feed are asked for again, and which say that the rate was too high."""
+    size = F.col("p_size")
+    status = F.when(size % 4 == 0, 200).when(size % 4 == 1, 400).when(size % 4 == 2, 502).otherwise(404)
+    body = F.when(F.col("p_partkey") % 2 == 0, "reason: connect ETIMEDOUT").otherwise("bad request")
+    message = F.when(size % 6 == 1, "GET /x: HTTP 429 slow down").when(size % 6 == 2, "HTTP 4290").otherwise(F.lit(None))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", schedule.http_retryable(status, body).alias("retryable"), schedule.rate_limited(message).alias("rate_limited"))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT month_end::VARCHAR AS month_end, composite, row_number() OVER (ORDER BY month_end DESC)::INT AS shown FROM readings")
+def history_newest_first(spark, sf_dir):
+    """Readings in the order a page shows them: stored oldest first, shown newest first."""
+    from pyspark.sql import Window
+
+    x = views.month_deltas(_readings(spark, sf_dir))
+    return x.select(_day(), "composite", F.row_number().over(Window.orderBy(F.desc("month_end"))).alias("shown"))

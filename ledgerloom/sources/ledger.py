@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,13 +99,16 @@ LEDGER_SQL = f"""ledger AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def normalise_vendor(rows: DataFrame, product: str, network: str, decimals: int, allowed_tokens: list[str] | None = None, since: str | None = None, before: str | None = None) -> DataFrame:
+def normalise_vendor(rows: DataFrame, product: str | Column, network: str | Column, decimals: int | Column, allowed_tokens: list[str] | None = None, since: str | None = None, before: str | None = None) -> DataFrame:
     """Vendor transactions as ledger rows.
 
-    Rows of tokens outside the allow-list are left out first; a token whose decimals differ from the
-    configured ones, and a missing counterparty that is neither a mint's sender nor a burn's receiver, raise.
-    ``since`` and ``before`` (ISO days) bound the scan: the first inclusive, the second not.
+    ``product``, ``network`` and ``decimals`` are one unit's values or columns of ``rows``, so that all units
+    go through one pass. Rows of tokens outside the allow-list are left out first; a token whose decimals
+    differ from the configured ones, and a missing counterparty that is neither a mint's sender nor a
+    burn's receiver, raise; kinds are compared as they are written. ``since`` and ``before`` (ISO days) bound
+    the scan: the first inclusive, the second not.
     """
+    product, network, decimals = (x if isinstance(x, Column) else F.lit(x) for x in (product, network, decimals))
     day = F.substring("timestamp", 1, 10)
     if since:
         rows = rows.where(day >= since)
@@ -113,14 +116,14 @@ def normalise_vendor(rows: DataFrame, product: str, network: str, decimals: int,
         rows = rows.where(day < before)
     if allowed_tokens is not None:
         rows = rows.where(F.lower("token.address").isin([t.lower() for t in allowed_tokens]))
-    slug = F.coalesce(F.lower("transaction_type.slug"), F.lit(""))
+    slug = F.coalesce("transaction_type.slug", F.lit(""))
     bad = lambda what: F.raise_error(F.concat(F.lit(f"{what} of transaction "), F.coalesce("id", F.lit("null")))).cast("string")
     sender = F.when(F.col("from_address").isNotNull(), F.col("from_address")).when(slug.contains("mint"), ZERO).otherwise(bad("missing sender"))
     receiver = F.when(F.col("to_address").isNotNull(), F.col("to_address")).when(slug.contains("burn"), ZERO).otherwise(bad("missing receiver"))
-    same = F.coalesce(F.col("token.decimals"), F.lit(decimals)) == decimals
-    units = F.when(same, to_raw_units(F.col("amount"), F.lit(decimals))).otherwise(bad("token decimals").cast(RAW))
+    same = F.coalesce(F.col("token.decimals"), decimals) == decimals
+    units = F.when(same, to_raw_units(F.col("amount"), decimals)).otherwise(bad("token decimals").cast(RAW))
     return rows.select(
-        F.lit(product).alias("product"), F.lit(network).alias("network"), "id", F.col("transaction_hash").alias("hash"),
+        product.alias("product"), network.alias("network"), "id", F.col("transaction_hash").alias("hash"),
         F.unix_timestamp(F.to_timestamp("timestamp")).alias("ts_unix"), sender.alias("from_addr"), receiver.alias("to_addr"), units.alias("value_raw"),
     )
 
@@ -131,8 +134,9 @@ def read_vendor_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_supply(pages: DataFrame) -> DataFrame:
-    """(address, network_id, decimals, supply) of every token with a supply, addresses in lower case."""
-    tokens = pages.select(F.explode("results").alias("r")).select(F.explode("r.tokens").alias("t"))
+    """(address, network_id, decimals, supply) of every token with a supply, addresses in lower case. A page without a result raises."""
+    some = F.when(F.coalesce(F.size("results"), F.lit(0)) > 0, F.col("results")).otherwise(F.raise_error(F.lit("a supply page without a result")))
+    tokens = pages.select(F.explode(some).alias("r")).select(F.explode("r.tokens").alias("t"))
     return tokens.select(F.lower("t.address").alias("address"), F.col("t.network_id").alias("network_id"), F.col("t.decimals").alias("decimals"), F.col("t.total_supply_token.val").alias("supply")).where("supply is not null")
 
 
@@ -141,6 +145,34 @@ def earliest_day(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("product", "network").agg(day_of(F.min("ts_unix")).cast("string").alias("first_day"))
 
 
+def in_scope(ledger: DataFrame, products: list[str] | None = None, networks: list[str] | None = None) -> DataFrame:
+    """Only the products a run is limited to, and the networks allowed for backfill; without a list all of them."""
+    for column, names in (("product", products), ("network", networks)):
+        if names is not None:
+            ledger = ledger.where(F.col(column).isin(names))
+    return ledger
+
+
+def windowed(rows: DataFrame, since_unix: int, before_unix: int, page_size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of [since, before), and (pages): how many requests of ``page_size`` rows they stand for, an empty window one."""
+    some = rows.where((F.col("ts_unix") >= since_unix) & (F.col("ts_unix") < before_unix))
+    return some, some.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / page_size)).cast("long").alias("pages"))
+
+
+def earliest_of(*dated: tuple[DataFrame, str]) -> DataFrame:
+    """(first_day): the earliest day over several tables and their date columns; empty ones count for nothing."""
+    parts = [df.agg(F.min(column).cast("date").alias("d")) for df, column in dated]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.agg(F.min("d").cast("string").alias("first_day"))
+
+
+def in_feed_order(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """``rows`` with ``place``: their number in each unit by time, those of one second as the feed had them."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ts_unix", position)))
+
+
 def fresh(df: DataFrame, now_unix: int, ttl_seconds: int, column: str = "fetched_at") -> DataFrame:
     """Cached rows still within their time to live."""
     return df.where(F.lit(now_unix) - F.col(column) < ttl_seconds)

@@ -1,6 +1,7 @@
 """A versioned table store: all tables of a commit become visible through one manifest rename.
 
-Each commit writes its tables under ``v=N+1`` and then renames a small manifest naming them; a reader
+Each commit writes its tables under ``v=N+1``, claims the number by a file that can be created only once, and
+then renames a small manifest naming the tables; a reader
 resolves the newest manifest first. A crash before the rename leaves version N as it was, and any file
 system that Spark can reach (with atomic rename) will do.
 """
@@ -8,12 +9,18 @@ system that Spark can reach (with atomic rename) will do.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: After so long a claim without its manifest counts as left by a crash.
+CLAIM_SECONDS = 600
+
+
 class VersionedStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -62,22 +69,44 @@ class VersionedStore:
             paths[name] = f"{self.root}/data/{name}/v={n}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(paths[name])
         text = json.dumps({"version": n, "tables": paths, "meta": {**now["meta"], **(meta or {})}})
+        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+        self._claim(n)
         made = self._path(f"{self.root}/tmp/{uuid.uuid4().hex}")
         out = self._fs.create(made, False)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
         target = self._path(f"{self.root}/manifest/{n}")
         if self._fs.exists(target) or not self._fs.rename(made, target):
             raise RuntimeError(f"version {n} was taken by another commit")
         return n
 
+    def _claim(self, n: int) -> None:
+        """Take number ``n``: a file created without overwrite, which only one writer can; a claim left by a crash goes stale after ``CLAIM_SECONDS``."""
+        claim = self._path(f"{self.root}/claim/{n}")
+        if self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+            self._fs.delete(claim, False)
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {n} was taken by another commit") from e
+
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Overwrite exactly the partitions that ``df`` has rows of: upsert and removal of stale rows in one."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def replace_units(spark: SparkSession, df: DataFrame, path: str, by: list[str], units: DataFrame) -> None:
+    """The same for a run over ``units`` (a row each): a unit without new rows loses all its stale ones too."""
+    replace_partitions(df, path, by)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for r in units.select(*by).distinct().join(df.select(*by).distinct(), by, "left_anti").toLocalIterator():  # units are a dimension
+        folder = "/".join(f"{c}={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(r[c]))}" for c in by)
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        at.getFileSystem(conf).delete(at, True)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -93,6 +122,28 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], keep_if_null:
     return both.select(*(pick(c).alias(c) for c in new.columns))
 
 
+def read_progress(store: VersionedStore, now_unix: int, ttl_seconds: int = 7 * 86_400) -> dict | None:
+    """What a stopped run left in the manifest, unless it is too old to resume."""
+    left = store.meta.get("progress")
+    return left["state"] if left and now_unix - left["saved_at"] < ttl_seconds else None
+
+
+def save_progress(store: VersionedStore, state: dict | None, now_unix: int) -> int:
+    return store.commit({}, {"progress": {"state": state, "saved_at": now_unix} if state is not None else None})
+
+
+def write_unit(tables: dict[str, DataFrame], product: str, network: str, aggregate_only: bool, store: VersionedStore, history: bool = True) -> int:
+    """Commit those of a unit's tables that its route writes, each replacing the unit's rows of the stored one."""
+    routes = write_routes(product, network, aggregate_only, history)
+    out = {}
+    for name, df in tables.items():
+        if routes[name]:
+            old = store.read(name)
+            rest = old.where(~((F.col("product") == product) & (F.col("network") == network))) if old is not None else None
+            out[name] = df if rest is None else rest.unionByName(df)
+    return store.commit(out)
+
+
 def write_routes(product: str, network: str, aggregate_only: bool, history: bool = True) -> dict[str, bool]:
     """Which outputs a unit's run writes: tags only per wallet on ethereum, wallets unless aggregate-only."""
     return {"tags": not aggregate_only and network == "ethereum", "classifications": not aggregate_only, "stats": True, "history": history}

@@ -158,3 +158,42 @@ def test_upsert_and_partitions(spark, tmp_path):
     replace_partitions(new.withColumn("g", F.col("k")), path, ["g"])
     assert {(r.k, r.n) for r in spark.read.parquet(path).collect()} == {("a", 7), ("b", 6), ("c", 8)}
     assert {(r.k, r.missing_from) for r in views.parity(old, new, ["k"]).collect()} == {("a", "differs"), ("b", "right"), ("c", "left")}
+
+
+def test_units_without_new_rows_lose_their_stale_ones(spark, tmp_path):
+    from ledgerloom.sources.store import replace_units
+
+    schema, path = "product string, network string, n int", str(tmp_path / "t")
+    replace_partitions(spark.createDataFrame([("p", "n0", 1), ("p", "n 1", 2), ("q", "n0", 3)], schema), path, ["product", "network"])
+    run = spark.createDataFrame([("p", "n0"), ("p", "n 1")], "product string, network string")
+    replace_units(spark, spark.createDataFrame([("p", "n0", 9)], schema), path, ["product", "network"], run)
+    assert {(r["product"], r.network, r.n) for r in spark.read.parquet(path).collect()} == {("p", "n0", 9), ("q", "n0", 3)}
+
+
+def test_routes_write_and_progress_expires(spark, tmp_path):
+    from ledgerloom.sources.store import read_progress, save_progress, write_unit
+
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    rows = lambda n, x: spark.createDataFrame([("p", n, x)], "product string, network string, x int")
+    for n, only in (("ethereum", False), ("plume", False), ("solana", True)):
+        write_unit({"tags": rows(n, 1), "classifications": rows(n, 2), "stats": rows(n, 3), "history": rows(n, 4)}, "p", n, only, store)
+    write_unit({"stats": rows("plume", 8)}, "p", "plume", False, store)
+    got = {t: {(r.network, r.x) for r in store.read(t).collect()} for t in ("tags", "classifications", "stats")}
+    assert got == {"tags": {("ethereum", 1)}, "classifications": {("ethereum", 2), ("plume", 2)}, "stats": {("ethereum", 3), ("plume", 8), ("solana", 3)}}
+    assert read_progress(store, 0) is None
+    save_progress(store, {"page": 7}, 1000)
+    assert read_progress(store, 1000 + 7 * 86_400 - 1) == {"page": 7} and read_progress(store, 1000 + 7 * 86_400) is None
+    save_progress(store, None, 2000)
+    assert read_progress(store, 2000) is None
+
+
+def test_a_claimed_version_fails_the_second_writer(spark, tmp_path, monkeypatch):
+    from ledgerloom.sources import store as module
+
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    store.commit({}, {"a": 1})
+    store._claim(2)
+    with pytest.raises(RuntimeError, match="version 2 was taken"):
+        store.commit({}, {"a": 2})
+    monkeypatch.setattr(module, "CLAIM_SECONDS", -1)  # the claim counts as left by a crash
+    assert store.commit({}, {"a": 3}) == 2 and store.meta == {"a": 3}
