@@ -35,6 +35,8 @@ MOST_FILTER_BYTES = 192 << 20
 MOST_SHARD_BITS = 2**32 - 64
 MOST_WORDS = 8_000_000
 CHUNK_TOKENS = 2_000_000
+#: N-grams probed at once, few enough for their arrays to stay in the processor's cache.
+AT_ONCE = 32768
 #: Training text a shard stands for, and shards a task works through.
 SHARD_BYTES, SHARDS_A_TASK = 24 << 20, 4
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end of text"))  # no token holds a blank
@@ -210,29 +212,31 @@ class LogBloom:
         live = np.flatnonzero(self.size[shard] > 0)
         level = 1
         while len(live) and level < len(VALUE):
-            begin, size = self.begin[shard[live]], self.size[shard[live]]
-            ok = np.ones(len(live), bool)
-            idx = np.arange(len(live))
-            for place in _places(hashes[live], level, size):
-                p = place[idx]
-                hit = self.bits[(begin[idx] + (p >> np.uint64(3))).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-                ok[idx[hit == 0]] = False
-                idx = idx[hit == 1]
-                if not len(idx):
-                    break
-            live = live[ok]
+            parts = (live[i : i + AT_ONCE] for i in range(0, len(live), AT_ONCE))
+            live = np.concatenate([x[self.holds(hashes[x], level, self.begin[shard[x]], self.size[shard[x]])] for x in parts])
             out[live] = level
             level += 1
         return out
 
-    def read(self, hashes: np.ndarray) -> np.ndarray:
-        """Levels as bytes."""
-        distinct, back = np.unique(hashes, return_inverse=True)
-        return self.level(distinct).astype(np.uint8)[back]
-
-    def levels_of(self, flat: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Levels of every token and of every pair, as two columns."""
-        return np.stack([self.read(flat), self.read(pair_hashes(before, flat))], 1)
+    def holds(self, hashes: np.ndarray, level: int, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which of these n-grams have all their bits of this level; what misses one isn't probed again."""
+        with np.errstate(over="ignore"):
+            g = mix(hashes + np.uint64(level) * GOLDEN)
+            step = (g << np.uint64(32) | g >> np.uint64(32)) | np.uint64(1)
+            left = np.arange(len(g))
+            for _ in range(PROBES):
+                place = (g >> np.uint64(32)) * size >> np.uint64(32)
+                hit = (self.bits[(begin + (place >> np.uint64(3))).view(np.int64)] >> (place.astype(np.uint8) & np.uint8(7)) & np.uint8(1)).view(bool)
+                if not hit.all():
+                    g, step, begin, size, left = g[hit], step[hit], begin[hit], size[hit], left[hit]
+                g = g + step
+        return left
+
+    def levels_of(self, flat: np.ndarray, before: np.ndarray, tokens: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Levels of every token and of every pair, as two columns of bytes; ``tokens``: distinct ones and where each stands, if known."""
+        distinct, back = tokens if tokens is not None else np.unique(flat, return_inverse=True)
+        pairs, places = np.unique(pair_hashes(before, flat), return_inverse=True)
+        return np.stack([self.level(distinct).astype(np.uint8)[back], self.level(pairs).astype(np.uint8)[places]], 1)
 
     def log10(self, found: np.ndarray, flat: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 P of every token given the one before it, from the levels of both."""
@@ -291,12 +295,12 @@ class Vocabulary:
         self.hashes = hashes[order]
         self.counts = counts[order].astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64)
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, distinct: np.ndarray) -> np.ndarray:
+        """Counts of ascending hashes."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        distinct, back = np.unique(hashes, return_inverse=True)
+            return np.zeros(len(distinct), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == distinct, self.counts[at], 0).astype(np.int64)[back]
+        return np.where(self.hashes[at] == distinct, self.counts[at], 0).astype(np.int64)
 
 
 def filter_stats(built: DataFrame) -> DataFrame:
@@ -341,14 +345,15 @@ def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_wor
             for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
                 flat, before, size = token_arrays(memo, texts[a:b])
                 starts = np.cumsum(size) - size
-                found = model.levels_of(flat, before)
+                tokens = np.unique(flat, return_inverse=True)
+                found = model.levels_of(flat, before, tokens)
                 if known is not None:
                     found |= np.frombuffer(b"".join(known[a:b]), np.uint8).reshape(-1, 2)
                 score = np.add.reduceat(model.log10(found, flat, before), starts)
                 cols = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), pa.array(score)]
                 if vocabulary is not None:
-                    c = vocabulary.of(flat)
-                    cols += [pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10((c + 0.5) / low), starts))]
+                    c = vocabulary.of(tokens[0])
+                    cols += [pa.array(np.add.reduceat((c > 0).astype(np.int64)[tokens[1]], starts)), pa.array(np.add.reduceat(np.log10((c + 0.5) / low)[tokens[1]], starts))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_tokens", "score", "n_known", "base_score"][: len(cols)])
 
     schema = f"doc_id {kind}, text_key long, n_tokens long, score double"
