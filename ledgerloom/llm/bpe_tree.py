@@ -63,7 +63,8 @@ class TreeBPE:
         self.made = np.array([vocab[a + b] for a, b in merges] + [0], np.int64)
         self._made = self.made.tolist()
         self.rank_of = dict(zip(self.codes.tolist(), self.ranks.tolist()))
-        self.limit, self.words, self.pre, self._new = memo, {}, {}, []
+        self.limit, self.words, self.pre = memo, {}, {}
+        self.numbers = list(map(str, range(self.base)))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of symbol pairs; ``NONE`` where either is missing (-1) or no merge exists."""
@@ -235,8 +236,8 @@ class TreeBPE:
             out += [self.specials[piece]] if i % 2 else self.pretokens(piece)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Make sure that the memo holds these words; what it held before may go when it is full."""
+    def learn(self, words: set[str]) -> list[str]:
+        """Make sure that the memo holds these words; what it held before may go when it is full. Those too long to stay are returned."""
         if len(self.words) > self.limit:
             self.words = {w: self.words[w] for w in words & self.words.keys()}
         new = [w for w in words if w not in self.words]
@@ -244,35 +245,31 @@ class TreeBPE:
         wanted = {p for x in parts for p in x if isinstance(p, str)}
         if len(self.pre) > self.limit:
             self.pre = {p: self.pre[p] for p in wanted & self.pre.keys()}
-        fresh = self._new = [p for p in wanted if p not in self.pre]
+        fresh = [p for p in wanted if p not in self.pre]
+        names, tokens, pre = self.numbers, self.tokens, self.pre
         for p, ids in zip(fresh, self.encode_pretokens(fresh)):
-            self.pre[p] = ids
+            pre[p] = (" ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids]), len(ids))
         for w, x in zip(new, parts):
-            ids = [i for p in x for i in (self.pre[p] if isinstance(p, str) else [p])]
-            self.words[w] = (" ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids))
+            got = [pre[p] if isinstance(p, str) else (names[p], tokens[p], 1) for p in x]
+            self.words[w] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
+        for p in fresh:
+            if len(p) > LONG:
+                del pre[p]
+        return [w for w in new if len(w) > LONG]
 
     def encode_texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: the number of ids, the ids joined by spaces, and the decoded text."""
         split = [self.split(t) for t in texts]
-        wanted = set().union(*split)
-        self.learn(wanted)
+        long = self.learn(set().union(*split))
         memo = self.words
         out = []
         for s in split:
             got = [memo[w] for w in s]
             out.append((sum([g[2] for g in got]), " ".join([g[0] for g in got if g[2]]), " ".join([g[1] for g in got if g[2]])))
-        self.forget(wanted)
+        for w in long:
+            del memo[w]
         return out
 
-    def forget(self, words: set[str]) -> None:
-        """Drop long words and pre-tokens, so that the memos are bounded in bytes too."""
-        for w in words:
-            if len(w) > LONG:
-                self.words.pop(w, None)
-        for p in self._new:
-            if len(p) > LONG:
-                self.pre.pop(p, None)
-
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_texts([text])[0][1].split()]
 
