@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm_score, mixing, pii, quality, topk, toxicity
+from . import alignment, lm_score, mixing, pii, quality, topk, toxicity
 from .bpe_tree import bpe_encode
 from .common import table
 from .minhash import fingerprint_pairs
@@ -65,8 +66,14 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document under two tokenizers; see ``alignment``."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_score, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_score, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
