@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, host_rules, lm_score, mixing, pii, quality, topk, toxicity
+from . import alignment, host_rules, lm_score, mixing, pii, quality, topk, toxicity, whitening
 from .bpe_tree import bpe_encode
 from .common import table
 from .minhash import fingerprint_pairs
@@ -66,6 +66,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector; see ``whitening``."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of every document; see ``host_rules``."""
     ruled = host_rules.apply_host_rules(table(spark, sf_dir, "documents"))
@@ -79,7 +84,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_score, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk, op12_host_rules, op13_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_score, op4_simhash_dedup, op5_minhash_fingerprints, op6_pii_crf, op7_source_mixing, op8_bpe_encode, op9_line_quality, op10_exact_topk, op11_whitening, op12_host_rules, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
