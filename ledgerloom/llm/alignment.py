@@ -6,7 +6,7 @@
    all token occurrences would be some fifty times the input.
 2. ``align_pieces`` is DataFrame work alone, with a piece in the part of a document: token ids are
    posexploded, their byte lengths summed by a window into ends, both sides joined on (piece, end). Where
-   both end there is a cut; the running count of cuts is the group's number. Every distinct end is the end
+   both end there is a cut; the running count of cuts (from the end) is the group's number. Every distinct end is the end
    of exactly one overlap of an A and a B token, so each joined row is one link, and its two tokens are
    the nearest on either side that end at or after it. No range join, and nothing quadratic in a group.
 3. Documents get their pieces' results block by block; what a pair counts is the number of documents that
@@ -17,25 +17,31 @@ Only a block's pieces and numbers pass through one task, ``BLOCK_CHARS`` of text
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import uuid
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, partitions_for, remove
-from .token_count import byte_chars
+from .common import ensure_checkpoint_dir, keyed_runs, partitions_for, remove
+from .token_count import _VOUCHED, byte_chars
 
 BLOCK_CHARS = 32_000_000
 #: Distinct (A id, B id) pairs up to which their counts are broadcast; more are joined by shuffle.
 MOST_BROADCAST_PAIRS = 2_000_000
 MARKS = ",.;:!?)"
 SPACE = "▁"
+#: Fixed value: how byte-level BPE cuts a text into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -53,20 +59,49 @@ class Tokenizers:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of_char = {c: b for b, c in byte_chars().items()}
+        self.ranked = None
         entries = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.a_bytes[i] = bytes(of_char[c] for c in entry) if all(c in of_char for c in entry) else entry.encode()
+        model = json.loads(self.a.to_str())
+        if self._ids_are_ranks(model):
+            import tiktoken
+
+            added = {t["id"] for t in model["added_tokens"]}
+            ranks = {self.a_bytes[i]: i for i in entries.values() if i not in added}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b_pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in self.b_pieces]
 
+    @staticmethod
+    def _ids_are_ranks(file: dict) -> bool:
+        """Whether the file is plain byte-level BPE whose merges make one token each, in the order of the ids."""
+        model = file["model"]
+        plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and file["normalizer"] is None
+        before = file["pre_tokenizer"] or {}
+        if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return False
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        return all(x < y for x, y in zip(made, made[1:])) and len(made) + 256 == len(model["vocab"]) - sum(t["content"] in model["vocab"] for t in file["added_tokens"])
+
+    def encode_a(self, pieces: list[str]) -> list[list[int]]:
+        """A's ids. Pieces of ASCII and Latin letters go by the merge ranks, several times faster and the same ids; others to the library."""
+        if self.ranked is None:
+            return [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        rest = [i for i, p in enumerate(pieces) if not _VOUCHED.fullmatch(p)]
+        out = list(map(self.ranked.encode_ordinary, pieces)) if not rest else [self.ranked.encode_ordinary(p) if _VOUCHED.fullmatch(p) else [] for p in pieces]
+        for i, e in zip(rest, self.a.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of both sides, and whether both give a piece's bytes back.
 
         B puts a space before what it is given: it gets a piece without its leading space, and one that has
         none behind a line end, whose two tokens are then left out.
         """
-        a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
+        a = self.encode_a(pieces)
         b = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
         b = [ids if p[0] == " " else ids[2:] for p, ids in zip(pieces, b)]
         same = lambda ids, of, p: b"".join([of[i] for i in ids]) == p
@@ -88,16 +123,57 @@ class Cutter:
         if any("\n" in p for p in plain) or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain):
             raise ValueError("B's pieces cross spaces or line ends; texts can't be cut")
         marks = "".join(m for m in MARKS if not any(x.isalnum() and y == m for p in plain for x, y in zip(p, p[1:])))
-        self.inner = re.compile(rf"(?<=[^\W_])(?=[{re.escape(marks)}])|(?<=\S\n)(?=\S)" if marks else r"(?<=\S\n)(?=\S)")
+        self.marks = frozenset(marks)
+        self.within = re.compile(rf"(?<=[^\W_])(?=[{re.escape(marks)}])|(?<=\S\n)(?=\S)" if marks else r"(?<=\S\n)(?=\S)")
         self.blanks = re.compile(r" \s")
         self.words = re.compile(r"(?<=[^ ])(?= \S)")
 
+    def odd(self, text: str) -> bool:
+        """Whether blanks follow each other or stand at an end, so that not every space begins a word."""
+        return text[0].isspace() or text[-1] == " " or self.blanks.search(text) is not None
+
     def outer(self, text: str) -> list[str]:
-        """Pieces that each begin with a space, not yet cut inside."""
-        spaced = " " + text
-        if self.blanks.search(spaced) or spaced[-1] == " ":
-            return self.words.split(spaced)
-        return [" " + w for w in text.split(" ")]
+        """Words of (space + text), each without the space it begins with; ``text.split(" ")`` unless the text is ``odd``."""
+        return [w[1:] for w in self.words.split(" " + text)]
+
+    def inner(self, word: str) -> list[str]:
+        """Pieces of (space + word)."""
+        if word.isalpha():
+            return [" " + word]
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return [" " + word[:-1], word[-1]]
+        return self.within.split(" " + word)
+
+
+_CUT_SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("nos", pa.list_(pa.int32())), ("no", pa.int32()), ("piece", pa.string())])
+
+
+def _block_rows(cutter: Cutter, block: int, ids: list, texts: list[str]):
+    """A block's documents with the numbers of their pieces, then its distinct pieces. Words are told apart by Arrow; Python sees each distinct one once."""
+    odd = [bool(t) and cutter.odd(t) for t in texts]
+    plain = pa.array([t for t, x in zip(texts, odd) if t and not x], pa.large_string())
+    lists = [pc.split_pattern(plain, " ").cast(pa.large_list(pa.large_string())), pa.array([cutter.outer(t) for t, x in zip(texts, odd) if x], pa.large_list(pa.large_string()))]
+    words = pa.concat_arrays(lists)
+    owners = [i for i, t, x in zip(ids, texts, odd) if t and not x] + [i for i, x in zip(ids, odd) if x] + [i for i, t in zip(ids, texts) if not t]
+    coded = words.flatten().dictionary_encode()
+    codes, named = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    pieces = list(map(cutter.inner, named))
+    count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    numbered = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+    number = numbered.indices.to_numpy()
+    each = count[codes]
+    nos = number[_expand((np.cumsum(count) - count)[codes], each)]
+    edges = np.r_[0, np.cumsum(each)][words.offsets.to_numpy()]
+    offsets = np.r_[edges, np.full(len(owners) - len(edges) + 1, edges[-1])].astype(np.int32)  # empty texts come last
+    for at in range(0, len(owners), 5_000):
+        part = owners[at : at + 5_000]
+        n, cut = len(part), offsets[at : at + len(part) + 1]
+        column = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(nos[cut[0] : cut[-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(part, pa.int64()), column, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_CUT_SCHEMA)
+    for at in range(0, len(numbered.dictionary), 100_000):
+        part = numbered.dictionary.slice(at, 100_000).cast(pa.string())
+        n = len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.arange(at, at + n, dtype=np.int32)), part], schema=_CUT_SCHEMA)
 
 
 def _cut(docs: DataFrame, b_path: str, block_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -108,51 +184,18 @@ def _cut(docs: DataFrame, b_path: str, block_chars: int, id_col: str, text_col:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
         cutter = Cutter([sp.id_to_piece(i) for i in range(sp.get_piece_size())])
-        base = TaskContext.get().partitionId() << 32
-        state = {"block": base, "size": 0}
-        numbers: dict[str, int] = {}
-
-        class Known(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                out = self[word] = tuple(numbers.setdefault(p, len(numbers)) for p in cutter.inner.split(word))
-                return out
-
-        known = Known()
-        schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("nos", pa.list_(pa.int32())), ("no", pa.int32()), ("piece", pa.string())])
-
-        def doc_rows(ids: list, nos: list) -> pa.RecordBatch:
-            offsets = np.zeros(len(nos) + 1, np.int32)
-            np.cumsum([len(x) for x in nos], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(nos), np.int32, int(offsets[-1]))
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, state["block"])), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
-
-        def piece_rows():
-            names = list(numbers)
-            for at in range(0, len(names), 100_000):
-                part = names[at : at + 100_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, state["block"])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.string())], schema=schema)
-            numbers.clear()
-            known.clear()
-            state["block"] += 1
-            state["size"] = 0
-
+        block = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
         for batch in batches:
-            ids, nos = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if state["size"] and state["size"] + len(text or "") > block_chars:
-                    if ids:
-                        yield doc_rows(ids, nos)
-                    ids, nos = [], []
-                    yield from piece_rows()
+                if texts and size + len(text or "") > block_chars:
+                    yield from _block_rows(cutter, block, ids, texts)
+                    ids, texts, size, block = [], [], 0, block + 1
                 ids.append(i)
-                nos.append(list(chain.from_iterable(map(known.__getitem__, cutter.outer(text)))) if text else [])
-                state["size"] += len(text or "") + 1
-            if ids:
-                yield doc_rows(ids, nos)
-        if state["size"]:
-            yield from piece_rows()
+                texts.append(text or "")
+                size += len(text or "") + 1
+        if texts:
+            yield from _block_rows(cutter, block, ids, texts)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "block long, doc_id long, nos array<int>, no int, piece string")
@@ -176,36 +219,53 @@ def encode_pieces(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def _lengths(spark: SparkSession, of: list[bytes], name: str) -> DataFrame:
     """Byte length of each id of a vocabulary, which bounds the broadcast."""
-    import pandas as pd
-
     return F.broadcast(spark.createDataFrame(pd.DataFrame({name: np.arange(len(of), dtype=np.int32), "n": np.array([len(x) for x in of], np.int32)})))
 
 
 def align_pieces(encoded: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
-    """(pid, n_a, n_b, n_groups, pairs, groups) of (pid, a, b): links as packed (A id, B id) in order, groups as text.
+    """(pid, end, a, b, pair, group) of (pid, a, b): a row each link, by its end, those of a piece together and falling.
 
-    Ends, joined ends, running counts and groups keep the exchange by ``pid`` if the session lets a
-    join use it (``spark.sql.requireAllClusterKeysForCoPartition`` off).
+    ``a`` and ``b`` are set where a token of that side ends, ``pair`` packs the link's (A id, B id), ``group`` counts the
+    cuts from the text's end. Ends, joined ends and running values keep the exchange by ``pid`` if the
+    session lets a join use it (``spark.sql.requireAllClusterKeysForCoPartition`` off).
     """
 
     def ends(ids: str, lengths: DataFrame) -> DataFrame:
         tokens = encoded.select("pid", F.posexplode(ids).alias("pos", ids)).join(lengths, ids)
         w = Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return tokens.select("pid", F.sum("n").over(w).alias("end"), ids)
+        return tokens.select("pid", F.sum("n").over(w).cast("int").alias("end"), ids)
 
     joined = ends("a", a_lengths).join(ends("b", b_lengths), ["pid", "end"], "full_outer")
     back = Window.partitionBy("pid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     link = F.shiftleft(F.last("a", ignorenulls=True).over(back).cast("long"), 32).bitwiseOR(F.last("b", ignorenulls=True).over(back).cast("long"))
-    rows = joined.select("pid", "end", "a", "b", link.alias("pair"), F.count(F.when(cut, True)).over(back).alias("group"))
-    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c].cast("string")), ",")
-    grouped = rows.groupBy("pid", "group").agg(
-        F.concat(in_order("a"), F.lit("|"), in_order("b")).alias("text"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.array_sort(F.collect_list(F.struct("end", "pair"))).alias("links"), F.max("end").alias("at")
-    )
-    listed = F.array_sort(F.collect_list(F.struct("at", "text", "links")))
-    return grouped.groupBy("pid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), listed.alias("g")).select(
-        "pid", "n_a", "n_b", "n_groups", F.flatten(F.transform("g", lambda x: F.transform(x["links"], lambda y: y["pair"]))).alias("pairs"), F.array_join(F.transform("g", lambda x: x["text"]), ";").alias("groups")
-    )
+    rows = joined.select("pid", "end", "a", "b", link.alias("pair"), F.count(F.when(cut, True)).over(back).cast("int").alias("group"))
+    return rows.sortWithinPartitions("pid", F.desc("end"))  # as the window left them
+
+
+def describe_pieces(aligned: DataFrame) -> DataFrame:
+    """(pid, n_a, n_b, n_groups, pairs, groups) of ``align_pieces``: counts, links in order, and the groups as text."""
+
+    def run(batches):
+        for table in keyed_runs(batches, "pid", 20_000):
+            table = table.take(pa.array(np.arange(table.num_rows)[::-1]))  # ends rise
+            pid, a, b, group = (table[c].to_numpy() for c in ("pid", "a", "b", "group"))
+            has_a, has_b = np.asarray(table["a"].is_valid()), np.asarray(table["b"].is_valid())
+            new = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
+            opens = np.r_[True, (pid[1:] != pid[:-1]) | (group[1:] != group[:-1])]
+            starts = np.flatnonzero(opens)
+            ids = [[str(int(v)) for v in x[has]] for x, has in ((a, has_a), (b, has_b))]
+            edges = [np.r_[0, np.cumsum(has)][np.r_[starts, len(pid)]].tolist() for has in (has_a, has_b)]
+            parts = [f"{','.join(ids[0][i:j])}|{','.join(ids[1][k:m])}" for i, j, k, m in zip(edges[0], edges[0][1:], edges[1], edges[1][1:])]
+            first = np.r_[np.cumsum(opens)[new] - 1, len(parts)]
+            texts = [";".join(parts[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+            count = lambda has: pa.array(np.add.reduceat(has.astype(np.int64), new))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pid[new]), count(has_a), count(has_b), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.r_[new, len(pid)].astype(np.int32)), pa.array(table["pair"].to_numpy())), pa.array(texts, pa.string())],
+                names=["pid", "n_a", "n_b", "n_groups", "pairs", "groups"],
+            )
+
+    return aligned.mapInArrow(run, "pid long, n_a long, n_b long, n_groups long, pairs array<long>, groups string")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +308,7 @@ def _pairs_of_block(docs: pa.Table, pieces: pa.Table) -> pa.Table:
         nos, offsets, fit = _usable(docs, pieces)
         order = np.argsort(pieces["no"].to_numpy())
         pairs, at = _flat(pieces["pairs"].take(pa.array(order)))
-        names, local = np.unique(pairs, return_inverse=True)
+        local, names = pd.factorize(pairs)
         count, starts = np.diff(at), at[:-1].astype(np.int64)
         total = np.zeros(len(names), np.int64)
         which = np.flatnonzero(fit)
@@ -257,10 +317,10 @@ def _pairs_of_block(docs: pa.Table, pieces: pa.Table) -> pa.Table:
             mine = which[lo]
             held = nos[_expand(offsets[mine].astype(np.int64), size[mine].astype(np.int64))]
             owner = np.repeat(np.arange(len(mine), dtype=np.int64), size[mine])
-            once = np.unique(owner * pieces.num_rows + held)
+            once = pd.unique(owner * pieces.num_rows + held)
             owner, held = np.divmod(once, pieces.num_rows)
             linked = local[_expand(starts[held], count[held].astype(np.int64))]
-            keys = np.unique(np.repeat(owner, count[held]) * max(1, len(names)) + linked)
+            keys = pd.unique(np.repeat(owner, count[held]) * max(1, len(names)) + linked)
             total += np.bincount(keys % max(1, len(names)), minlength=len(names))
         some = total > 0
         found = names[some], total[some]
@@ -279,29 +339,30 @@ def _steps(sizes: np.ndarray, most: int):
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _documents_of_block(docs: pa.Table, pieces: pa.Table) -> pa.Table:
-    """A block's documents with the sums and the groups of their pieces."""
+def _documents_of_block(docs: pa.Table, pieces: pa.Table, digest: bool) -> pa.Table:
+    """A block's documents with the sums and the groups of their pieces (or the SHA-256 of the groups, '' if there are none)."""
     nos, offsets, fit = _usable(docs, pieces)
-    n = docs.num_rows
     out = {"doc_id": docs["doc_id"].combine_chunks()}
-    owner = np.repeat(np.arange(n), np.diff(offsets))
     for name in SUMS:
         of = _by_no(pieces, name) if pieces.num_rows else np.zeros(1, np.int64)
         running = np.concatenate([[0], np.cumsum(of[nos])]) if len(nos) else np.zeros(1, np.int64)
         out[name] = pa.array(np.where(fit, running[offsets[1:]] - running[offsets[:-1]], 0))
-    del owner
-    texts: list = [None] * pieces.num_rows
-    for i, text in zip(pieces["no"].to_pylist(), pieces["groups"].to_pylist()):
-        texts[i] = text
-    listed = nos.tolist()
-    out["groups"] = pa.array([";".join([texts[x] for x in listed[a:b]]) if ok else "" for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), fit.tolist())], pa.string())
+    order = np.empty(pieces.num_rows, np.int64)
+    order[pieces["no"].to_numpy()] = np.arange(pieces.num_rows)
+    texts = pieces["groups"].combine_chunks().cast(pa.large_binary())
+    listed = pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), texts.take(pa.array(order[nos])))
+    joined = pc.if_else(pa.array(fit), pc.binary_join(listed, pa.scalar(b";", pa.large_binary())), pa.scalar(b"", pa.large_binary()))
+    if digest:
+        out["groups_sha256"] = pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in joined.to_pylist()], pa.string())
+    else:
+        out["groups"] = joined.cast(pa.large_string()).cast(pa.string())
     return pa.table(out)
 
 
-def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): each row's text under both tokenizers.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3``. A pair's count is the number of rows whose text holds it linked;
+    ``groups`` is ``a1,a2|b1;a3|b2,b3``; with ``digest`` its SHA-256 stands in its place as ``groups_sha256``. A pair's count is the number of rows whose text holds it linked;
     ``n_best`` are links whose count is the highest of their A id, ``count_sum`` is over links. Texts that are
     null, empty, or that a tokenizer doesn't give back have no tokens: zeros and ''. Repeated rows are
     documents of their own, ids may be null; very long texts are a block of their own. An empty table gives
@@ -326,7 +387,7 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     spark.conf.set(whole_keys, "false")  # the join on (pid, end) may use the exchange by pid
     try:
         dealt = encoded.where("ok").select("pid", "a", "b").repartition(n, "pid")
-        aligned = kept(align_pieces(dealt, _lengths(spark, tok.a_bytes, "a"), _lengths(spark, tok.b_bytes, "b")), "aligned")
+        aligned = kept(describe_pieces(align_pieces(dealt, _lengths(spark, tok.a_bytes, "a"), _lengths(spark, tok.b_bytes, "b"))), "aligned")
     finally:
         spark.conf.set(whole_keys, before)
     results = kept(encoded.select("pid", "piece", "ok").join(aligned, "pid", "left").select("piece", (~F.col("ok")).cast("int").alias("wrong"), "n_a", "n_b", "n_groups", F.coalesce("pairs", F.array().cast("array<bigint>")).alias("pairs"), "groups"), "results")
@@ -344,4 +405,9 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     ready = listed.join(whole, "piece").select("block", "no", "wrong", F.col("n_links").cast("long").alias("n_links"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in zero), F.coalesce("groups", F.lit("")).alias("groups"))
     for name in ("encoded", "aligned"):
         remove(spark, f"{base}/{name}")
-    return docs.groupBy("block").cogroup(ready.groupBy("block")).applyInArrow(_documents_of_block, "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + ", groups string")
+    last = "groups_sha256 string" if digest else "groups string"
+
+    def documents(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _documents_of_block(left, right, digest)
+
+    return docs.groupBy("block").cogroup(ready.groupBy("block")).applyInArrow(documents, "doc_id long, " + ", ".join(f"{c} long" for c in SUMS) + f", {last}")
