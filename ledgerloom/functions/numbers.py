@@ -33,8 +33,8 @@ def integer_text(text: Column) -> Column:
 
 
 def integer_text_or_zero(text: Column) -> Column:
-    """The read side's lenient form: text that is no integer counts as 0."""
-    return F.when(text.rlike(r"^-?\d+$"), text.try_cast(RAW)).otherwise(F.lit(0)).cast(RAW)
+    """The read side's lenient form: text that is no integer, or one of more than 38 digits, counts as 0."""
+    return F.coalesce(F.when(text.rlike(r"^-?\d+$"), text.try_cast(RAW)), F.lit(0)).cast(RAW)
 
 
 def tokens(raw: Column, decimals: Column) -> Column:

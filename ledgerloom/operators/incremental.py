@@ -11,29 +11,22 @@ from ..sources.store import VersionedStore
 from .replay import legs
 
 KEYS = ["product", "network"]
+# The limits of the reconciliation and of the gate.
 #: How much worse than the stored state a rebuilt one may deviate from supply and still replace it.
 REBUILD_SLACK = 0.005
 WARN_SHARE, MIN_NOTIONAL_USD = 0.05, 1_000_000
-#: Units (product and network) up to which a table of one row a unit passes through the driver and is broadcast.
-MOST_UNITS = 100_000
 
 
-def _few(units: DataFrame) -> DataFrame:
-    """A table of one row a unit, read once and broadcast if it is short; a longer one stays distributed."""
-    rows = units.limit(MOST_UNITS + 1).collect()
-    return F.broadcast(units.sparkSession.createDataFrame(rows, units.schema)) if len(rows) <= MOST_UNITS else units
-
-
-def _units(cursor: DataFrame) -> DataFrame:
-    """(product, network, last_ts) of a cursor."""
-    return _few(cursor.groupBy(*KEYS).agg(F.max("last_ts").alias("last_ts")))
+def _of_units(rows: DataFrame, *measures) -> DataFrame:
+    """Measures by unit, to be joined back to rows: as many rows as there are configured products and networks."""
+    return F.broadcast(rows.groupBy(*KEYS).agg(*measures))
 
 
 def since_cursor(ledger: DataFrame, cursor: DataFrame | None) -> DataFrame:
     """Rows from the start of each cursor's UTC day on; all rows of products and networks without one."""
     if cursor is None:
         return ledger
-    c = _units(cursor).select(*KEYS, (F.floor(F.col("last_ts") / DAY) * DAY).alias("_from"))
+    c = _of_units(cursor, (F.floor(F.max("last_ts") / DAY) * DAY).alias("_from"))
     return ledger.join(c, KEYS, "left").where("_from is null or ts_unix >= _from").drop("_from")
 
 
@@ -53,7 +46,7 @@ def next_cursor(fresh: DataFrame, prior: DataFrame | None) -> DataFrame:
     seen = fresh.select(*KEYS, "ts_unix", "id")
     if prior is not None:
         seen = seen.unionByName(prior.select(*KEYS, F.col("last_ts").alias("ts_unix"), "id"))
-    last = _few(seen.groupBy(*KEYS).agg(F.max("ts_unix").alias("last_ts")))
+    last = _of_units(seen, F.max("ts_unix").alias("last_ts"))
     day = lambda c: F.floor(F.col(c) / DAY)
     return seen.join(last, KEYS).where(day("ts_unix") == day("last_ts")).select(*KEYS, "last_ts", "id").distinct()
 

@@ -9,7 +9,6 @@ from ..functions.numbers import RAW, half_up, permyriad, pow10, usd_micro
 from ..functions.scores import FACTORS, METHODOLOGY_VERSION, factor_score
 from ..sources.ledger import DAY, ZERO, day_of
 from .replay import legs
-from .supply import supply_change
 
 DAYS_30, DAYS_90 = 30 * DAY, 90 * DAY
 
@@ -27,18 +26,6 @@ def month_end_unix(month: Column) -> Column:
     return F.datediff(month_end_day(month), F.lit("1970-01-01").cast("date")).cast("long") * DAY + DAY - 1
 
 
-def daily_totals(ledger: DataFrame) -> DataFrame:
-    """(product, day, eve, low, high, net, volume): all that months need of the ledger beside its wallets, in one pass.
-
-    ``eve`` is the day a second later: a trailing window begins with a day's last second, so whether it
-    covers a transfer is a matter of whole eves. ``net`` is null without mints and burns.
-    """
-    plain = (F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO)
-    return ledger.groupBy("product", day_of(F.col("ts_unix")).alias("day"), day_of(F.col("ts_unix") + 1).alias("eve")).agg(
-        F.min("ts_unix").alias("low"), F.max("ts_unix").alias("high"), F.sum(supply_change()).cast(RAW).alias("net"), F.sum(F.when(plain, F.col("value_raw"))).cast(RAW).alias("volume")
-    )
-
-
 def month_calendar(ledger: DataFrame, low: str = "ts_unix", high: str = "ts_unix") -> DataFrame:
     """(month, month_end): every month from the first transfer's to the last complete one."""
     span = ledger.agg(F.min(low).alias("a"), F.max(high).alias("b"))
@@ -65,63 +52,92 @@ def blocks(first: Column, last: Column, levels: int = LEVELS) -> Column:
     return F.when(a <= b, F.concat(F.array(*found), whole)).otherwise(F.array(*found))
 
 
-def product_months(ledger: DataFrame, daily: DataFrame, calendar: DataFrame, products: DataFrame, aum: DataFrame) -> DataFrame:
+def month_changes(ledger: DataFrame) -> DataFrame:
+    """(product, address, month, net, out_ts, own_volume, next_volume): all that months need of a ledger, in one pass.
+
+    ``net`` is what a wallet gained, ``out_ts`` its last outbound transfer. Volumes are of plain transfers and
+    counted at the receiver: those that the month's own end still looks back at, and those that the next one does.
+    """
+    plain = (F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO)
+    leg = legs(ledger.withColumn("plain", plain), ("product", "plain")).withColumn("month", month_number(day_of(F.col("ts_unix"))))
+    seen = lambda m: F.sum(F.when(F.col("plain") & F.col("is_in") & (day_of(F.col("ts_unix") + 1) > F.date_sub(month_end_day(m), DAYS_30 // DAY)), F.col("amount"))).cast(RAW)
+    return leg.groupBy("product", "address", "month").agg(
+        F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"), seen(F.col("month")).alias("own_volume"), seen(F.col("month") + 1).alias("next_volume")
+    )
+
+
+def top_floor(held: DataFrame, k: int = 5, groups: int = 16) -> DataFrame:
+    """(product, month, floor): a balance that the k-th largest of the month is never below; null where fewer than k groups hold anything.
+
+    Wallets fall into ``groups`` groups; the k-th largest of the groups' largest balances among those that
+    changed in the month is reached by k wallets. Plain sums and maxima, no sort of the wallets.
+    """
+    largest = held.groupBy("product", "month", F.pmod(F.hash("address"), F.lit(groups)).alias("_g")).agg(F.max("balance").alias("b"))
+    return largest.groupBy("product", "month").agg(F.get(F.sort_array(F.collect_list("b"), False), F.lit(k - 1)).alias("floor"))
+
+
+def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame) -> DataFrame:
     """One row a (month, product): AUM, holders, top-5 share, dormant share, 30-day volume and velocity.
 
-    Nothing is replayed a month and no wallet is stretched over its months. Legs are summed to (product,
-    address, month); a running sum gives the balance from each change to the next, an interval of months.
-    Counts and sums are differences at an interval's ends, summed up month by month: an interval is
-    dormant from the first month-end that lies beyond the trailing window of its last outbound transfer.
-    For the top 5 an interval goes to the few blocks of a binary tree of months that make it up; each
-    block keeps its five largest, and a month's five are among those of the blocks above it. For volumes
-    a day of ``daily_totals`` is assigned to the month-ends that look back at it. Shuffles: one by (product,
-    address), the others of pre-aggregated rows by (product, month) or (product, block).
+    Nothing is replayed a month and no wallet is stretched over its months. The ledger is read once into
+    ``month_changes``; a running sum gives the balance from each change to the next, an interval of months.
+    Counts, sums, supply and volumes are differences at an interval's ends, summed up month by month: an
+    interval is dormant from the first month-end that lies beyond the trailing window of its last outbound
+    transfer, and supply is what all wallets gained, since plain transfers cancel. For the top 5 only
+    intervals that reach the lowest ``top_floor`` of their months count, some hundred a month; each goes to the few
+    blocks of a binary tree of months that make it up, each block keeps its five largest, and a
+    month's five are among those of the blocks above it. Shuffles: one by (product, address), the others of
+    pre-aggregated rows by (product, month) or (product, block).
     """
-    last = F.broadcast(calendar.agg(F.max("month").alias("last")))  # one row
-    leg = legs(ledger, ("product",)).withColumn("month", month_number(day_of(F.col("ts_unix"))))
-    change = leg.groupBy("product", "address", "month").agg(F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"))
+    last = F.broadcast(calendar.agg(F.max("month").alias("last"), F.min("month").alias("first")))  # one row
     w = Window.partitionBy("product", "address").orderBy("month")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    held = change.withColumns({"balance": F.sum("net").over(so_far).cast(RAW), "last_out": F.max("out_ts").over(so_far), "next": F.lead("month").over(w)})
-    held = held.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last")).cast("int")).where("balance > 0 and until >= month")
+    x = month_changes(ledger).withColumns({"balance": F.sum("net").over(so_far).cast(RAW), "last_out": F.max("out_ts").over(so_far), "next": F.lead("month").over(w)})
+    x = x.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last")).cast("int"))
     seen = F.col("last_out") + DAYS_90
     own = month_number(day_of(seen))  # its month-end is the first at or after ``seen``
     still = F.when(F.col("last_out").isNull(), F.col("month")).otherwise(F.greatest(F.col("month"), own + F.when(month_end_unix(own) <= seen, 1).otherwise(0)))
     size = F.col("balance").cast("double").desc()  # settles most comparisons without touching a wide decimal
     top = Window.partitionBy("product", "level", "block").orderBy(size, F.desc("balance"), "address")
-    zero = F.lit(0).cast(RAW)
-    event = lambda m, n, total, dormant: F.struct(m.cast("long").alias("month"), F.lit(n).alias("n"), total.cast(RAW).alias("total"), dormant.cast(RAW).alias("dormant"))
+    zero, nothing = F.lit(0).cast(RAW), F.lit(None).cast(RAW)
+    names = ("n", "total", "dormant", "supply", "volume")
+
+    def event(month: Column, **values: Column) -> Column:
+        return F.struct(month.cast("long").alias("month"), *((values.get(c, nothing) if c != "n" else values.get(c, F.lit(0))).alias(c) for c in names))
+
     b, after = F.col("balance"), F.col("until") + 1
-    dormant = F.col("still") <= F.col("until")
-    ends = F.array(event(F.col("month"), 1, b, zero), event(after, -1, -b, zero), event(F.when(dormant, F.col("still")), 0, zero, b), event(F.when(dormant, after), 0, zero, -b))
-    events = held.withColumn("still", still).select("product", F.explode(ends).alias("e")).select("product", "e.*").where("month is not null")
-    steps = events.groupBy("product", "month").agg(F.sum("n").alias("n"), F.sum("total").cast(RAW).alias("total"), F.sum("dormant").cast(RAW).alias("dormant"))
+    holds = (b > 0) & (F.col("until") >= F.col("month"))
+    dormant = holds & (F.col("still") <= F.col("until"))
+    ends = F.array(
+        event(F.col("month"), supply=F.col("net"), volume=F.col("own_volume"), n=F.when(holds, 1).otherwise(0), total=F.when(holds, b)),
+        event(F.when(F.col("next_volume").isNotNull(), F.col("month") + 1), volume=F.col("next_volume")), event(F.when(holds, after), n=F.lit(-1), total=-b),
+        event(F.when(dormant, F.col("still")), dormant=b), event(F.when(dormant, after), dormant=-b),
+    )
+    events = x.withColumn("still", still).select("product", F.explode(ends).alias("e")).select("product", "e.*").where("month is not null")
+    steps = events.groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in names[1:]))
     run = Window.partitionBy("product").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
-    # reading the same columns as above lets both branches share one exchange
-    largest = held.where(F.coalesce("last_out", F.lit(0)) > -1).select("product", "address", "balance", F.explode(blocks(F.col("month").cast("int"), F.col("until"))).alias("t")).where("t is not null").select("product", "address", "balance", "t.*")
-    largest = largest.withColumn("_r", F.row_number().over(top)).where("_r <= 5").drop("_r")
+    held = x.where(holds).select("product", "address", "balance", F.col("month").cast("int").alias("month"), "until", "first", "last")
+    floors = top_floor(held)
+    grid = calendar.select("month").crossJoin(F.broadcast(products.select("product")))  # months x the products dimension
+    line = grid.join(floors, ["product", "month"], "left").groupBy("product").agg(F.transform(F.array_sort(F.collect_list(F.struct("month", F.coalesce("floor", zero).alias("floor")))), lambda m: m["floor"]).alias("floors"))  # an array a product
+    lowest = F.array_min(F.slice("floors", F.col("month") - F.col("first") + 1, F.col("until") - F.col("month") + 1))
+    large = held.join(F.broadcast(line), "product").where(F.col("balance") >= lowest)
+    large = large.select("product", "address", "balance", F.explode(blocks(F.col("month"), F.col("until"))).alias("t")).where("t is not null").select("product", "address", "balance", "t.*")
+    large = large.withColumn("_r", F.row_number().over(top)).where("_r <= 5").drop("_r")
     above = calendar.select("month", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(F.col("month").cast("int"), i).alias("block")) for i in range(LEVELS + 1)))).alias("t")).select("month", "t.*")
     by_month = Window.partitionBy("product", "month").orderBy(F.desc("balance"), "address")
-    five = largest.join(F.broadcast(above), ["level", "block"]).withColumn("_r", F.row_number().over(by_month)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
-
-    own = month_number(F.col("day"))
-    seen_from = F.filter(F.sequence(own, own + 1), lambda m: F.col("eve") > F.date_sub(month_end_day(m), DAYS_30 // DAY))
-    volume = daily.where("volume is not null").select("product", "volume", F.explode(seen_from).alias("month")).groupBy("product", "month").agg(F.sum("volume").cast(RAW).alias("volume_raw"))
+    five = large.join(F.broadcast(above), ["level", "block"]).withColumn("_r", F.row_number().over(by_month)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
 
     # one exchange by (product, month) brings all measures together, months without any included
-    grid = calendar.select("month").crossJoin(F.broadcast(products.select("product")))  # months x the products dimension
-    owned = aum.select("product", month_number(F.col("day")).alias("month"), "aum_micro")
-    rows = grid
-    for part in (steps, five, volume, owned):
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    x = rows.groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in ("total", "dormant", "top5", "volume_raw")), F.max("aum_micro").alias("aum_micro"))
+    rows = grid.unionByName(steps, allowMissingColumns=True).unionByName(five, allowMissingColumns=True)
+    x = rows.groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in ("total", "dormant", "supply", "top5", "volume")))
     total = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0))
-    x = x.withColumns({"holder_count": total("n"), "total": total("total").cast(RAW), "dormant": total("dormant").cast(RAW)})
+    x = x.withColumns({"holder_count": total("n"), **{c: total(c).cast(RAW) for c in ("total", "dormant", "supply")}})
     x = x.join(F.broadcast(products.select("product", "decimals", "nav_usd")), "product").join(F.broadcast(calendar), "month")  # a row a month
     less = pow10(F.greatest(F.lit(0), F.col("decimals") - 6))
-    vol = F.coalesce("volume_raw", zero)
+    vol = F.coalesce("volume", zero)
     micro = ((vol - vol % less) / less).cast(RAW)  # tokens to six places, the rest cut
-    x = x.withColumns({"volume_micro": usd_micro(micro, F.least(F.col("decimals"), F.lit(6)), F.col("nav_usd")), "aum_micro": F.coalesce("aum_micro", zero).cast(RAW)})
+    x = x.withColumns({"volume_micro": usd_micro(micro, F.least(F.col("decimals"), F.lit(6)), F.col("nav_usd")), "aum_micro": usd_micro(F.col("supply"), F.col("decimals"), F.col("nav_usd")).cast(RAW)})
     aum_usd, usd = F.col("aum_micro").cast("double") / 1e6, F.col("volume_micro").cast("double") / 1e6
     return x.select(
         "month", "month_end", "product", "aum_micro", aum_usd.alias("aum_usd"), F.coalesce("holder_count", F.lit(0)).alias("holder_count"),

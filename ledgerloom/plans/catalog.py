@@ -302,16 +302,10 @@ def month_end_calendar(spark, sf_dir):
     return index.month_calendar(derived_ledger(spark, sf_dir)).select(F.col("month_end").cast("string").alias("month_end"))
 
 
-def _daily(spark, sf_dir) -> DataFrame:
-    """Daily totals of the ledger (a row a product and day), kept: calendar, AUM and volumes all read them."""
-    return index.daily_totals(derived_ledger(spark, sf_dir)).persist()
-
-
-def _month_aum(spark, daily: DataFrame, calendar: DataFrame) -> DataFrame:
+def _month_aum(spark, ledger: DataFrame, calendar: DataFrame) -> DataFrame:
+    """AUM as of every month-end; looked up among the days that have mints or burns, not among all days."""
     dates = calendar.select(F.col("month_end").alias("day")).crossJoin(F.broadcast(products(spark).select("product")))
-    points = supply.running_supply(daily.groupBy("product", "day").agg(F.sum("net").cast(RAW).alias("net")))
-    series = supply.with_aum(supply.gap_fill(points, ["product"], "day", "supply_raw"), products(spark))
-    return supply.as_of(dates, series, ["product"], "day", "aum_micro")
+    return supply.as_of(dates, supply.with_aum(supply.daily_supply(ledger), products(spark)), ["product"], "day", "aum_micro")
 
 
 _ASOF_SQL = "month_aum AS (SELECT p.product, m.month_end, m.month_ts, m.i, p.decimals, p.nav_usd, arg_max(a.aum_micro, a.day) AS aum_micro FROM months m CROSS JOIN products p LEFT JOIN aum a ON a.product = p.product AND a.day <= m.month_end GROUP BY ALL)"
@@ -319,8 +313,8 @@ _ASOF_SQL = "month_aum AS (SELECT p.product, m.month_end, m.month_ts, m.i, p.dec
 
 @query(f"WITH {_SUPPLY_SQL}, {_CALENDAR_SQL}, {_ASOF_SQL} SELECT product, month_end::VARCHAR AS day, {dollars_sql('aum_micro')} AS aum_usd FROM month_aum")
 def aum_asof_month_end(spark, sf_dir):
-    daily = _daily(spark, sf_dir)
-    return _month_aum(spark, daily, index.month_calendar(daily, "low", "high")).select("product", F.col("day").cast("string").alias("day"), dollars(F.col("aum_micro")).alias("aum_usd"))
+    ledger = derived_ledger(spark, sf_dir)
+    return _month_aum(spark, ledger, index.month_calendar(ledger)).select("product", F.col("day").cast("string").alias("day"), dollars(F.col("aum_micro")).alias("aum_usd"))
 
 
 # ---- index -------------------------------------------------------------------------------------
@@ -358,9 +352,8 @@ readings AS (SELECT *, {rs(" + ".join(f"coalesce({f.weight}::DOUBLE / present *
 
 
 def _product_months(spark, sf_dir) -> DataFrame:
-    daily = _daily(spark, sf_dir)
-    calendar = index.month_calendar(daily, "low", "high")
-    return index.product_months(derived_ledger(spark, sf_dir), daily, calendar, products(spark), _month_aum(spark, daily, calendar))
+    ledger = derived_ledger(spark, sf_dir)
+    return index.product_months(ledger, index.month_calendar(ledger), products(spark))
 
 
 def _factors(spark, sf_dir) -> DataFrame:
@@ -722,7 +715,7 @@ def window_pages(spark, sf_dir):
 def feed_order(spark, sf_dir):
     from ..sources.ledger import in_feed_order
 
-    return in_feed_order(derived_ledger(spark, sf_dir), PN, "id").select(*PN, "id", "place")
+    return in_feed_order(derived_ledger(spark, sf_dir).select(*PN, "id", "ts_unix"), PN, "id").select(*PN, "id", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH {_SUPPLY_SQL} SELECT least((SELECT min(day) FROM points), (SELECT min(DATE '1970-01-01' + (ts_unix // {DAY})::INT) FROM ledger))::VARCHAR AS first_day")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,8 +169,10 @@ def earliest_of(*dated: tuple[DataFrame, str]) -> DataFrame:
 
 
 def in_feed_order(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """``rows`` with ``place``: their number in each unit by time, those of one second as the feed had them."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ts_unix", position)))
+    """``rows`` with ``place``: their number in each unit by time, those of one second as the feed had them. A unit's line is spread over tasks."""
+    from ..operators.ordered import ordered_scan
+
+    return ordered_scan(rows, keys, "ts_unix", [position], number="place")
 
 
 def fresh(df: DataFrame, now_unix: int, ttl_seconds: int, column: str = "fetched_at") -> DataFrame:

@@ -70,25 +70,39 @@ class VersionedStore:
             df.write.parquet(paths[name])
         text = json.dumps({"version": n, "tables": paths, "meta": {**now["meta"], **(meta or {})}})
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
-        self._claim(n)
+        generation = self._claim(n)
         made = self._path(f"{self.root}/tmp/{uuid.uuid4().hex}")
         out = self._fs.create(made, False)
         out.write(bytearray(text.encode()))
         out.close()
         target = self._path(f"{self.root}/manifest/{n}")
-        if self._fs.exists(target) or not self._fs.rename(made, target):
+        if max(self._generations(n)) != generation or self._fs.exists(target) or not self._fs.rename(made, target):
             raise RuntimeError(f"version {n} was taken by another commit")
         return n
 
-    def _claim(self, n: int) -> None:
-        """Take number ``n``: a file created without overwrite, which only one writer can; a claim left by a crash goes stale after ``CLAIM_SECONDS``."""
-        claim = self._path(f"{self.root}/claim/{n}")
-        if self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
-            self._fs.delete(claim, False)
+    def _generations(self, n: int) -> dict[int, float]:
+        """generation -> when it was claimed, of the claims of number ``n``."""
+        at = self._path(f"{self.root}/claim/{n}")
+        if not self._fs.exists(at):
+            return {}
+        return {int(s.getPath().getName()): s.getModificationTime() / 1000 for s in self._fs.listStatus(at) if s.getPath().getName().isdigit()}
+
+    def _claim(self, n: int) -> int:
+        """Take number ``n`` and return the claim's generation: a file created without overwrite, which only one writer can.
+
+        A claim left by a crash goes stale after ``CLAIM_SECONDS``; the next generation takes over. No claim is
+        ever deleted, so of several writers that find the same one stale a single one goes on, and an owner that was only slow
+        finds the newer generation before it commits.
+        """
+        held = self._generations(n)
+        newest = max(held, default=0)
+        if held and time.time() - held[newest] <= CLAIM_SECONDS:
+            raise RuntimeError(f"version {n} was taken by another commit")
         try:
-            self._fs.create(claim, False).close()
+            self._fs.create(self._path(f"{self.root}/claim/{n}/{newest + 1}"), False).close()
         except Py4JJavaError as e:
             raise RuntimeError(f"version {n} was taken by another commit") from e
+        return newest + 1
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:

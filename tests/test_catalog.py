@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalog
+from ledgerloom.plans import catalog, live  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")

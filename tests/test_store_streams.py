@@ -196,4 +196,7 @@ def test_a_claimed_version_fails_the_second_writer(spark, tmp_path, monkeypatch)
     with pytest.raises(RuntimeError, match="version 2 was taken"):
         store.commit({}, {"a": 2})
     monkeypatch.setattr(module, "CLAIM_SECONDS", -1)  # the claim counts as left by a crash
+    slow = VersionedStore(spark, str(tmp_path / "s"))
+    assert slow._claim(2) == 2  # a writer that took the stale claim over and is slow
     assert store.commit({}, {"a": 3}) == 2 and store.meta == {"a": 3}
+    assert max(slow._generations(2)) == 3  # the slow one would find a newer claim than its own, and fail
