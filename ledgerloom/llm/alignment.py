@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, keyed_runs, partitions_for, remove
 from .token_count import _VOUCHED, byte_chars
 
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Distinct (A id, B id) pairs up to which their counts are broadcast; more are joined by shuffle.
 MOST_BROADCAST_PAIRS = 2_000_000
 MARKS = ",.;:!?)"
@@ -152,18 +152,23 @@ def _block_rows(cutter: Cutter, block: int, ids: list, texts: list[str]):
     """A block's documents with the numbers of their pieces, then its distinct pieces. Words are told apart by Arrow; Python sees each distinct one once."""
     odd = [bool(t) and cutter.odd(t) for t in texts]
     plain = pa.array([t for t, x in zip(texts, odd) if t and not x], pa.large_string())
-    lists = [pc.split_pattern(plain, " ").cast(pa.large_list(pa.large_string())), pa.array([cutter.outer(t) for t, x in zip(texts, odd) if x], pa.large_list(pa.large_string()))]
-    words = pa.concat_arrays(lists)
+    words = pc.split_pattern(plain, " ").cast(pa.large_list(pa.large_string()))
+    if any(odd):
+        words = pa.concat_arrays([words, pa.array([cutter.outer(t) for t, x in zip(texts, odd) if x], pa.large_list(pa.large_string()))])
     owners = [i for i, t, x in zip(ids, texts, odd) if t and not x] + [i for i, x in zip(ids, odd) if x] + [i for i, t in zip(ids, texts) if not t]
+    ends = words.offsets.to_numpy()
+    texts.clear()
     coded = words.flatten().dictionary_encode()
+    del plain, words  # a block's memory is what bounds its size
     codes, named = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     pieces = list(map(cutter.inner, named))
-    count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    count = np.fromiter(map(len, pieces), np.int32, len(pieces))
     numbered = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+    del named, pieces
     number = numbered.indices.to_numpy()
     each = count[codes]
     nos = number[_expand((np.cumsum(count) - count)[codes], each)]
-    edges = np.r_[0, np.cumsum(each)][words.offsets.to_numpy()]
+    edges = np.r_[0, np.cumsum(each)][ends]
     offsets = np.r_[edges, np.full(len(owners) - len(edges) + 1, edges[-1])].astype(np.int32)  # empty texts come last
     for at in range(0, len(owners), 5_000):
         part = owners[at : at + 5_000]
