@@ -18,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, WordHashes, mix, partitions_for, shingle_hashes, slices, words
@@ -113,6 +113,21 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
+def place_among(at: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted ``bounds`` are at most ``at``, a struct (k, h): a binary search over two constant arrays."""
+    if not bounds:
+        return F.lit(0)
+    ks, hs = F.lit([k for k, _ in bounds]).cast("array<bigint>"), F.lit([h for _, h in bounds]).cast("array<bigint>")
+    jumps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def jump(place: Column, by: Column) -> Column:
+        to = place + by
+        low = F.struct(F.get(ks, to - 1).alias("k"), F.get(hs, to - 1).alias("h"))
+        return F.when((to <= len(bounds)) & (low <= at), to).otherwise(place)
+
+    return F.aggregate(F.lit(jumps), F.lit(0), jump).cast("int")
+
+
 def beside_next(df: DataFrame, partitions: int) -> DataFrame:
     """(bucket, extra, k, h, doc_id, text) so that every bucket, sorted, ends with a copy of what follows its last row.
 
@@ -128,13 +143,8 @@ def beside_next(df: DataFrame, partitions: int) -> DataFrame:
     ids = Counter(rows.agg(F.percentile_approx("k", wanted, 10_000)).first()[0] or []) if wanted else Counter()
     bounds = [(i, -(2**63) + j * 2**64 // n) for i, n in sorted(ids.items()) for j in range(n)]
     at = F.struct("k", "h")
-    bucket = F.lit(0)
-    if bounds:
-        listed = F.split(F.lit(",".join(f"{i}:{h}" for i, h in bounds)), ",")  # folded to one constant, however many
-        half = lambda b, n: F.split_part(b, F.lit(":"), F.lit(n)).cast("long")
-        reached = F.transform(listed, lambda b: F.struct(half(b, 1).alias("k"), half(b, 2).alias("h")))
-        bucket = F.size(F.filter(reached, lambda b: b <= at))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    rows_bucket = place_among(at, bounds)
+    rows = rows.withColumn("bucket", rows_bucket)
     highest = sorted((r.bucket, tuple(r.at)) for r in rows.groupBy("bucket").agg(F.max(at).alias("at")).collect())
     if not highest:
         return rows.select("bucket", F.lit(0).alias("extra"), "k", "h", "doc_id", "text")
@@ -159,7 +169,7 @@ def fingerprint_pairs(df: DataFrame) -> DataFrame:
 
     The next document has the next smaller doc_id (rows of equal id: by descending hash of the text, then
     text; null ids last; after the last comes the first). Null texts count as empty: fingerprint of zeros,
-    alike only to one another (likeness 1). A lone document is its own next. An empty table gives no rows.
+    alike only to one another (likeness 1); other columns are not read. A lone document is its own next. An empty table gives no rows.
     Texts are shuffled once, a range of places to a task, sorted there; a task streams its range and holds
     one slice of it. Only rows that repeat both id and text can make a range long.
     """
