@@ -295,7 +295,8 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, keep: bool = False, id_col: s
     """(id, n_tokens, ids_sha256, decoded_sha256) for each row, with ids (array) and decoded text if ``keep``.
 
     A null text counts as empty: no ids, digests of the empty string. Repeated rows and null ids each
-    give their row; other columns are not read. One pass without a shuffle; memory is a slice of a
+    give their row; other columns are not read; an empty table gives no rows; very long texts and words are
+    encoded whole. One pass without a shuffle; memory is a slice of a
     batch plus two bounded memos.
     """
 

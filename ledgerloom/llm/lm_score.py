@@ -313,7 +313,8 @@ def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_wor
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Trained on the rows outside the held-out remainder (rows of null doc_id train). A null text counts as
-    empty: its end is its only token. Repeated rows train and are scored each. An empty table gives no
+    empty: its end is its only token. Repeated rows train and are scored each; very long texts count whole, a slice
+    at a time; columns other than doc_id and text are not read. An empty table gives no
     rows; a table without training rows has N = V = 0 and all its scores 0.
     """
     docs = df.select("doc_id", "text")

@@ -117,7 +117,7 @@ def mix_sources(docs: DataFrame, keep: bool = False) -> DataFrame:
     and ``pieces``: the (from, to) word numbers of each piece taken, whole copies first; no word is in two partial ones.
 
     A null text has size 0 and is never taken; a null source is a source of its own; rows that repeat
-    a doc_id are separate documents. No document is taken more than ``MOST`` times. An empty table
+    a doc_id are separate documents; a very long one is cut between words only where its quota ends. No document is taken more than ``MOST`` times. An empty table
     gives no rows. Extra columns are read only if kept.
     """
     known = ["doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_digest")]

@@ -563,7 +563,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; counts are of the four listed kinds.
 
     A null text counts as empty: no spans, the digest of the empty string. Null ids and repeated rows
-    each give a row; other columns are not read. One pass without a shuffle.
+    each give a row; other columns are not read; an empty table gives no rows; very long texts are searched whole, a
+    slice of a batch at a time. One pass without a shuffle.
     """
     trained = model()
     shared = df.sparkSession.sparkContext.broadcast((trained.names, trained.w, trained.trans))

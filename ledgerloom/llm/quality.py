@@ -181,7 +181,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, modulus: int = 5, hel
     """(doc_id, held_out, score, predicted) of every document row.
 
     Null texts count as empty; a text without lines has the raw score of the labels' share. A null doc_id
-    isn't held out; repeated rows each give a row. No labels: score 0.
+    isn't held out; repeated rows each give a row; very long texts are scored whole. An empty table gives no
+    rows; other columns are not read. No labels: score 0.
     """
     model = fit(labelled_sample(documents, labels, "quality", modulus, held_out, MOST_ROWS))
     scored = apply_model(documents, model, ["doc_id"])

@@ -306,7 +306,7 @@ def near_duplicate_components(df: DataFrame, size: int = 3, n_words: int = 1, vi
 
     Null and empty texts have no words: signature zero, linked like any other. Repeated ids and null
     ids keep their rows; a component's id is its smallest non-null id, null if it has none. Equal
-    signatures are one node, so exact copies never multiply pairs. An empty table gives no rows; other
+    signatures are one node, so exact copies never multiply pairs; very long texts are signed whole. An empty table gives no rows; other
     columns are not read.
     """
     accept = budget if accept is None else accept

@@ -191,7 +191,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 512, chunk_cha
     """(id, n_bytes, n_tokens, over_limit) for each row.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are each counted; null ids pass
-    through; other columns are not read. One narrow pass without a shuffle; a worker holds one Arrow
+    through; other columns are not read; an empty table gives no rows. One narrow pass without a shuffle; a worker holds one Arrow
     batch and one chunk's encoding.
     """
 

@@ -211,7 +211,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, modulus: int = 4, he
     """(doc_id, held_out, score, predicted) of every document row.
 
     Null and empty texts have the features of a text without words and are scored like any other; a null
-    doc_id isn't held out; repeated rows each give a row. The model (the sample's lexicon and some trees)
+    doc_id isn't held out; repeated rows each give a row; very long texts are scored whole, one at a time. An empty
+    table gives no rows; other columns are not read. The model (the sample's lexicon and some trees)
     is what the scoring pass receives; that pass has no shuffle. No labels: score 0.
     """
     model = fit(labelled_sample(documents, labels, "toxic", modulus, held_out, MOST_ROWS))
