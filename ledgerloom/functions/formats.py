@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(x, digits))
+    """So many places, rounded half away from zero; a negative number keeps its sign even where its digits are all zero."""
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.format_string(f"%.{digits}f", F.round(F.abs(x), digits)))
 
 
 def usd(x: Column) -> Column:

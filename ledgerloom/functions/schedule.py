@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of the backfill's rules.
 TARGET_PAGES, MIN_DAYS, MAX_DAYS, INITIAL_DAYS, RUN_BUDGET = 40, 1, 60, 30, 80
 
 

@@ -154,12 +154,14 @@ def backfill_unit(product: str, network: str, windows: list[tuple[DataFrame, int
     return store.version
 
 
-def resolve_twins(rows: DataFrame, owners: DataFrame) -> DataFrame:
-    """Account addresses replaced by their owners on both sides, then one row of each twin.
+TWIN = ["hash", "from_addr", "to_addr", "value_raw"]
+
+
+def owned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """Account addresses replaced by their owners on both sides; ``owners`` is (account, owner).
 
-    ``owners`` is (account, owner). A null owner raises for ids of the dash feed (``2-hash-n``) and keeps
-    the address for those of the underscore feed (``2_hash_1_n``). Rows of equal hash, ends and value are
-    twins; the one of the smallest id stays.
+    A null owner raises for ids of the dash feed (``2-hash-n``) and keeps the address for those of the
+    underscore feed (``2_hash_1_n``).
     """
     x = rows
     for side in ("from_addr", "to_addr"):
@@ -167,7 +169,11 @@ def resolve_twins(rows: DataFrame, owners: DataFrame) -> DataFrame:
         x = x.join(o, side, "left")
         lost = F.col("_known").isNotNull() & F.col("_o").isNull() & F.col("id").rlike("^[0-9]+-")
         x = x.withColumn(side, F.when(lost, F.raise_error(F.concat(F.lit("no owner of "), side)).cast("string")).otherwise(F.coalesce("_o", side))).drop("_o", "_known")
-    keep = ["hash", "from_addr", "to_addr", "value_raw"]
-    rest = [c for c in rows.columns if c not in (*keep, "id")]
-    one = x.groupBy(*keep).agg(F.min_by(F.struct("id", *rest), "id").alias("r"))
-    return one.select(*(F.col(c) if c in keep else F.col(f"r.{c}").alias(c) for c in rows.columns))
+    return x
+
+
+def resolve_twins(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``owned`` rows, then one of each twin: rows of equal hash, ends and value are twins; the one of the smallest id stays."""
+    rest = [c for c in rows.columns if c not in (*TWIN, "id")]
+    one = owned(rows, owners).groupBy(*TWIN).agg(F.min_by(F.struct("id", *rest), "id").alias("r"))
+    return one.select(*(F.col(c) if c in TWIN else F.col(f"r.{c}").alias(c) for c in rows.columns))

@@ -196,6 +196,7 @@ def contributions(readings: DataFrame) -> DataFrame:
 
 
 def calibration_rows(readings: DataFrame) -> DataFrame:
-    """Printable lines: raw value and score of each factor."""
-    cell = lambda f: F.rpad(F.coalesce(F.format_string("%.3f(%.0f)", F.col(f.key), F.col(f"{f.key}_score")), F.lit("-")), 16, " ")
-    return readings.select("month_end", F.concat_ws("  ", F.col("month_end").cast("string"), F.format_string("%6.2f", "composite"), F.when(F.col("is_partial"), "*").otherwise(" "), *(cell(f) for f in FACTORS)).alias("line"))
+    """Printable lines: raw value (three places) and score (whole) of each factor, rounded half up."""
+    cell = lambda f: F.rpad(F.coalesce(F.format_string("%.3f(%.0f)", half_up(F.col(f.key), 3), half_up(F.col(f"{f.key}_score"), 0)), F.lit("-")), 16, " ")
+    line = lambda f: F.when(F.col(f.key).isNull(), F.rpad(F.lit("-"), 16, " ")).otherwise(cell(f))
+    return readings.select("month_end", F.concat_ws("  ", F.col("month_end").cast("string"), F.format_string("%6.2f", "composite"), F.when(F.col("is_partial"), "*").otherwise(" "), *(line(f) for f in FACTORS)).alias("line"))

@@ -60,6 +60,27 @@ def loose_number(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def exact_number(text: Column) -> Column:
+    """Number text, perhaps in scientific notation, as an exact integer, a fraction cut off; null if it is no number."""
+    ok = text.rlike(r"^[-+]?\d+(\.\d*)?([eE][-+]?\d+)?$")
+    return F.when(ok, F.floor(text.try_cast("decimal(38,6)"))).otherwise(F.lit(None)).cast(RAW)
+
+
+#: One page of a saved query's results.
+RESULT_SCHEMA = "result struct<rows: array<struct<contract_address: string, day: string, supply_raw: string>>>"
+
+
+def read_saved_results(spark, path: str) -> DataFrame:
+    """(contract, day, supply_raw) of a saved query's result pages: nothing is executed there, results are read as they were left. Days are UTC text, supplies exact."""
+    rows = spark.read.schema(RESULT_SCHEMA).json(path).select(F.explode("result.rows").alias("r")).select("r.*")
+    return rows.select(F.lower("contract_address").alias("contract"), F.to_date(F.substring("day", 1, 10)).alias("day"), exact_number(F.col("supply_raw")).alias("supply_raw"))
+
+
+def latest_supply(daily: DataFrame, key: str = "contract") -> DataFrame:
+    """(key, supply_raw): the newest supply that is known of each."""
+    return daily.where("supply_raw is not null").groupBy(key).agg(F.max_by("supply_raw", "day").alias("supply_raw"))
+
+
 def as_of(dates: DataFrame, series: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
     """``dates`` (keys, day) with the series' last value at or before each; null before its first point.
 

@@ -568,13 +568,20 @@ def format_usd(spark, sf_dir):
 
 
 _ADDRESSES_SQL = ", ".join(f"('{a}', '{t}')" for a, t in KNOWN_ADDRESSES.items())
+_KNOWN_KEYS = list(KNOWN_ADDRESSES)
+_ADDRESS_SQL = f"CASE WHEN c_custkey % 50 < {len(_KNOWN_KEYS)} THEN [" + ", ".join(f"'{a}'" for a in _KNOWN_KEYS) + "][(c_custkey % 50 + 1)::INT] ELSE '0x' || md5(c_custkey::VARCHAR) || lpad(c_custkey::VARCHAR, 8, '0') END"
 
 
-@query(f"SELECT address, substr(address, 1, 6) || '…' || right(address, 4) AS short, tag FROM (VALUES {_ADDRESSES_SQL}) AS t(address, tag)")
+@query(f"SELECT c_custkey, substr(x.address, 1, 6) || '…' || right(x.address, 4) AS short, tag FROM (SELECT c_custkey, {_ADDRESS_SQL} AS address FROM customer) x LEFT JOIN (VALUES {_ADDRESSES_SQL}) AS t(address, tag) ON t.address = x.address")
 def short_addresses(spark, sf_dir):
+    """Addresses of all customers as a page shows them, with the tags of well-known ones."""
     from ..sources.dimensions import known_addresses
 
-    return known_addresses(spark).select("address", formats.short_address(F.col("address")).alias("short"), "tag")
+    k = F.col("c_custkey")
+    made = F.concat(F.lit("0x"), F.md5(k.cast("string").cast("binary")), F.lpad(k.cast("string"), 8, "0"))
+    address = F.when(k % 50 < len(_KNOWN_KEYS), F.get(F.array(*map(F.lit, _KNOWN_KEYS)), (k % 50).cast("int"))).otherwise(made)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", address.alias("address"))
+    return c.join(F.broadcast(known_addresses(spark)), "address", "left").select("c_custkey", formats.short_address(F.col("address")).alias("short"), "tag")  # some ten rows
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS value_cents FROM events GROUP BY ALL")
@@ -818,15 +825,17 @@ def last_fourteen_days(spark, sf_dir):
 
 
 _KEYS_SHOWN = [*formats.FACTOR_META, "zeta", "alpha"]
+_KEY_OF_PART = "[" + ", ".join(f"'{k}'" for k in _KEYS_SHOWN) + f"][(p_partkey % {len(_KEYS_SHOWN)} + 1)::INT]"
 
 
-@query("SELECT key, row_number() OVER (ORDER BY pos, key)::INT AS place FROM (VALUES " + ", ".join(f"('{k}', {i if k in formats.FACTOR_META else 999})" for i, k in enumerate(_KEYS_SHOWN)) + ") AS t(key, pos)")
+@query(f"SELECT p_brand, key, row_number() OVER (PARTITION BY p_brand ORDER BY pos, key)::INT AS place FROM (SELECT DISTINCT p_brand, {_KEY_OF_PART} AS key FROM part) JOIN (VALUES " + ", ".join(f"('{k}', {i if k in formats.FACTOR_META else 999})" for i, k in enumerate(_KEYS_SHOWN)) + ") AS t(key, pos) USING (key)")
 def factor_order(spark, sf_dir):
-    """Factor keys in display order, unknown ones last by name."""
+    """Factor keys of every brand's parts in display order, unknown ones last by name."""
     from pyspark.sql import Window
 
-    x = spark.createDataFrame([(k,) for k in sorted(_KEYS_SHOWN)], "key string").withColumn("_rank", formats.factor_rank(F.col("key")))
-    return x.select("key", F.row_number().over(Window.orderBy("_rank", "key")).alias("place"))
+    key = F.get(F.array(*map(F.lit, _KEYS_SHOWN)), (F.col("p_partkey") % len(_KEYS_SHOWN)).cast("int"))
+    x = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", key.alias("key")).distinct().withColumn("_rank", formats.factor_rank(F.col("key")))
+    return x.select("p_brand", "key", F.row_number().over(Window.partitionBy("p_brand").orderBy("_rank", "key")).alias("place"))
 
 
 @query(f"WITH {wallets_sql(keys='product')} SELECT to_json({{'product': product, 'holders': count(*), 'dormant': count(*) FILTER (behavior = 'Dormant')}})::VARCHAR AS json FROM labelled GROUP BY product")

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..functions.numbers import tokens
 from ..functions.scores import FACTORS
-from ..operators import behaviour, factor_records, sliding
+from ..operators import behaviour, factor_records, holders, index, replay, sliding, supply
 from ..sources.dimensions import DECIMALS, NAVS
 from ..sources.ledger import DAY, LEDGER_SCHEMA, LEDGER_SQL, day_of, derived_ledger, unix
 from ..sources.paged import shared_folder
-from .catalog import _SCORES_SQL, D38, LEGS_SQL, PN, W, _day, _first_run, _readings, query, r, rs
+from .catalog import _SCORES_SQL, _TOP_SQL, _TWINS_SQL, D38, LEGS_SQL, PN, W, _day, _first_run, _readings, ledger_at, query, r, rs
 
 
 def scratch(spark, name: str) -> str:
@@ -154,3 +155,90 @@ def factor_records_roundtrip(spark, sf_dir):
     x.join(F.broadcast(first)).select("month_end", factor_records.record_of_reading(more).alias("factors")).write.parquet(path)  # one row
     rows = factor_records.contributions(spark.read.parquet(path), ["month_end"])
     return rows.select(_day(), "factor", r(F.col("raw"), 6).alias("raw"), r(F.col("score")).alias("score"), r(F.col("contribution")).alias("contribution"))
+
+
+@query(f"WITH {LEDGER_SQL}, {_TWINS_SQL} SELECT hash, replace(f, 'ata-', '') AS from_addr, replace(t, 'ata-', '') AS to_addr, value_raw::{D38} AS value_raw, min(id) AS id FROM feed GROUP BY ALL")
+def stream_twin_dedup(spark, sf_dir):
+    """The two feeds of ``twin_dedup`` as live streams, each in two batches, one behind the other; a last row each moves the watermark to the end."""
+    from ..streaming import twins
+
+    base = scratch(spark, "twins")
+    ledger, end = derived_ledger(spark, sf_dir), unix(2030, 1, 1)
+    account = lambda c: F.when(F.col(c).startswith("s"), F.concat(F.lit("ata-"), c)).otherwise(F.col(c)).alias(c)
+    cols = ["hash", "from_addr", "to_addr", "value_raw", "id", "ts_unix"]
+    feeds = {
+        "dash": ledger.select("hash", account("from_addr"), account("to_addr"), "value_raw", F.concat(F.lit("2-"), "hash", F.lit("-0")).alias("id"), "ts_unix"),
+        "under": ledger.where(F.length("id") % 2 == 0).select("hash", "from_addr", "to_addr", "value_raw", F.concat(F.lit("2_"), "hash", F.lit("_1_"), (F.col("value_raw") % 3).cast("string")).alias("id"), "ts_unix"),
+    }
+    last = spark.createDataFrame([("end", "x", "y", 0, "end", end)], "hash string, from_addr string, to_addr string, value_raw long, id string, ts_unix long").withColumn("value_raw", F.col("value_raw").cast("decimal(38,0)"))
+    streams = []
+    for name, rows in feeds.items():
+        half = unix(1996, 1, 1) if name == "dash" else unix(1995, 1, 1)
+        for some in (rows.where(F.col("ts_unix") < half), rows.where(F.col("ts_unix") >= half), last):
+            some.select(cols).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+        streams.append(spark.readStream.schema(last.select(cols).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{name}"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("owner"))
+    owners = s.select(F.concat(F.lit("ata-"), "owner").alias("account"), "owner")
+    twins.write_twins(twins.one_of_twins(streams, owners, apart_days=4000, delay_days=4000), f"{base}/out", f"{base}/ck").awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("hash <> 'end'").select("hash", "from_addr", "to_addr", "value_raw", "id")
+
+
+@query(f"""WITH {LEDGER_SQL}
+SELECT 'transfers' AS sink, product, count(*) AS n, sum(value_raw)::{D38} AS value_raw FROM ledger GROUP BY product
+UNION ALL SELECT 'days', product, count(*), NULL FROM ledger GROUP BY product
+UNION ALL SELECT 'mints', product, count(*), sum(value_raw)::{D38} FROM ledger WHERE kind = 'mint' GROUP BY product""")
+def routed_sinks(spark, sf_dir):
+    """The ledger written to three tables in one pass and one commit, then counted in each."""
+    from ..sources import sinks
+
+    path = scratch(spark, "sinks")
+    rows = derived_ledger(spark, sf_dir).select("product", "network", "ts_unix", "kind", "value_raw")
+    routed = sinks.split_rows(rows, {"transfers": ["product", "network", "value_raw"], "days": ["product", "ts_unix"], "mints": ["product", "kind", "value_raw"]})
+    sinks.write_sinks(routed.where("sink <> 'mints' or mints.kind = 'mint'"), path)
+    count = lambda sink, value: sinks.read_sink(spark, path, sink).groupBy("product").agg(F.count("*").alias("n"), value.cast("decimal(38,0)").alias("value_raw")).select(F.lit(sink).alias("sink"), "product", "n", "value_raw")
+    return count("transfers", F.sum("value_raw")).unionByName(count("days", F.max(F.lit(None)))).unionByName(count("mints", F.sum("value_raw")))
+
+
+_CELLS_SQL = " || '  ' || ".join(f"CASE WHEN {f.key} IS NULL THEN rpad('-', 16, ' ') ELSE rpad(printf('%.3f(%.0f)', {rs(f.key, 3)}, {rs(f.key + '_score', 0)}), 16, ' ') END" for f in FACTORS)
+
+
+@query(f"WITH {_SCORES_SQL} SELECT month_end::VARCHAR AS month_end, month_end::VARCHAR || '  ' || printf('%6.2f', composite) || '  ' || CASE WHEN len(missing) > 0 THEN '*' ELSE ' ' END || '  ' || {_CELLS_SQL} AS line FROM readings")
+def calibration_lines(spark, sf_dir):
+    """The printed calibration table."""
+    return index.calibration_rows(_readings(spark, sf_dir)).select(_day(), "line")
+
+
+@query(f"WITH {_TOP_SQL}, outside AS (SELECT product, 2 * sum(value_raw) AS supply FROM ledger WHERE kind = 'mint' GROUP BY product) SELECT product, rank::INT AS rank, address, ((balance * 10000) // supply)::DOUBLE / 100 AS share_of_supply_pct FROM ranked JOIN outside USING (product) WHERE rank <= 10")
+def holder_stats_read_supply(spark, sf_dir):
+    """Holders against total supplies that are read from a saved query's results, some of them in scientific notation."""
+    ledger = derived_ledger(spark, sf_dir)
+    raw = ledger.where("kind = 'mint'").groupBy("product").agg((F.sum("value_raw") * 2).cast("decimal(38,0)").alias("s"))
+    text = F.when(F.col("product").isin("p1", "p3"), F.concat(F.col("s").cast("string"), F.lit("E0"))).otherwise(F.col("s").cast("string"))
+    page = lambda day, value: F.struct(F.upper("product").alias("contract_address"), F.lit(f"{day} 00:00:00.000 UTC").alias("day"), value.alias("supply_raw"))
+    rows = raw.select(F.explode(F.array(page("2001-06-29", F.lit("1")), page("2001-06-30", text), page("2001-07-01", F.lit("n/a")))).alias("r"))
+    path = scratch(spark, "results")
+    rows.groupBy(F.lit(1)).agg(F.collect_list("r").alias("rows")).select(F.struct("rows").alias("result")).write.json(path)  # three rows a product
+    known = supply.latest_supply(supply.read_saved_results(spark, path)).withColumnRenamed("contract", "product")
+    x = holders.holder_stats(replay.balances(ledger_at(spark, sf_dir), ("product",)), known)
+    return x.select("product", F.col("rank").cast("int").alias("rank"), "address", "share_of_supply_pct")
+
+
+_V = "(o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1.0 WHEN 2 THEN 100.0 ELSE 100000.0 END::DOUBLE)"
+_F = "((o_orderkey % 2001 - 1000)::DOUBLE / 997)"
+
+
+@query(f"""SELECT o_orderkey, printf('%.1f%%', round({_F} * 100, 1)) AS percent, CASE WHEN {_F} >= 0 THEN '+' ELSE '' END || printf('%.1fpp', round({_F} * 100, 1)) AS points, '×' || printf('%.2f', round({_F}, 2)) AS ratio,
+  CASE WHEN o_orderkey % 7 = 0 THEN '—' ELSE format('{{:,}}', o_custkey * 1000) END AS count,
+  CASE WHEN {_V} >= 1e9 THEN printf('%.2fB', round({_V} / 1e9, 2)) WHEN {_V} >= 1e6 THEN printf('%.2fM', round({_V} / 1e6, 2)) WHEN {_V} >= 1e3 THEN printf('%.1fK', round({_V} / 1e3, 1)) END AS amount,
+  strftime(o_orderdate, '%b %Y') AS month, strftime(o_orderdate, '%b %-d') AS day, substr('0x' || md5(o_orderkey::VARCHAR), 1, 6) || '…' || right(md5(o_orderkey::VARCHAR), 4) AS short FROM orders""")
+def display_rules(spark, sf_dir):
+    """How a page shows shares, points, ratios, counts, amounts, months, days and addresses."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    v = F.col("o_totalprice") * F.when(k % 4 == 0, 0.001).when(k % 4 == 1, 1.0).when(k % 4 == 2, 100.0).otherwise(100000.0)
+    f = (k % 2001 - 1000).cast("double") / 997.0
+    return o.select(
+        "o_orderkey", formats.percent(f).alias("percent"), formats.signed(f, "pp").alias("points"), formats.ratio(f).alias("ratio"), formats.count(F.when(k % 7 != 0, F.col("o_custkey") * 1000)).alias("count"),
+        F.when(v >= 1000, formats.token_amount(v)).alias("amount"), formats.month_year(F.col("o_orderdate")).alias("month"), formats.short_date(F.col("o_orderdate")).alias("day"),
+        formats.short_address(F.concat(F.lit("0x"), F.md5(k.cast("string").cast("binary")))).alias("short"),
+    )

@@ -108,6 +108,12 @@ def read_cache(spark: SparkSession, path: str, now_unix: int, ttl_seconds: int |
     return df.drop("fetched_at")
 
 
+def read_history(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Cached rows of any age; a cache that isn't there is an empty table."""
+    found = read_cache(spark, path, 0, None)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
 def clear_cache(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -43,7 +43,7 @@ def test_filters_reach_the_requests(spark, served):
     want = [r for r in rows_of(600) if r[0] == "p1" and r[1] == "n0" and 10 * DAY <= r[4] < 20 * DAY]
     assert sorted(map(tuple, some.collect())) == sorted(want) and want
     assert fetched(log) == len(want)  # nothing else was asked for
-    left = [x for x in some._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter (" in x]
+    left = [x for x in some._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter " in x]
     assert len(left) == 1 and "to_addr" in left[0] and "ts_unix" not in left[0] and "network" not in left[0]  # the rest is the source's
 
 
