@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, keyed_runs, partitions_for, remove
 from .token_count import _VOUCHED, byte_chars
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
 #: Distinct (A id, B id) pairs up to which their counts are broadcast; more are joined by shuffle.
 MOST_BROADCAST_PAIRS = 2_000_000
 MARKS = ",.;:!?)"
@@ -227,10 +227,15 @@ def _lengths(spark: SparkSession, of: list[bytes], name: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(pd.DataFrame({name: np.arange(len(of), dtype=np.int32), "n": np.array([len(x) for x in of], np.int32)})))
 
 
-def align_pieces(encoded: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame) -> DataFrame:
+def pair_type(b_size: int, a_size: int) -> str:
+    """What holds a link's number, A id * (size of B) + B id."""
+    return "int" if a_size * b_size < 2**31 else "long"
+
+
+def align_pieces(encoded: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame, b_size: int, kind: str = "long") -> DataFrame:
     """(pid, end, a, b, pair, group) of (pid, a, b): a row each link, by its end, those of a piece together and falling.
 
-    ``a`` and ``b`` are set where a token of that side ends, ``pair`` packs the link's (A id, B id), ``group`` counts the
+    ``a`` and ``b`` are set where a token of that side ends, ``pair`` is the link's number (``pair_type``), ``group`` counts the
     cuts from the text's end. Ends, joined ends and running values keep the exchange by ``pid`` if the
     session lets a join use it (``spark.sql.requireAllClusterKeysForCoPartition`` off).
     """
@@ -243,12 +248,12 @@ def align_pieces(encoded: DataFrame, a_lengths: DataFrame, b_lengths: DataFrame)
     joined = ends("a", a_lengths).join(ends("b", b_lengths), ["pid", "end"], "full_outer")
     back = Window.partitionBy("pid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    link = F.shiftleft(F.last("a", ignorenulls=True).over(back).cast("long"), 32).bitwiseOR(F.last("b", ignorenulls=True).over(back).cast("long"))
+    link = (F.last("a", ignorenulls=True).over(back).cast("long") * b_size + F.last("b", ignorenulls=True).over(back)).cast(kind)
     rows = joined.select("pid", "end", "a", "b", link.alias("pair"), F.count(F.when(cut, True)).over(back).cast("int").alias("group"))
     return rows.sortWithinPartitions("pid", F.desc("end"))  # as the window left them
 
 
-def describe_pieces(aligned: DataFrame) -> DataFrame:
+def describe_pieces(aligned: DataFrame, kind: str = "long") -> DataFrame:
     """(pid, n_a, n_b, n_groups, pairs, groups) of ``align_pieces``: counts, links in order, and the groups as text."""
 
     def run(batches):
@@ -264,13 +269,13 @@ def describe_pieces(aligned: DataFrame) -> DataFrame:
             parts = [f"{','.join(ids[0][i:j])}|{','.join(ids[1][k:m])}" for i, j, k, m in zip(edges[0], edges[0][1:], edges[1], edges[1][1:])]
             first = np.r_[np.cumsum(opens)[new] - 1, len(parts)]
             texts = [";".join(parts[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
-            count = lambda has: pa.array(np.add.reduceat(has.astype(np.int64), new))  # noqa: B023, E731
+            count = lambda has: pa.array(np.add.reduceat(has.astype(np.int64), new).astype(np.int32))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pid[new]), count(has_a), count(has_b), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(np.r_[new, len(pid)].astype(np.int32)), pa.array(table["pair"].to_numpy())), pa.array(texts, pa.string())],
+                [pa.array(pid[new]), count(has_a), count(has_b), pa.array(np.diff(first).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[new, len(pid)].astype(np.int32)), pa.array(table["pair"].to_numpy())), pa.array(texts, pa.string())],
                 names=["pid", "n_a", "n_b", "n_groups", "pairs", "groups"],
             )
 
-    return aligned.mapInArrow(run, "pid long, n_a long, n_b long, n_groups long, pairs array<long>, groups string")
+    return aligned.mapInArrow(run, f"pid long, n_a int, n_b int, n_groups int, pairs array<{kind}>, groups string")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +318,7 @@ def _pairs_of_block(docs: pa.Table, pieces: pa.Table) -> pa.Table:
         nos, offsets, fit = _usable(docs, pieces)
         order = np.argsort(pieces["no"].to_numpy())
         pairs, at = _flat(pieces["pairs"].take(pa.array(order)))
-        local, names = pd.factorize(pairs)
+        local, names = pd.factorize(pairs.astype(np.int64))
         count, starts = np.diff(at), at[:-1].astype(np.int64)
         total = np.zeros(len(names), np.int64)
         which = np.flatnonzero(fit)
@@ -379,6 +384,7 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
 
     def kept(x: DataFrame, name: str) -> DataFrame:
         x.write.option("compression", "zstd").parquet(f"{base}/{name}")
+        spark.sparkContext._jvm.System.gc()  # what was shuffled for a finished table may go now, not half an hour later
         return spark.read.schema(x.schema).parquet(f"{base}/{name}")
 
     cut = kept(_cut(df, b_path, block_chars, id_col, text_col), "cut")
@@ -387,29 +393,32 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     n = partitions_for(df)
     encoded = kept(encode_pieces(listed.select("piece").distinct(), a_path, b_path).withColumn("pid", F.monotonically_increasing_id()), "encoded")
     tok = Tokenizers(a_path, b_path)
+    b_size, kind = len(tok.b_bytes), pair_type(len(tok.b_bytes), len(tok.a_bytes))
     whole_keys = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(whole_keys)
     spark.conf.set(whole_keys, "false")  # the join on (pid, end) may use the exchange by pid
     try:
         dealt = encoded.where("ok").select("pid", "a", "b").repartition(n, "pid")
-        aligned = kept(describe_pieces(align_pieces(dealt, _lengths(spark, tok.a_bytes, "a"), _lengths(spark, tok.b_bytes, "b"))), "aligned")
+        rows = align_pieces(dealt, _lengths(spark, tok.a_bytes, "a"), _lengths(spark, tok.b_bytes, "b"), b_size, kind)
+        aligned = kept(describe_pieces(rows, kind), "aligned")
     finally:
         spark.conf.set(whole_keys, before)
-    results = kept(encoded.select("pid", "piece", "ok").join(aligned, "pid", "left").select("piece", (~F.col("ok")).cast("int").alias("wrong"), "n_a", "n_b", "n_groups", F.coalesce("pairs", F.array().cast("array<bigint>")).alias("pairs"), "groups"), "results")
+    results = kept(encoded.select("pid", "piece", "ok").join(aligned, "pid", "left").select("piece", (~F.col("ok")).cast("int").alias("wrong"), "n_a", "n_b", "n_groups", F.coalesce("pairs", F.array().cast(f"array<{kind}>")).alias("pairs"), "groups"), "results")
+    for name in ("encoded", "aligned"):
+        remove(spark, f"{base}/{name}")
 
     held = listed.join(results.select("piece", "wrong", "pairs"), "piece").select("block", "no", "wrong", "pairs")
     pairs = docs.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_pairs_of_block, "pair long, docs long")
     pairs = kept(pairs.groupBy("pair").agg(F.sum("docs").alias("docs")), "pairs")
-    best = pairs.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("best"))
-    counts = pairs.withColumn("a", F.shiftright("pair", 32)).join(F.broadcast(best), "a").select("pair", "docs", (F.col("docs") == F.col("best")).cast("int").alias("is_best"))  # a row an A id: bounded by its vocabulary
+    of_a = F.floor(F.col("pair") / b_size)
+    best = pairs.groupBy(of_a.alias("a")).agg(F.max("docs").alias("best"))
+    counts = pairs.withColumn("a", of_a).join(F.broadcast(best), "a").select("pair", "docs", (F.col("docs") == F.col("best")).cast("int").alias("is_best"))  # a row an A id: bounded by its vocabulary
     if pairs.count() <= MOST_BROADCAST_PAIRS:
         counts = F.broadcast(counts)
-    scored = results.select("piece", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("piece").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
+    scored = results.select("piece", F.explode("pairs").cast("long").alias("pair")).join(counts, "pair").groupBy("piece").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
     whole = results.withColumn("n_links", F.size("pairs")).drop("pairs").join(scored, "piece", "left")
-    zero = [c for c in SUMS if c != "n_links"]
-    ready = listed.join(whole, "piece").select("block", "no", "wrong", F.col("n_links").cast("long").alias("n_links"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in zero), F.coalesce("groups", F.lit("")).alias("groups"))
-    for name in ("encoded", "aligned"):
-        remove(spark, f"{base}/{name}")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long" if c == "count_sum" else "int").alias(c)
+    ready = listed.join(whole, "piece").select("block", "no", "wrong", *map(number, SUMS), F.coalesce("groups", F.lit("")).alias("groups"))
     last = "groups_sha256 string" if digest else "groups string"
 
     def documents(left: pa.Table, right: pa.Table) -> pa.Table:
