@@ -415,7 +415,7 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     counts = pairs.withColumn("a", of_a).join(F.broadcast(best), "a").select("pair", "docs", (F.col("docs") == F.col("best")).cast("int").alias("is_best"))  # a row an A id: bounded by its vocabulary
     if pairs.count() <= MOST_BROADCAST_PAIRS:
         counts = F.broadcast(counts)
-    scored = results.select("piece", F.explode("pairs").cast("long").alias("pair")).join(counts, "pair").groupBy("piece").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
+    scored = results.select("piece", F.explode(F.col("pairs").cast("array<bigint>")).alias("pair")).join(counts, "pair").groupBy("piece").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
     whole = results.withColumn("n_links", F.size("pairs")).drop("pairs").join(scored, "piece", "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long" if c == "count_sum" else "int").alias(c)
     ready = listed.join(whole, "piece").select("block", "no", "wrong", *map(number, SUMS), F.coalesce("groups", F.lit("")).alias("groups"))
