@@ -92,4 +92,4 @@ def test_rows_that_repeat_or_have_no_id(spark, tok):
 def test_cutter_refuses_pieces_across_spaces():
     with pytest.raises(ValueError, match="cross"):
         A.Cutter(["a▁b"])
-    assert A.Cutter(["a,"]).inner.split("ab,cd;e") == ["ab,cd", ";e"]  # a mark that a piece joins to a letter cuts nothing
+    assert A.Cutter(["a,"]).inner("ab,cd;e") == [" ab,cd", ";e"]  # a mark that a piece joins to a letter cuts nothing
