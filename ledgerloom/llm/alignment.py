@@ -17,6 +17,7 @@ Only a block's pieces and numbers pass through one task, ``BLOCK_CHARS`` of text
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
@@ -369,6 +370,20 @@ def _documents_of_block(docs: pa.Table, pieces: pa.Table, digest: bool) -> pa.Ta
     return pa.table(out)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the time of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): each row's text under both tokenizers.
 
@@ -383,8 +398,8 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/align-{uuid.uuid4().hex}"
 
     def kept(x: DataFrame, name: str) -> DataFrame:
-        x.write.option("compression", "zstd").parquet(f"{base}/{name}")
-        spark.sparkContext._jvm.System.gc()  # what was shuffled for a finished table may go now, not half an hour later
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # a written table needs its shuffles no more
+            x.write.option("compression", "zstd").parquet(f"{base}/{name}")
         return spark.read.schema(x.schema).parquet(f"{base}/{name}")
 
     cut = kept(_cut(df, b_path, block_chars, id_col, text_col), "cut")
@@ -394,15 +409,10 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     encoded = kept(encode_pieces(listed.select("piece").distinct(), a_path, b_path).withColumn("pid", F.monotonically_increasing_id()), "encoded")
     tok = Tokenizers(a_path, b_path)
     b_size, kind = len(tok.b_bytes), pair_type(len(tok.b_bytes), len(tok.a_bytes))
-    whole_keys = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(whole_keys)
-    spark.conf.set(whole_keys, "false")  # the join on (pid, end) may use the exchange by pid
-    try:
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # the join on (pid, end) may use the exchange by pid
         dealt = encoded.where("ok").select("pid", "a", "b").repartition(n, "pid")
         rows = align_pieces(dealt, _lengths(spark, tok.a_bytes, "a"), _lengths(spark, tok.b_bytes, "b"), b_size, kind)
         aligned = kept(describe_pieces(rows, kind), "aligned")
-    finally:
-        spark.conf.set(whole_keys, before)
     results = kept(encoded.select("pid", "piece", "ok").join(aligned, "pid", "left").select("piece", (~F.col("ok")).cast("int").alias("wrong"), "n_a", "n_b", "n_groups", F.coalesce("pairs", F.array().cast(f"array<{kind}>")).alias("pairs"), "groups"), "results")
     for name in ("encoded", "aligned"):
         remove(spark, f"{base}/{name}")
