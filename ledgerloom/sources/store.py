@@ -111,7 +111,8 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def replace_units(spark: SparkSession, df: DataFrame, path: str, by: list[str], units: DataFrame) -> None:
-    """The same for a run over ``units`` (a row each): a unit without new rows loses all its stale ones too."""
+    """The same for a run over ``units`` (a row each): a unit without new rows loses all its stale ones too. A run that stops between is run again."""
+    df = df.persist()  # written, and asked for its units
     replace_partitions(df, path, by)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -119,6 +120,7 @@ def replace_units(spark: SparkSession, df: DataFrame, path: str, by: list[str],
         folder = "/".join(f"{c}={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(r[c]))}" for c in by)
         at = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
         at.getFileSystem(conf).delete(at, True)
+    df.unpersist()
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -28,7 +28,8 @@ def maintain_state(stream: DataFrame, store: VersionedStore, checkpoint: str, ho
 
     Tables ``state``, ``cursor`` and ``seen`` (unit, id, ts_unix) change together. With ``horizon_days`` ids
     are remembered for so many days behind each unit's latest row, and older rows, which can't be told
-    from known ones any more, go to the table ``late`` for a rebuild; without it all ids are remembered.
+    from known ones any more, go to the table ``late`` for a rebuild; without it all ids are remembered. Tables
+    are rewritten whole by each batch: for state that outgrows that, see ``keyed`` and ``operators.state_table``.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -46,13 +47,17 @@ def maintain_state(stream: DataFrame, store: VersionedStore, checkpoint: str, ho
             marked = fresh.join(floor, KEYS, "left")
             lost, fresh = marked.where(old).drop("_floor"), marked.where(~old).drop("_floor")
             tables["late"] = lost if late is None else late.unionByName(lost).dropDuplicates([*KEYS, "id"])
+        fresh = fresh.persist()  # cursor, known ids and state all read it
         moved = next_cursor(fresh, cursor)
         known = fresh.select(*KEYS, "id", "ts_unix")
         known = known if seen is None else seen.unionByName(known)
         if horizon_days is not None:
             floor = moved.groupBy(*KEYS).agg((F.max("last_ts") - horizon_days * DAY).alias("_floor"))
             known = known.join(floor, KEYS).where("ts_unix >= _floor").drop("_floor")
-        store.commit({"state": merge(state, deltas(fresh)), "cursor": moved, "seen": known, **tables}, {"batch": number}, expect=at)
+        try:
+            store.commit({"state": merge(state, deltas(fresh)), "cursor": moved, "seen": known, **tables}, {"batch": number}, expect=at)
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
