@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, keyed_runs, partitions_for, remove
 from .token_count import _VOUCHED, byte_chars
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 #: Distinct (A id, B id) pairs up to which their counts are broadcast; more are joined by shuffle.
 MOST_BROADCAST_PAIRS = 2_000_000
 MARKS = ",.;:!?)"
@@ -354,8 +354,11 @@ def _documents_of_block(docs: pa.Table, pieces: pa.Table, digest: bool) -> pa.Ta
     """A block's documents with the sums and the groups of their pieces (or the SHA-256 of the groups, '' if there are none)."""
     nos, offsets, fit = _usable(docs, pieces)
     out = {"doc_id": docs["doc_id"].combine_chunks()}
+    held = {name: _by_no(pieces, name) for name in ("ab", "gl", "n_best", "count_sum")}
+    low = np.int64(2**32 - 1)
+    counts = {"n_a": held["ab"] >> 32, "n_b": held["ab"] & low, "n_groups": held["gl"] >> 32, "n_links": held["gl"] & low, **held}
     for name in SUMS:
-        of = _by_no(pieces, name) if pieces.num_rows else np.zeros(1, np.int64)
+        of = counts[name]
         running = np.concatenate([[0], np.cumsum(of[nos])]) if len(nos) else np.zeros(1, np.int64)
         out[name] = pa.array(np.where(fit, running[offsets[1:]] - running[offsets[:-1]], 0))
     order = np.empty(pieces.num_rows, np.int64)
@@ -427,8 +430,9 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
         counts = F.broadcast(counts)
     scored = results.select("piece", F.explode(F.col("pairs").cast("array<bigint>")).alias("pair")).join(counts, "pair").groupBy("piece").agg(F.sum("docs").alias("count_sum"), F.sum("is_best").alias("n_best"))
     whole = results.withColumn("n_links", F.size("pairs")).drop("pairs").join(scored, "piece", "left")
-    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long" if c == "count_sum" else "int").alias(c)
-    ready = listed.join(whole, "piece").select("block", "no", "wrong", *map(number, SUMS), F.coalesce("groups", F.lit("")).alias("groups"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    two = lambda a, b: F.shiftleft(number(a), 32).bitwiseOR(number(b))  # noqa: E731  two counts of a piece in a long: the widest exchange is of these rows
+    ready = listed.join(whole, "piece").select("block", "no", "wrong", two("n_a", "n_b").alias("ab"), two("n_groups", "n_links").alias("gl"), number("n_best").cast("int").alias("n_best"), number("count_sum").alias("count_sum"), F.coalesce("groups", F.lit("")).alias("groups"))
     last = "groups_sha256 string" if digest else "groups string"
 
     def documents(left: pa.Table, right: pa.Table) -> pa.Table:
