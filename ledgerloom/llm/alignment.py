@@ -161,11 +161,14 @@ def _block_rows(cutter: Cutter, block: int, ids: list, texts: list[str]):
     texts.clear()
     coded = words.flatten().dictionary_encode()
     del plain, words  # a block's memory is what bounds its size
-    codes, named = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    pieces = list(map(cutter.inner, named))
-    count = np.fromiter(map(len, pieces), np.int32, len(pieces))
-    numbered = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
-    del named, pieces
+    codes, counts, parts = coded.indices.to_numpy(), [np.zeros(0, np.int32)], [pa.array([], pa.large_string())]
+    for at in range(0, len(coded.dictionary), 50_000):
+        pieces = list(map(cutter.inner, coded.dictionary.slice(at, 50_000).to_pylist()))
+        counts.append(np.fromiter(map(len, pieces), np.int32, len(pieces)))
+        parts.append(pa.array(list(chain.from_iterable(pieces)), pa.large_string()))
+    count = np.concatenate(counts)
+    numbered = pa.concat_arrays(parts).dictionary_encode()
+    del parts, coded
     number = numbered.indices.to_numpy()
     each = count[codes]
     nos = number[_expand((np.cumsum(count) - count)[codes], each)]
@@ -364,12 +367,13 @@ def _documents_of_block(docs: pa.Table, pieces: pa.Table, digest: bool) -> pa.Ta
     order = np.empty(pieces.num_rows, np.int64)
     order[pieces["no"].to_numpy()] = np.arange(pieces.num_rows)
     texts = pieces["groups"].combine_chunks().cast(pa.large_binary())
-    listed = pa.LargeListArray.from_arrays(pa.array(offsets.astype(np.int64)), texts.take(pa.array(order[nos])))
-    joined = pc.if_else(pa.array(fit), pc.binary_join(listed, pa.scalar(b";", pa.large_binary())), pa.scalar(b"", pa.large_binary()))
-    if digest:
-        out["groups_sha256"] = pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in joined.to_pylist()], pa.string())
-    else:
-        out["groups"] = joined.cast(pa.large_string()).cast(pa.string())
+    joined = []
+    for rows in _steps(np.diff(offsets), 500_000):  # a block's texts are several times its numbers
+        edges = offsets[rows.start : rows.stop + 1].astype(np.int64)
+        listed = pa.LargeListArray.from_arrays(pa.array(edges - edges[0]), texts.take(pa.array(order[nos[edges[0] : edges[-1]]])))
+        whole = pc.if_else(pa.array(fit[rows]), pc.binary_join(listed, pa.scalar(b";", pa.large_binary())), pa.scalar(b"", pa.large_binary()))
+        joined.append(pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in whole.to_pylist()], pa.string()) if digest else whole.cast(pa.large_string()).cast(pa.string()))
+    out["groups_sha256" if digest else "groups"] = pa.chunked_array(joined, pa.string())
     return pa.table(out)
 
 
