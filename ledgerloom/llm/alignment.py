@@ -437,6 +437,9 @@ def align(df: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHAR
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     two = lambda a, b: F.shiftleft(number(a), 32).bitwiseOR(number(b))  # noqa: E731  two counts of a piece in a long: the widest exchange is of these rows
     ready = listed.join(whole, "piece").select("block", "no", "wrong", two("n_a", "n_b").alias("ab"), two("n_groups", "n_links").alias("gl"), number("n_best").cast("int").alias("n_best"), number("count_sum").alias("count_sum"), F.coalesce("groups", F.lit("")).alias("groups"))
+    ready = kept(ready, "ready")  # its joins' shuffles are gone before the widest exchange
+    for name in ("results", "pairs"):
+        remove(spark, f"{base}/{name}")
     last = "groups_sha256 string" if digest else "groups string"
 
     def documents(left: pa.Table, right: pa.Table) -> pa.Table:
