@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import keeps, thrifty
 from .token_count import byte_chars
 
 NONE = np.int32(2**31 - 1)
@@ -284,6 +285,7 @@ _LOADED: dict[str, TreeBPE] = {}
 def load(path: str) -> TreeBPE:
     if path not in _LOADED:
         _LOADED[path] = TreeBPE(path)
+    keeps("bpe", _LOADED.clear)
     return _LOADED[path]
 
 
@@ -314,4 +316,4 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, keep: bool = False, id_col: s
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
+    return df.select(id_col, text_col).mapInArrow(thrifty(run, "bpe"), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)

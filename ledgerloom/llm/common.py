@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -146,3 +148,36 @@ def remove(spark: SparkSession, path: str) -> None:
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     """The session's shuffle partitions, or ``least`` if that is more."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: What this Python worker keeps from task to task, by owner, and how each lets it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Note that ``owner`` holds a model or a memo in this worker; tasks of another owner call ``forget``."""
+    _KEPT[owner] = forget
+
+
+def thrifty(run: Callable, owner: str = "") -> Callable:
+    """``run`` for ``mapInArrow`` in a worker that Spark uses again for later stages.
+
+    It begins without the models and memos of other owners, and when it ends, free memory goes back to the
+    system: else a worker holds the peak of each stage it ever served, beside the next stage's.
+    """
+
+    def lean(batches):
+        import pyarrow as pa
+
+        for other in [o for o in _KEPT if o != owner]:
+            _KEPT.pop(other)()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return lean

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import crf
-from .common import slices
+from .common import keeps, slices, thrifty
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("name", "address", "contact")
@@ -587,7 +587,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return df.select(id_col, text_col).mapInArrow(thrifty(run, "pii"), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def restored(names: dict[str, int], w: np.ndarray, trans: np.ndarray) -> PiiModel:
@@ -597,6 +597,7 @@ def restored(names: dict[str, int], w: np.ndarray, trans: np.ndarray) -> PiiMode
         m.names, m.w, m.trans, m.limit = names, w, trans, 300_000
         m.prepare()
         _MODEL.append(m)
+    keeps("pii", _MODEL.clear)
     return _MODEL[0]
 
 
@@ -628,4 +629,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run, "pii"), schema)

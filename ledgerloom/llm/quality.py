@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import doc_bucket, doc_bucket_py, slices
+from .common import doc_bucket, doc_bucket_py, slices, thrifty
 from .learning import Binner, Isotonic, labelled_sample
 
 #: Bounds of what is collected to fit: labelled rows, and lines in all of them.
@@ -140,7 +140,7 @@ def fit(sample: DataFrame, most_lines: int = MOST_LINES) -> QualityModel:
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(flat, pa.list_(pa.float32())), pa.array([s for _, s in docs], pa.list_(pa.int32()))], names=["doc_id", "label", "x", "sizes"])
 
-    got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(features, "doc_id long, label int, x array<float>, sizes array<int>").toPandas()
+    got = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(thrifty(features), "doc_id long, label int, x array<float>, sizes array<int>").toPandas()
     if not len(got):
         return QualityModel(None, None, 0.0)
     got = got.sort_values("doc_id").reset_index(drop=True)
@@ -174,7 +174,7 @@ def apply_model(documents: DataFrame, model: QualityModel, columns: list[str], n
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), pa.array(m.scores(texts[a:b]), pa.float64())], names=[*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-    return out.mapInArrow(run, f"{schema}, `{name}` double")
+    return out.mapInArrow(thrifty(run), f"{schema}, `{name}` double")
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> DataFrame:

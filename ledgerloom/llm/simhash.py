@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, keyed_runs, mix, shared_checkpoint, slices, words
+from .common import GOLDEN, keyed_runs, mix, shared_checkpoint, slices, thrifty, words
 from .components import connected_components
 
 SEED = 42
@@ -116,7 +116,7 @@ def fingerprint_rows(df: DataFrame, size: int, n_words: int = 1, id_col: str = "
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(sig[:, i]) for i in range(n_words))], names=[id_col, *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return df.select(id_col, text_col).mapInArrow(thrifty(run), f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def _pick(bits: np.ndarray, chosen: tuple[int, ...]) -> np.ndarray:
@@ -294,8 +294,8 @@ def link_nodes(nodes: DataFrame, views: list[View], budget: int, accept: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     columns = ", ".join(f"{n} long" for n in names)
-    rows = nodes.select("node", *names).mapInArrow(expand, f"key long, node long, {columns}")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "u long, v long")
+    rows = nodes.select("node", *names).mapInArrow(thrifty(expand), f"key long, node long, {columns}")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(thrifty(walk), "u long, v long")
 
 
 def near_duplicate_components(df: DataFrame, size: int = 3, n_words: int = 1, views: Callable[[int], list[View]] | None = None, budget: int = 2, accept: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,7 +370,7 @@ def set_rows(df: DataFrame, size: int, n_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "node", "n", *names])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", text_key(), "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, n long, " + ", ".join(f"{n} long" for n in names))
+    return df.select("doc_id", text_key(), "text").mapInArrow(thrifty(run), f"doc_id {kind}, text_key long, node long, n long, " + ", ".join(f"{n} long" for n in names))
 
 
 def text_key() -> Column:
@@ -423,7 +423,7 @@ def link_groups(rows: DataFrame) -> DataFrame:
                 if len(loose):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a + loose]), pa.array(node[low[loose]])], names=["u", "v"])
 
-    return rows.select("group", "side", "label", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(run, "u long, v long")
+    return rows.select("group", "side", "label", "node", "shingles").repartition("group").sortWithinPartitions("group").mapInArrow(thrifty(run), "u long, v long")
 
 
 def pivot_labels(rows: DataFrame) -> DataFrame:
@@ -438,7 +438,7 @@ def pivot_labels(rows: DataFrame) -> DataFrame:
             ok = alike(shared, n, np.array([len(b) for _, b in sets], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("n"), pa.array(np.where(ok, pivot, node))], names=["root", "node", "n", "label"])
 
-    return rows.mapInArrow(run, "root long, node long, n long, label long")
+    return rows.mapInArrow(thrifty(run), "root long, node long, n long, label long")
 
 
 def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -471,7 +471,7 @@ def few_components(edges: DataFrame, most: int = 200_000) -> DataFrame:
         if held:
             yield from run(held)
 
-    return edges.coalesce(1).mapInArrow(some, "node long, root long")
+    return edges.coalesce(1).mapInArrow(thrifty(some), "node long, root long")
 
 
 def exact_parts(sets: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None]:
@@ -537,7 +537,7 @@ def verified_components(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame,
 
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.text_key") == F.col("x.text_key"))
     texts = docs.select("doc_id", text_key(), "text").alias("d").join(_small(wanted).alias("x"), same).select("x.root", "x.node", "x.copies", "d.text")
-    sets = shared_checkpoint(texts.mapInArrow(run, "root long, node long, copies long, n long, shingles binary").dropDuplicates(["node"]))
+    sets = shared_checkpoint(texts.mapInArrow(thrifty(run), "root long, node long, copies long, n long, shingles binary").dropDuplicates(["node"]))
     one, rest = exact_parts(sets, chunk)
     labels = one.toDF("node", "root")
     return rows, nodes, shared_checkpoint(labels if rest is None else labels.unionByName(few_components(rest)))
