@@ -681,19 +681,20 @@ def fund_record(spark, sf_dir):
 
 @query(f"WITH {LEDGER_SQL}, {LEGS_SQL} SELECT product, network, address, sum(amount)::{D38} AS balance, min(ts_unix) FILTER (is_in) AS first_receipt FROM legs GROUP BY product, network, address")
 def stream_incremental_state(spark, sf_dir):
-    """The ledger streamed in three files through the versioned store; the SQL replays it at once."""
+    """The ledger streamed in three batches through the versioned store; the SQL replays it at once."""
     import uuid
 
     from ..sources.ledger import LEDGER_SCHEMA
     from ..sources.paged import shared_folder
     from ..sources.store import VersionedStore
-    from ..streaming.streams import ledger_stream, maintain_state
+    from ..streaming.streams import arrive, ledger_stream, maintain_state, stage_batches
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = derived_ledger(spark, sf_dir).select([f.name for f in LEDGER_SCHEMA.fields])
-    rows.repartition(3).write.parquet(f"{base}/in")
     store = VersionedStore(spark, f"{base}/store")
-    maintain_state(ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA, 1), store, f"{base}/checkpoint").awaitTermination()
+    for batch in stage_batches(rows, F.array(F.pmod(F.xxhash64("id"), F.lit(3)).cast("string")), base):
+        arrive(spark, base, batch)
+        maintain_state(ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA), store, f"{base}/checkpoint").awaitTermination()
     return store.read("state").select(*PN, "address", "balance", "first_receipt")
 
 

@@ -17,6 +17,10 @@ from ..sources.paged import shared_folder
 from .catalog import _SCORES_SQL, _TOP_SQL, _TWINS_SQL, D38, LEGS_SQL, PN, W, _day, _first_run, _readings, ledger_at, query, r, rs
 
 
+#: Days of ids that are one state key (in each of a unit's buckets) where the stream's horizon is all of history.
+ID_DAYS = 180
+
+
 def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -44,15 +48,15 @@ def bucketed_state_merge(spark, sf_dir):
 @query(_REPLAY_SQL)
 def stream_wallet_state(spark, sf_dir):
     """The ledger in three batches of which each repeats rows of the one before; ids once, wallets kept by the state store."""
-    from ..streaming import keyed
+    from ..streaming import keyed, streams
 
     base = scratch(spark, "wallets")
-    rows = _rows(spark, sf_dir)
     part = F.pmod(F.xxhash64("id"), F.lit(9))
-    for low, high in ((0, 4), (3, 7), (6, 9)):
-        rows.where((part >= low) & (part < high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(LEDGER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    keyed.write_routed(keyed.route(source, 10_000, buckets=1, period_days=180), f"{base}/routed", f"{base}/ck1").awaitTermination()
+    batches = F.array_compact(F.array(F.when(part < 4, "1"), F.when(part.between(3, 6), "2"), F.when(part >= 6, "3")))
+    for batch in streams.stage_batches(_rows(spark, sf_dir), batches, base):
+        streams.arrive(spark, base, batch)
+        source = streams.ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA)
+        keyed.write_routed(keyed.route(source, 10_000, period_days=ID_DAYS), f"{base}/routed", f"{base}/ck1").awaitTermination()
     keyed.maintain_wallets(keyed.stream_routed(spark, f"{base}/routed", LEDGER_SCHEMA), f"{base}/ck2").awaitTermination()
     return keyed.wallet_state(spark, f"{base}/ck2")
 
@@ -68,14 +72,15 @@ SELECT product, network, id, FALSE AS late FROM early
 UNION ALL SELECT product, network, id, ts_unix < mark FROM third, mark WHERE ts_unix < mark OR ts_unix >= {_B1_END}""")
 def stream_late_rows(spark, sf_dir):
     """Three batches under a watermark of 90 days: the third brings a year that is late, and half a year again."""
-    from ..streaming import keyed
-
-    base = scratch(spark, "late")
-    rows, t = _rows(spark, sf_dir), F.col("ts_unix")
-    for some in (t < _B0, (t >= _B1) & (t < _B1_END), ((t >= _B0) & (t < _B1)) | ((t >= _AGAIN) & (t < _B2_END))):
-        rows.where(some).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = spark.readStream.schema(LEDGER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    keyed.write_routed(keyed.route(source, 90, buckets=1, period_days=60), f"{base}/routed", f"{base}/ck").awaitTermination()
+    from ..streaming import keyed, streams
+
+    base, t = scratch(spark, "late"), F.col("ts_unix")
+    parts = (t < _B0, (t >= _B1) & (t < _B1_END), ((t >= _B0) & (t < _B1)) | ((t >= _AGAIN) & (t < _B2_END)))
+    batches = F.array_compact(F.array(*(F.when(some, str(i)) for i, some in enumerate(parts, 1))))
+    for batch in streams.stage_batches(_rows(spark, sf_dir), batches, base):
+        streams.arrive(spark, base, batch)
+        source = streams.ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA)
+        keyed.write_routed(keyed.route(source, 90, period_days=60), f"{base}/routed", f"{base}/ck").awaitTermination()
     return keyed.routed(spark, f"{base}/routed").select(*PN, "id", "late")
 
 
@@ -160,7 +165,7 @@ def factor_records_roundtrip(spark, sf_dir):
 @query(f"WITH {LEDGER_SQL}, {_TWINS_SQL} SELECT hash, replace(f, 'ata-', '') AS from_addr, replace(t, 'ata-', '') AS to_addr, value_raw::{D38} AS value_raw, min(id) AS id FROM feed GROUP BY ALL")
 def stream_twin_dedup(spark, sf_dir):
     """The two feeds of ``twin_dedup`` as live streams, each in two batches, one behind the other; a last row each moves the watermark to the end."""
-    from ..streaming import twins
+    from ..streaming import streams, twins
 
     base = scratch(spark, "twins")
     ledger, end = derived_ledger(spark, sf_dir), unix(2030, 1, 1)
@@ -171,15 +176,17 @@ def stream_twin_dedup(spark, sf_dir):
         "under": ledger.where(F.length("id") % 2 == 0).select("hash", "from_addr", "to_addr", "value_raw", F.concat(F.lit("2_"), "hash", F.lit("_1_"), (F.col("value_raw") % 3).cast("string")).alias("id"), "ts_unix"),
     }
     last = spark.createDataFrame([("end", "x", "y", 0, "end", end)], "hash string, from_addr string, to_addr string, value_raw long, id string, ts_unix long").withColumn("value_raw", F.col("value_raw").cast("decimal(38,0)"))
-    streams = []
     for name, rows in feeds.items():
         half = unix(1996, 1, 1) if name == "dash" else unix(1995, 1, 1)
-        for some in (rows.where(F.col("ts_unix") < half), rows.where(F.col("ts_unix") >= half), last):
-            some.select(cols).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
-        streams.append(spark.readStream.schema(last.select(cols).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{name}"))
+        batch = F.when(F.col("ts_unix") < half, "1").when(F.col("ts_unix") < end, "2").otherwise("3")
+        streams.stage_batches(rows.select(cols).unionByName(last.select(cols)), F.array(batch), f"{base}/{name}")
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("s"), "s_suppkey").alias("owner"))
     owners = s.select(F.concat(F.lit("ata-"), "owner").alias("account"), "owner")
-    twins.write_twins(twins.one_of_twins(streams, owners, apart_days=4000, delay_days=4000), f"{base}/out", f"{base}/ck").awaitTermination()
+    for batch in "123":
+        for name in feeds:
+            streams.arrive(spark, f"{base}/{name}", batch)
+        live = [streams.ledger_stream(spark, f"{base}/{name}/in", last.select(cols).schema) for name in feeds]
+        twins.write_twins(twins.one_of_twins(live, owners, apart_days=4000, delay_days=4000), f"{base}/out", f"{base}/ck").awaitTermination()
     return spark.read.parquet(f"{base}/out").where("hash <> 'end'").select("hash", "from_addr", "to_addr", "value_raw", "id")
 
 

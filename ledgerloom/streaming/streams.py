@@ -7,7 +7,7 @@ harmless, and an id that comes again in a later batch is known, which makes rede
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,6 +62,34 @@ def maintain_state(stream: DataFrame, store: VersionedStore, checkpoint: str, ho
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stage_batches(rows: DataFrame, batches: Column, path: str) -> list[str]:
+    """``rows`` written once by all tasks, each row into every batch of the array ``batches`` (text); the batches' names in order.
+
+    What a batch holds is settled by its folder, not by a number of files, so no task has to write or read a batch alone.
+    """
+    rows.withColumn("_batch", F.explode(batches)).write.partitionBy("_batch").parquet(f"{path}/staged")
+    files = _files(rows.sparkSession, path)
+    return sorted(s.getPath().getName().split("=")[1] for s in files.listStatus(_path(rows.sparkSession, f"{path}/staged")) if "=" in s.getPath().getName())
+
+
+def arrive(spark: SparkSession, path: str, batch: str) -> None:
+    """Move a staged batch's files to where a stream over ``path``/in finds them; one rename each, the batch leading its name. Of a batch without rows nothing arrives."""
+    files, at, staged = _files(spark, path), _path(spark, f"{path}/in"), _path(spark, f"{path}/staged/_batch={batch}")
+    files.mkdirs(at)
+    for s in files.listStatus(staged) if files.exists(staged) else []:
+        name = f"{batch}-{s.getPath().getName()}"
+        if not files.rename(s.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, name)):
+            raise RuntimeError(f"{name} can't be moved to {path}/in")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def append_history(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append-only log of rows that arrive."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

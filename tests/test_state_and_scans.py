@@ -174,3 +174,25 @@ def test_ordered_scan_equals_one_window(spark, piece):
     if piece == 3:
         steps = got._jdf.queryExecution().toString()
         assert "_piece" in steps
+
+
+def test_stream_batches_are_staged_by_many_tasks(spark, tmp_path):
+    """Every row in each of its batches, each batch in a file of every task, and a batch without rows brings nothing."""
+    from ledgerloom.streaming import streams
+
+    rows = spark.range(0, 400, numPartitions=4)
+    some = F.array_compact(F.array(F.when(F.col("id") < 300, "1"), F.when(F.col("id") % 2 == 0, "2")))
+    base = str(tmp_path / "feed")
+    assert streams.stage_batches(rows, some, base) == ["1", "2"]
+    for batch, count in (("1", 300), ("2", 500), ("3", 500)):
+        streams.arrive(spark, base, batch)
+        assert spark.read.parquet(f"{base}/in").count() == count
+    files = [f.rsplit("/", 1)[1][0] for f in spark.read.parquet(f"{base}/in").inputFiles()]
+    assert (files.count("1"), files.count("2")) == (3, 4)
+
+
+def test_daily_mix_shuffles_transfers_before_they_double(spark):
+    """One exchange by wallet feeds the sums by day and the running sum."""
+    days = sliding.wallet_days(spark.createDataFrame(rows_of(3), LEDGER_SCHEMA))
+    physical = days._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1
