@@ -196,3 +196,14 @@ def test_daily_mix_shuffles_transfers_before_they_double(spark):
     days = sliding.wallet_days(spark.createDataFrame(rows_of(3), LEDGER_SCHEMA))
     physical = days._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_months_shuffle_transfers_once(spark):
+    """One exchange by wallet feeds the sums by month and the running sum over them."""
+    from pyspark.sql import Window
+
+    from ledgerloom.operators import index
+
+    w = Window.partitionBy("product", "address").orderBy("month")
+    changes = index.month_changes(spark.createDataFrame(rows_of(4), LEDGER_SCHEMA)).withColumn("balance", F.sum("net").over(w))
+    assert changes._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
