@@ -12,11 +12,10 @@ hash order, and builds its own part of the filter. Shards are counted from the b
 texts, ``SHARD_BYTES`` each, and a task works through its shards one at a time, so neither what a task
 holds nor what it reads grows with the corpus. A part is sized by its keys: ``BITS_PER_KEY`` bits a key at every size of the
 corpus, so the false-positive rate, which ``filter_stats`` reports, stays the same. Parts are collected
-and broadcast in groups of at most ``MOST_FILTER_BYTES`` (one part at least). One group is the usual
-case; else the documents are read through group after group, each filling in the levels of its own
-shards' n-grams, and only the last pass scores. Exact token counts, which the base
-score needs, are broadcast only while the counted vocabulary is at most ``MOST_WORDS``; a larger one
-stays distributed and is joined.
+and broadcast while they are at most ``MOST_FILTER_BYTES`` and the counted vocabulary, whose exact counts
+the base score needs, at most ``MOST_WORDS``. A larger model stays where it is: documents are dealt once into
+chunks of ``CHUNK_BYTES``, a chunk asks each shard for the levels and counts of its distinct n-grams, and is
+scored with the answers. Texts are dealt once however large the model is, so the work grows with them.
 """
 
 from __future__ import annotations
@@ -37,6 +36,8 @@ MOST_WORDS = 8_000_000
 CHUNK_TOKENS = 2_000_000
 #: N-grams probed at once, few enough for their arrays to stay in the processor's cache.
 AT_ONCE = 32768
+#: Text of a chunk that asks the shards at once.
+CHUNK_BYTES = 12 << 20
 #: Training text a shard stands for, and shards a task works through.
 SHARD_BYTES, SHARDS_A_TASK = 24 << 20, 4
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end of text"))  # no token holds a blank
@@ -249,7 +250,7 @@ class LogBloom:
 
 
 def groups_of(built: DataFrame, most_bytes: int) -> list[list[int]]:
-    """Shards whose parts of the filter are broadcast together: at most so many bytes, or one part."""
+    """Shards whose parts of the filter fit into so many bytes together (or one part); more than one group isn't broadcast."""
     out, held = [[]], 0
     for shard, size in built.select("shard", F.length("bits")).orderBy("shard").collect():
         if out[-1] and held + size > most_bytes:
@@ -260,30 +261,6 @@ def groups_of(built: DataFrame, most_bytes: int) -> list[list[int]]:
     return out
 
 
-def fill_levels(keyed: DataFrame, built: DataFrame, group: list[int], shards: int) -> DataFrame:
-    """``keyed`` with ``levels``: those of this group's n-grams added to what is there."""
-    context = keyed.sparkSession.sparkContext
-    shared = context.broadcast(LogBloom([(r.shard, bytes(r.bits)) for r in built.where(F.col("shard").isin(group)).select("shard", "bits").toLocalIterator()], shards, 0, 0))
-
-    def run(batches):
-        model, memo = shared.value, WordHashes()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            known = batch.column("levels").to_pylist() if "levels" in batch.schema.names else [None] * len(texts)
-            for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
-                flat, before, size = token_arrays(memo, texts[a:b])
-                found = model.levels_of(flat, before)
-                if known[a] is not None:
-                    found |= np.frombuffer(b"".join(known[a:b]), np.uint8).reshape(-1, 2)
-                data = [x.tobytes() for x in np.split(found, np.cumsum(size)[:-1])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "text_key")), pa.array(data, pa.binary())], names=["doc_id", "text", "text_key", "levels"])
-
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    out = shared_checkpoint(keyed.mapInArrow(run, f"doc_id {kind}, text string, text_key long, levels binary"))
-    shared.unpersist()
-    return out
-
-
 class Vocabulary:
     """Exact counts by hash, for vocabularies of proven size."""
 
@@ -324,74 +301,99 @@ def score_documents(df: DataFrame, modulus: int = 5, held_out: int = 1, most_wor
     built = build_shards(count_blocks(training, shards), shards, tasks)
     totals = built.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     v, n = int(totals[0]), int(totals[1])
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    source = keyed
-    *earlier, last = groups_of(built, most_filter_bytes)
-    for group in earlier:
-        source = fill_levels(source, built, group, shards)
-    mine = built if not earlier else built.where(F.col("shard").isin(last))
-    bloom = LogBloom([(r.shard, bytes(r.bits)) for r in mine.select("shard", "bits").toLocalIterator()], shards, n, v)
-    exact = Vocabulary([bytes(r.words) for r in built.select("words").toLocalIterator()]) if v <= most_words else None
+    kind = df.schema["doc_id"].dataType.simpleString()
+    result = ["doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
+    if v > most_words or len(groups_of(built, most_filter_bytes)) > 1:
+        return _asked(docs, built, shards, n, v, kind).select(*result)
+    bloom = LogBloom([(r.shard, bytes(r.bits)) for r in built.select("shard", "bits").toLocalIterator()], shards, n, v)
+    exact = Vocabulary([bytes(r.words) for r in built.select("words").toLocalIterator()])
     shared = df.sparkSession.sparkContext.broadcast((bloom, exact))
-    low = n + 0.5 * (v + 1)
     del bloom, exact
-    kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         model, vocabulary = shared.value
         memo = WordHashes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            known = batch.column(3).to_pylist() if batch.num_columns > 3 else None
             for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
                 flat, before, size = token_arrays(memo, texts[a:b])
-                starts = np.cumsum(size) - size
                 tokens = np.unique(flat, return_inverse=True)
                 found = model.levels_of(flat, before, tokens)
-                if known is not None:
-                    found |= np.frombuffer(b"".join(known[a:b]), np.uint8).reshape(-1, 2)
-                score = np.add.reduceat(model.log10(found, flat, before), starts)
-                cols = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), pa.array(score)]
-                if vocabulary is not None:
-                    c = vocabulary.of(tokens[0])
-                    cols += [pa.array(np.add.reduceat((c > 0).astype(np.int64)[tokens[1]], starts)), pa.array(np.add.reduceat(np.log10((c + 0.5) / low)[tokens[1]], starts))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_tokens", "score", "n_known", "base_score"][: len(cols)])
-
-    schema = f"doc_id {kind}, text_key long, n_tokens long, score double"
-    if v <= most_words:
-        scored = source.mapInArrow(run, schema + ", n_known long, base_score double")
-    else:
-        scored = _joined(source.mapInArrow(run, schema), keyed, built, kind, low)
-    return scored.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _joined(scored: DataFrame, keyed: DataFrame, built: DataFrame, kind: str, low: float) -> DataFrame:
-    """Base scores through a join of each document's distinct tokens with the distributed vocabulary."""
-
-    def tokens(batches):
-        memo = WordHashes()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
-                flat, _, size = token_arrays(memo, texts[a:b])
-                for i, part in enumerate(np.split(flat, np.cumsum(size)[:-1])):
-                    h, c = np.unique(part, return_counts=True)
-                    row = np.full(len(h), a + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "text_key", "h", "tf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_scores(model, flat, before, size, found, vocabulary.of(tokens[0]), tokens[1])], names=["doc_id", *SCORES])
 
-    def vocabulary(batches):
-        for batch in batches:
-            for d in batch.column(0).to_pylist():
-                h, c = _unpack(d)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-
-    pairs = keyed.mapInArrow(tokens, f"doc_id {kind}, text_key long, h long, tf long").join(built.select("words").mapInArrow(vocabulary, "h long, c long"), "h", "left")
-    base = pairs.groupBy("doc_id", "text_key").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(low))).alias("base_score"),
-    )
-    # rows that repeat an id and text share one key: their sums hold as many times the value as there are rows
-    rows = scored.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"), F.first("n_tokens").alias("n_tokens"), F.first("score").alias("score"))
-    same = F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.text_key") == F.col("b.text_key"))
-    both = rows.alias("r").join(base.alias("b"), same).select("r.*", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"), (F.col("base_score") / F.col("times")).alias("base_score"))
-    return both.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("_")
+    return docs.mapInArrow(run, f"doc_id {kind}, {SCORES_SCHEMA}").select(*result)
+
+
+SCORES = ["n_tokens", "n_known", "base_score", "score"]
+SCORES_SCHEMA = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _scores(model: LogBloom, flat: np.ndarray, before: np.ndarray, size: np.ndarray, found: np.ndarray, counts: np.ndarray, back: np.ndarray) -> list[pa.Array]:
+    """``SCORES`` of consecutive texts: levels of every token and pair, exact counts of distinct tokens and where each stands."""
+    starts = np.cumsum(size) - size
+    known, base = (counts > 0).astype(np.int64)[back], np.log10((counts + 0.5) / (model.n + 0.5 * (model.v + 1)))[back]
+    return [pa.array(size), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model.log10(found, flat, before), starts))]
+
+
+def _chunk_arrays(texts: list[str]):
+    """A chunk's distinct tokens and pairs, ascending, and its texts in slices: rows, tokens, those before, sizes, and places among the distinct."""
+    memo, held = WordHashes(), []
+    for a, b in slices([], (len(t or "") for t in texts), 1_000_000):
+        flat, before, size = token_arrays(memo, texts[a:b])
+        held.append((a, b, flat, before, size, np.unique(flat, return_inverse=True), np.unique(pair_hashes(before, flat), return_inverse=True)))
+    distinct = [np.unique(np.concatenate([h[i][0] for h in held])) for i in (5, 6)]
+    return distinct, held
+
+
+def _asked(docs: DataFrame, built: DataFrame, shards: int, n: int, v: int, kind: str) -> DataFrame:
+    """(doc_id, SCORES) of every row, with levels and counts asked of the shards.
+
+    Documents are dealt to chunks by id and text; that exchange is read twice, by the chunks that ask and by
+    those that score. A question is a chunk's distinct hashes of one shard, tokens before pairs, both
+    ascending: a frequent n-gram is asked for once a chunk. Shards are ranges of hashes, so answers put
+    together by shard stand as the distinct hashes do.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(partitions_for(docs), -(-size // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
+    dealt = docs.select(chunk, "doc_id", "text").repartition(max(partitions_for(docs), -(-chunks // SHARDS_A_TASK)), "chunk")
+
+    def ask(key, table):
+        (tokens, pairs), _ = _chunk_arrays(table.column("text").to_pylist())
+        cuts = [np.searchsorted(shard_of(x, shards), np.arange(shards + 1)) for x in (tokens, pairs)]
+        some = np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0))
+        part = lambda i, x, s: x[cuts[i][s] : cuts[i][s + 1]]
+        data = [part(0, tokens, s).tobytes() + part(1, pairs, s).tobytes() for s in some]
+        return pa.table({"shard": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int64()), "n": pa.array(np.diff(cuts[0])[some], pa.int32()), "hashes": pa.array(data, pa.binary())})
+
+    def answer(key, parts, asked):
+        s = key[0].as_py()
+        model = LogBloom([(s, b) for b in parts.column("bits").to_pylist()], shards, 0, 0)
+        words = Vocabulary(parts.column("words").to_pylist())
+        found, counts = [], []
+        for first, data in zip(asked.column("n").to_pylist(), asked.column("hashes").to_pylist()):
+            hashes = np.frombuffer(data, np.uint64)
+            found.append(model.level(hashes).astype(np.uint8).tobytes())
+            counts.append(words.of(hashes[:first]).tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "levels": pa.array(found, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def score(_, table, answers):
+        (tokens, pairs), held = _chunk_arrays(table.column("text").to_pylist())
+        answers = answers.sort_by("shard")
+        counts = [np.frombuffer(c, np.int64) for c in answers.column("counts").to_pylist()]
+        found = [np.frombuffer(f, np.uint8) for f in answers.column("levels").to_pylist()]
+        of_tokens = np.concatenate([f[: len(c)] for f, c in zip(found, counts)])
+        of_pairs = np.concatenate([f[len(c) :] for f, c in zip(found, counts)])
+        counts = np.concatenate(counts)
+        model, out = LogBloom([], shards, n, v), []
+        for a, b, flat, before, size, own, both in held:
+            at, pair_at = np.searchsorted(tokens, own[0]), np.searchsorted(pairs, both[0])
+            levels_ = np.stack([of_tokens[at][own[1]], of_pairs[pair_at][both[1]]], 1)
+            ids = table.column("doc_id").slice(a, b - a).combine_chunks()
+            out.append(pa.Table.from_arrays([ids, *_scores(model, flat, before, size, levels_, counts[at], own[1])], names=["doc_id", *SCORES]))
+        return pa.concat_tables(out)
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "shard int, chunk long, n int, hashes binary")
+    model = built.select("shard", "words", "bits")
+    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "chunk long, shard int, levels binary, counts binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, {SCORES_SCHEMA}")

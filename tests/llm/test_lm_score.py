@@ -157,3 +157,20 @@ def test_scores_and_error_rate_are_the_same_however_little_is_broadcast(spark, m
     assert sorted(map(key, got)) == [(*k[:2], pytest.approx(k[2], rel=1e-12)) for k in sorted(map(key, whole))]
     assert L.filter_stats(seen[0]).first().false_positive_rate < 0.005
     assert len(L.groups_of(seen[0], 64)) > 1
+
+
+def test_a_model_in_many_parts_costs_no_pass_a_part(spark, monkeypatch):
+    """Texts are dealt once and written nowhere, however many groups of parts there are; scores and base scores stay."""
+    rows = rows_of(12)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    rows_ = lambda frame: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in frame.collect())
+    whole = rows_(L.score_documents(df, shard_bytes=2000))
+    written, checkpoint = [], L.shared_checkpoint
+    monkeypatch.setattr(L, "shared_checkpoint", lambda x: written.append(x.columns) or checkpoint(x))
+    monkeypatch.setattr(L, "CHUNK_BYTES", 4000)
+    asked = L.score_documents(df, most_filter_bytes=64, shard_bytes=2000)
+    assert len(written) == 1 and "text" not in written[0]
+    got = rows_(asked)
+    assert [g[:4] for g in got] == [w[:4] for w in whole]
+    assert all(g[4:] == pytest.approx(w[4:]) for g, w in zip(got, whole))
+    assert "ReusedExchange" in asked._jdf.queryExecution().executedPlan().toString()
