@@ -59,7 +59,7 @@ def month_changes(ledger: DataFrame) -> DataFrame:
     counted at the receiver: those that the month's own end still looks back at, and those that the next one does.
     """
     plain = (F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO)
-    leg = legs(ledger.withColumn("plain", plain), ("product", "plain")).withColumn("month", month_number(day_of(F.col("ts_unix")))).repartition("product", "address")  # the one exchange: sums by month and the running sum over them stay inside
+    leg = legs(ledger.withColumn("plain", plain), ("product", "plain")).repartition("product", "address").withColumn("month", month_number(day_of(F.col("ts_unix"))))  # the one exchange: sums by month and the running sum over them stay inside
     seen = lambda m: F.sum(F.when(F.col("plain") & F.col("is_in") & (day_of(F.col("ts_unix") + 1) > F.date_sub(month_end_day(m), DAYS_30 // DAY)), F.col("amount"))).cast(RAW)
     return leg.groupBy("product", "address", "month").agg(
         F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"), seen(F.col("month")).alias("own_volume"), seen(F.col("month") + 1).alias("next_volume")
