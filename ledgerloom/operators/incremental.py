@@ -17,17 +17,23 @@ REBUILD_SLACK = 0.005
 WARN_SHARE, MIN_NOTIONAL_USD = 0.05, 1_000_000
 
 
-def _of_units(rows: DataFrame, *measures) -> DataFrame:
-    """Measures by unit, to be joined back to rows: as many rows as there are configured products and networks."""
-    return F.broadcast(rows.groupBy(*KEYS).agg(*measures))
+def _of_unit(rows: DataFrame, measure: Column) -> Column:
+    """A row's unit's ``measure`` over ``rows``, null for units without rows.
+
+    One map of as many entries as there are configured products and networks, so that a filter on it needs no
+    join and goes down to the scan, ahead of any exchange below.
+    """
+    entry = F.struct(F.struct(*KEYS).alias("k"), F.col("_m"))
+    found = rows.groupBy(*KEYS).agg(measure.alias("_m")).agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    return F.try_element_at(found, F.struct(*KEYS))
 
 
 def since_cursor(ledger: DataFrame, cursor: DataFrame | None) -> DataFrame:
     """Rows from the start of each cursor's UTC day on; all rows of products and networks without one."""
     if cursor is None:
         return ledger
-    c = _of_units(cursor, (F.floor(F.max("last_ts") / DAY) * DAY).alias("_from"))
-    return ledger.join(c, KEYS, "left").where("_from is null or ts_unix >= _from").drop("_from")
+    begin = _of_unit(cursor, F.floor(F.max("last_ts") / DAY) * DAY)
+    return ledger.where(F.coalesce(F.col("ts_unix") >= begin, F.lit(True)))
 
 
 def drop_boundary(fetched: DataFrame, cursor: DataFrame | None) -> DataFrame:
@@ -46,9 +52,8 @@ def next_cursor(fresh: DataFrame, prior: DataFrame | None) -> DataFrame:
     seen = fresh.select(*KEYS, "ts_unix", "id")
     if prior is not None:
         seen = seen.unionByName(prior.select(*KEYS, F.col("last_ts").alias("ts_unix"), "id"))
-    last = _of_units(seen, F.max("ts_unix").alias("last_ts"))
-    day = lambda c: F.floor(F.col(c) / DAY)
-    return seen.join(last, KEYS).where(day("ts_unix") == day("last_ts")).select(*KEYS, "last_ts", "id").distinct()
+    last = _of_unit(seen, F.max("ts_unix"))
+    return seen.where(F.floor(F.col("ts_unix") / DAY) == F.floor(last / DAY)).select(*KEYS, last.alias("last_ts"), "id").distinct()
 
 
 def deltas(fresh: DataFrame, case_sensitive: Column | bool = False) -> DataFrame:

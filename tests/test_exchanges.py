@@ -20,3 +20,10 @@ def test_a_line_is_made_small_before_the_join(spark):
     line = below_join(derived_ledger(spark, SF).select("product", "from_addr", "value_raw")).split("\n")[1]
     assert "AS _part" in line and "AS _supplier" in line
     assert all(c.split("#")[0] not in ("l_partkey", "l_suppkey") for c in line[line.index("[") + 1 :].split(", ") if " AS " not in c and "(" not in c)
+
+
+def test_cursor_limits_reach_the_scan(spark):
+    ledger = derived_ledger(spark, SF)
+    cursor = incremental.next_cursor(ledger, None)
+    for df in (cursor, incremental.since_cursor(ledger, cursor)):
+        assert "scalar-subquery" in below_join(df)
