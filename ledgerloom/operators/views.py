@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import RAW, tokens, usd_micro
-from ..sources.ledger import ZERO
+from ..sources.ledger import DAY, ZERO
 
 
 def month_deltas(readings: DataFrame) -> DataFrame:
@@ -28,10 +28,16 @@ def latest(df: DataFrame, order: str, n: int = 1) -> DataFrame:
 def recent_large_transfers(ledger: DataFrame, products: DataFrame, usd: float = 1e6, scanned: int = 200, shown: int = 10) -> DataFrame:
     """Of each product's latest ``scanned`` transfers those above ``usd``, at most ``shown``, newest first (ties by id).
 
-    The limit comes before the filter, as in a feed that is read page by page.
+    The limit comes before the filter, as in a feed that is read page by page. Days are counted first, so
+    that only rows of the days that hold the latest ones are read with all their columns.
     """
     w = Window.partitionBy("product").orderBy(F.desc("ts_unix"), "id")
-    x = ledger.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= scanned)
+    day = F.floor(F.col("ts_unix") / DAY)
+    newest = Window.partitionBy("product").orderBy(F.desc("_d"))  # a row a day
+    days = ledger.groupBy("product", day.alias("_d")).agg(F.count("*").alias("_c")).withColumn("_c", F.sum("_c").over(newest))
+    first = days.groupBy("product").agg(F.coalesce(F.max(F.when(F.col("_c") >= scanned, F.col("_d"))), F.min("_d")).alias("_d"))
+    begin = first.where("product is not null").agg(F.map_from_entries(F.collect_list(F.struct("product", "_d")))).scalar()  # an entry a product
+    x = ledger.where(day >= F.try_element_at(begin, F.col("product"))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= scanned)
     x = x.drop("decimals").join(F.broadcast(products.select("product", "decimals", "nav_usd")), "product")
     x = x.withColumns({"amount": tokens(F.col("value_raw"), F.col("decimals")), "value_micro": usd_micro(F.col("value_raw"), F.col("decimals"), F.col("nav_usd"))})
     x = x.where(F.col("amount") > usd / F.col("nav_usd")).withColumn("rank", F.row_number().over(Window.partitionBy("product").orderBy("_n"))).where(F.col("rank") <= shown)

@@ -27,3 +27,7 @@ def test_cursor_limits_reach_the_scan(spark):
     cursor = incremental.next_cursor(ledger, None)
     for df in (cursor, incremental.since_cursor(ledger, cursor)):
         assert "scalar-subquery" in below_join(df)
+
+
+def test_latest_transfers_are_read_from_their_days_only(spark):
+    assert "scalar-subquery" in below_join(views.recent_large_transfers(derived_ledger(spark, SF), products(spark), 30.0))
