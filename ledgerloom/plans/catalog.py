@@ -271,7 +271,7 @@ aum AS (SELECT *, aum_micro::DOUBLE / 1000000 AS aum_usd FROM micros)"""
 
 
 def _aum(spark, sf_dir) -> DataFrame:
-    points = supply.daily_supply(derived_ledger(spark, sf_dir))
+    points = supply.daily_supply(derived_ledger(spark, sf_dir).where("kind in ('mint', 'burn')"))  # others leave supply alone
     return supply.with_aum(supply.gap_fill(points, ["product"], "day", "supply_raw"), products(spark))
 
 

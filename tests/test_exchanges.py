@@ -31,3 +31,7 @@ def test_cursor_limits_reach_the_scan(spark):
 
 def test_latest_transfers_are_read_from_their_days_only(spark):
     assert "scalar-subquery" in below_join(views.recent_large_transfers(derived_ledger(spark, SF), products(spark), 30.0))
+
+
+def test_supply_reads_mints_and_burns_only(spark):
+    assert "IN (mint,burn)" in below_join(catalog._latest_aum(spark, SF))
