@@ -25,7 +25,7 @@ def ordered_scan(
     ``number`` names a row number from 1; ``sums`` are running sums of exact integers; ``lasts`` the last
     value that isn't null. Rows of a key that agree in ``at`` and ``ties`` stand in any order. A step of one key is never
     cut, so it should be short enough for a task. Two passes over ``rows``; the table between them has
-    a row a key and step.
+    a row a key and step. It is kept, so that its size is known and rows aren't shuffled to meet it while it is small.
     """
     sums, lasts = sums or {}, lasts or {}
     place = F.struct(at, *ties)
@@ -44,6 +44,8 @@ def ordered_scan(
     names = ["_n", *(f"_s_{n}" for n in sums), *(f"_l_{n}" for n in lasts)]
     steps = steps.select(*keys, "_step", "_piece", *(F.first(c).over(first).alias(c) for c in names))
 
+    steps = steps.persist()
+    steps.count()
     dealt = stepped.join(steps, [*keys, "_step"])
     inside = Window.partitionBy(*keys, "_piece").orderBy(at, *ties)
     run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -35,3 +35,15 @@ def test_latest_transfers_are_read_from_their_days_only(spark):
 
 def test_supply_reads_mints_and_burns_only(spark):
     assert "IN (mint,burn)" in below_join(catalog._latest_aum(spark, SF))
+
+
+def test_ordered_rows_do_not_move_to_meet_small_steps(spark):
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "100000")
+    try:
+        got = ordered_scan(rows, ["k"], "t", [], number="n", step=10_000, piece=50_000)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert got.where("n <> floor(t / 2) + 1").count() == 0
+    finally:
+        spark.conf.set(key, before)
