@@ -52,76 +52,104 @@ def blocks(first: Column, last: Column, levels: int = LEVELS) -> Column:
     return F.when(a <= b, F.concat(F.array(*found), whole)).otherwise(F.array(*found))
 
 
+def month_legs(ledger: DataFrame) -> DataFrame:
+    """(product, address, amount, ts_unix, is_in, plain, month): what months need of each transfer, dealt by wallet.
+
+    Transfers without a holder at either end stand as nothing for the address '', since their times count for the calendar;
+    those without a time are left out.
+
+    What is exchanged is four columns, of which every reader needs each: time, direction and whether a transfer is plain
+    are one number, and a product is never null. So readers that differ in the measures they use share the exchange.
+    """
+    plain = F.coalesce((F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO), F.lit(False))
+    holder = lambda c: F.coalesce(F.lower(F.col(c)) != ZERO, F.lit(False))
+    nobody = ~(holder("from_addr") | holder("to_addr"))
+    ledger = ledger.where("ts_unix is not null").select(
+        F.coalesce("product", F.lit("")).alias("product"), "ts_unix", plain.alias("plain"), "from_addr", F.when(nobody, "").otherwise(F.col("to_addr")).alias("to_addr"), F.when(nobody, F.lit(0).cast(RAW)).otherwise(F.col("value_raw").cast(RAW)).alias("value_raw")
+    )
+    packed = F.col("ts_unix") * 4 + F.col("plain").cast("long") * 2 + F.col("is_in").cast("long")
+    leg = legs(ledger, ("product", "plain")).select("product", "address", packed.alias("_when"), "amount").repartition("product", "address")  # the one exchange: sums by month and the running sum over them stay inside
+    ts, received = F.shiftright("_when", 2), F.col("_when").bitwiseAND(1) == 1
+    return leg.select("product", "address", "amount", ts.alias("ts_unix"), received.alias("is_in"), (F.col("_when").bitwiseAND(2) == 2).alias("plain"), month_number(day_of(ts)).alias("month"))
+
+
 def month_changes(ledger: DataFrame) -> DataFrame:
-    """(product, address, month, net, out_ts, own_volume, next_volume): all that months need of a ledger, in one pass.
+    """(product, address, month, net, out_ts): what a wallet gained in each month it took part in, and its last outbound transfer."""
+    return month_legs(ledger).groupBy("product", "address", "month").agg(F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"))
+
 
-    ``net`` is what a wallet gained, ``out_ts`` its last outbound transfer. Volumes are of plain transfers and
-    counted at the receiver: those that the month's own end still looks back at, and those that the next one does.
+def month_flows(ledger: DataFrame) -> DataFrame:
+    """(product, month, supply, own_volume, next_volume, first_ts, last_ts): what needs no wallet.
+
+    Supply is what all wallets gained. Volumes are of plain transfers and counted at the receiver: those that the
+    month's own end still looks back at, and those that the next one does.
     """
-    plain = (F.col("from_addr") != ZERO) & (F.col("to_addr") != ZERO)
-    leg = legs(ledger.withColumn("plain", plain), ("product", "plain")).repartition("product", "address").withColumn("month", month_number(day_of(F.col("ts_unix"))))  # the one exchange: sums by month and the running sum over them stay inside
     seen = lambda m: F.sum(F.when(F.col("plain") & F.col("is_in") & (day_of(F.col("ts_unix") + 1) > F.date_sub(month_end_day(m), DAYS_30 // DAY)), F.col("amount"))).cast(RAW)
-    return leg.groupBy("product", "address", "month").agg(
-        F.sum("amount").cast(RAW).alias("net"), F.max(F.when(~F.col("is_in"), F.col("ts_unix"))).alias("out_ts"), seen(F.col("month")).alias("own_volume"), seen(F.col("month") + 1).alias("next_volume")
+    return month_legs(ledger).groupBy("product", "month").agg(
+        F.sum("amount").cast(RAW).alias("supply"), seen(F.col("month")).alias("own_volume"), seen(F.col("month") + 1).alias("next_volume"), F.min("ts_unix").alias("first_ts"), F.max("ts_unix").alias("last_ts")
     )
 
 
-def top_floor(held: DataFrame, k: int = 5, groups: int = 16) -> DataFrame:
-    """(product, month, floor): a balance that the k-th largest of the month is never below; null where fewer than k groups hold anything.
+def top_floor(largest: Column, k: int = 5) -> Column:
+    """A balance that the k-th largest of a month is never below, of the largest balances of groups of wallets among those that changed in the month; null where fewer than k groups hold anything.
 
-    Wallets fall into ``groups`` groups; the k-th largest of the groups' largest balances among those that
-    changed in the month is reached by k wallets. Plain sums and maxima, no sort of the wallets.
+    The k-th largest of the groups' largest is reached by k wallets. Plain maxima, no sort of the wallets.
     """
-    largest = held.groupBy("product", "month", F.pmod(F.hash("address"), F.lit(groups)).alias("_g")).agg(F.max("balance").alias("b"))
-    return largest.groupBy("product", "month").agg(F.get(F.sort_array(F.collect_list("b"), False), F.lit(k - 1)).alias("floor"))
+    return F.get(F.sort_array(F.collect_list(largest), False), F.lit(k - 1))
 
 
-def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame) -> DataFrame:
-    """One row a (month, product): AUM, holders, top-5 share, dormant share, 30-day volume and velocity.
+def product_months(ledger: DataFrame, products: DataFrame, groups: int = 16) -> DataFrame:
+    """One row a (month, product), from the first transfer's month to the last complete one: AUM, holders, top-5 share, dormant share, 30-day volume and velocity.
 
     Nothing is replayed a month and no wallet is stretched over its months. The ledger is read once into
-    ``month_changes``; a running sum gives the balance from each change to the next, an interval of months.
+    ``month_legs``; over ``month_changes`` a running sum gives the balance from each change to the next, an interval of months.
     Counts, sums, supply and volumes are differences at an interval's ends, summed up month by month: an
     interval is dormant from the first month-end that lies beyond the trailing window of its last outbound
     transfer, and supply is what all wallets gained, since plain transfers cancel. For the top 5 only
     intervals that reach the lowest ``top_floor`` of their months count, some hundred a month; each goes to the few
     blocks of a binary tree of months that make it up, each block keeps its five largest, and a
-    month's five are among those of the blocks above it. Shuffles: one by (product, address), the others of
-    pre-aggregated rows by (product, month) or (product, block).
+    month's five are among those of the blocks above it.
+
+    Shuffles: one by (product, address), which ``month_flows``, the sums by month and the pass for the top 5 share; the
+    others of pre-aggregated rows by (product, month) or (product, block). The sums by month are gathered into a row a
+    product with its floors and the ledger's first and last time, so calendar, floors and measures come from one pass.
     """
-    last = F.broadcast(calendar.agg(F.max("month").alias("last"), F.min("month").alias("first")))  # one row
     w = Window.partitionBy("product", "address").orderBy("month")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     x = month_changes(ledger).withColumns({"balance": F.sum("net").over(so_far).cast(RAW), "last_out": F.max("out_ts").over(so_far), "next": F.lead("month").over(w)})
-    x = x.join(last).withColumn("until", F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last")).cast("int"))
     seen = F.col("last_out") + DAYS_90
     own = month_number(day_of(seen))  # its month-end is the first at or after ``seen``
     still = F.when(F.col("last_out").isNull(), F.col("month")).otherwise(F.greatest(F.col("month"), own + F.when(month_end_unix(own) <= seen, 1).otherwise(0)))
     size = F.col("balance").cast("double").desc()  # settles most comparisons without touching a wide decimal
     top = Window.partitionBy("product", "level", "block").orderBy(size, F.desc("balance"), "address")
     zero, nothing = F.lit(0).cast(RAW), F.lit(None).cast(RAW)
+    b, after = F.col("balance"), F.col("next")  # the last interval is open; months after the calendar fall away at the end
+    holds = b > 0
+    dormant = holds & F.coalesce(F.col("still") < after, F.lit(True))
+
+    def event(month: Column, n: int, total: Column, dormant: Column) -> Column:
+        return F.struct(month.cast("long").alias("month"), F.lit(n).alias("n"), total.cast(RAW).alias("total"), dormant.cast(RAW).alias("dormant"))
+
+    ends = F.array(event(F.col("month"), 1, b, nothing), event(after, -1, -b, nothing), event(F.when(dormant, F.col("still")), 0, nothing, b), event(F.when(dormant, after), 0, nothing, -b))
+    group = F.pmod(F.hash("address"), F.lit(groups)).alias("_g")
+    events = x.where(holds).withColumn("still", still).select("product", group, F.explode(ends).alias("e")).select("product", "_g", "e.*").where("month is not null")
+    counts = [F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in ("total", "dormant"))]
+    held = events.groupBy("product", "month", "_g").agg(*counts, F.max("total").alias("_b"))  # the largest total is that of a balance that begins, if any does
+    held = held.groupBy("product", "month").agg(*counts, top_floor(F.when(F.col("_b") > 0, F.col("_b"))).alias("floor"))
+    flow = lambda month, **values: F.struct(F.expr(month).cast("long").alias("month"), *(F.col(values[c]).alias(c) if c in values else F.lit(None).cast(t).alias(c) for c, t in (("supply", RAW), ("volume", RAW), ("first_ts", "long"), ("last_ts", "long"))))
+    flows = month_flows(ledger).select("product", F.explode(F.array(flow("month", supply="supply", volume="own_volume", first_ts="first_ts", last_ts="last_ts"), flow("month + 1", volume="next_volume"))).alias("e")).select("product", "e.*")  # a row or two a month
     names = ("n", "total", "dormant", "supply", "volume")
-
-    def event(month: Column, **values: Column) -> Column:
-        return F.struct(month.cast("long").alias("month"), *((values.get(c, nothing) if c != "n" else values.get(c, F.lit(0))).alias(c) for c in names))
-
-    b, after = F.col("balance"), F.col("until") + 1
-    holds = (b > 0) & (F.col("until") >= F.col("month"))
-    dormant = holds & (F.col("still") <= F.col("until"))
-    ends = F.array(
-        event(F.col("month"), supply=F.col("net"), volume=F.col("own_volume"), n=F.when(holds, 1).otherwise(0), total=F.when(holds, b)),
-        event(F.when(F.col("next_volume").isNotNull(), F.col("month") + 1), volume=F.col("next_volume")), event(F.when(holds, after), n=F.lit(-1), total=-b),
-        event(F.when(dormant, F.col("still")), dormant=b), event(F.when(dormant, after), dormant=-b),
-    )
-    events = x.withColumn("still", still).select("product", F.explode(ends).alias("e")).select("product", "e.*").where("month is not null")
-    steps = events.groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in names[1:]))
-    run = Window.partitionBy("product").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
-    held = x.where(holds).select("product", "address", "balance", F.col("month").cast("int").alias("month"), "until", "first", "last")
-    floors = top_floor(held)
+    steps = held.unionByName(flows, allowMissingColumns=True).groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in names[1:]), F.max("floor").alias("floor"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    lines = steps.groupBy("product").agg(F.collect_list(F.struct("month", *names, "floor", "first_ts", "last_ts")).alias("line"))  # a row a product, a step a month; read by all below
+    steps = lines.select("product", F.explode("line").alias("s")).select("product", "s.*")
+    calendar = month_calendar(steps, "first_ts", "last_ts")
     grid = calendar.select("month").crossJoin(F.broadcast(products.select("product")))  # months x the products dimension
-    line = grid.join(floors, ["product", "month"], "left").groupBy("product").agg(F.transform(F.array_sort(F.collect_list(F.struct("month", F.coalesce("floor", zero).alias("floor")))), lambda m: m["floor"]).alias("floors"))  # an array a product
-    lowest = F.array_min(F.slice("floors", F.col("month") - F.col("first") + 1, F.col("until") - F.col("month") + 1))
-    large = held.join(F.broadcast(line), "product").where(F.col("balance") >= lowest)
+    run = Window.partitionBy("product").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
+    floor = F.struct("month", F.coalesce("floor", zero).alias("floor"))
+    floors = grid.join(steps.select("product", "month", "floor"), ["product", "month"], "left").groupBy("product").agg(F.transform(F.array_sort(F.collect_list(floor)), lambda m: m["floor"]).alias("floors"), F.min("month").alias("first"), F.max("month").alias("last"))  # an array a product
+    until = F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("last")).cast("int")
+    lowest = F.array_min(F.slice("floors", F.col("month") - F.col("first") + 1, F.greatest(F.col("until") - F.col("month") + 1, F.lit(0))))  # null after the calendar's end
+    large = x.where(holds).join(F.broadcast(floors), "product").withColumn("month", F.col("month").cast("int")).withColumn("until", until).where(F.col("balance") >= lowest)
     large = large.select("product", "address", "balance", F.explode(blocks(F.col("month"), F.col("until"))).alias("t")).where("t is not null").select("product", "address", "balance", "t.*")
     large = large.withColumn("_r", F.row_number().over(top)).where("_r <= 5").drop("_r")
     above = calendar.select("month", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(F.col("month").cast("int"), i).alias("block")) for i in range(LEVELS + 1)))).alias("t")).select("month", "t.*")
@@ -129,7 +157,7 @@ def product_months(ledger: DataFrame, calendar: DataFrame, products: DataFrame)
     five = large.join(F.broadcast(above), ["level", "block"]).withColumn("_r", F.row_number().over(by_month)).where("_r <= 5").groupBy("product", "month").agg(F.sum("balance").cast(RAW).alias("top5"))
 
     # one exchange by (product, month) brings all measures together, months without any included
-    rows = grid.unionByName(steps, allowMissingColumns=True).unionByName(five, allowMissingColumns=True)
+    rows = grid.unionByName(steps.select("product", "month", *names), allowMissingColumns=True).unionByName(five, allowMissingColumns=True)
     x = rows.groupBy("product", "month").agg(F.sum("n").alias("n"), *(F.sum(c).cast(RAW).alias(c) for c in ("total", "dormant", "supply", "top5", "volume")))
     total = lambda c: F.coalesce(F.sum(c).over(run), F.lit(0))
     x = x.withColumns({"holder_count": total("n"), **{c: total(c).cast(RAW) for c in ("total", "dormant", "supply")}})

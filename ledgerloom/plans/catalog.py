@@ -352,8 +352,7 @@ readings AS (SELECT *, {rs(" + ".join(f"coalesce({f.weight}::DOUBLE / present *
 
 
 def _product_months(spark, sf_dir) -> DataFrame:
-    ledger = derived_ledger(spark, sf_dir)
-    return index.product_months(ledger, index.month_calendar(ledger), products(spark))
+    return index.product_months(derived_ledger(spark, sf_dir), products(spark))
 
 
 def _factors(spark, sf_dir) -> DataFrame:

@@ -47,3 +47,33 @@ def test_ordered_rows_do_not_move_to_meet_small_steps(spark):
         assert got.where("n <> floor(t / 2) + 1").count() == 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_months_deal_transfers_by_wallet_once(spark):
+    """Calendar, flows, sums by month and the pass for the top 5 share one exchange of transfers, and so one join of lines."""
+    key, before = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(key, "false")  # so that the plan shows what is used again
+    try:
+        plan = catalog.factor_inputs(spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set(key, before)
+    made = [line for line in plan if "ReusedExchange" not in line]
+    assert sum("REPARTITION_BY_COL" in line for line in made) == 1
+    assert sum("FileScan parquet" in line and "l_orderkey" in line for line in made) == 1
+
+
+def test_months_of_transfers_without_product_holder_or_time(spark):
+    """Such transfers are of no wallet; the calendar still begins and ends with them if they have a time."""
+    from decimal import Decimal
+
+    from ledgerloom.operators import index
+    from ledgerloom.sources.ledger import LEDGER_SCHEMA, ZERO, unix
+
+    row = lambda product, at, a, b, v: (product, "n0", "i", "h", at, a, b, Decimal(v))
+    rows = [
+        row("p0", unix(2020, 1, 5), ZERO, ZERO, 7), row("p0", unix(2020, 2, 5), ZERO, "a", 3_000_000), row("p0", unix(2020, 2, 28), "a", "b", 1_000_000),
+        row(None, unix(2020, 4, 30), ZERO, "a", 5), row("p0", None, ZERO, "a", 9_000_000),
+    ]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_SCHEMA.fields)
+    got = index.product_months(spark.createDataFrame(rows, schema), products(spark)).where("product = 'p0'").orderBy("month").collect()
+    assert [(str(r.month_end), r.aum_micro, r.holder_count, r.volume_micro) for r in got] == [("2020-01-31", 0, 0, 0), ("2020-02-29", 3_000_000, 2, 1_000_000), ("2020-03-31", 3_000_000, 2, 0), ("2020-04-30", 3_000_000, 2, 0)]
