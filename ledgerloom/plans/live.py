@@ -47,17 +47,22 @@ def bucketed_state_merge(spark, sf_dir):
 
 @query(_REPLAY_SQL)
 def stream_wallet_state(spark, sf_dir):
-    """The ledger in three batches of which each repeats rows of the one before; ids once, wallets kept by the state store."""
+    """The ledger in three batches of which each repeats rows of the one before; ids once, wallets kept by the state store.
+
+    Disk: a batch that was read is deleted, and ids are state; the routed table keeps them for late rows only, which a rebuild would ask for.
+    """
     from ..streaming import keyed, streams
 
     base = scratch(spark, "wallets")
     part = F.pmod(F.xxhash64("id"), F.lit(9))
     batches = F.array_compact(F.array(F.when(part < 4, "1"), F.when(part.between(3, 6), "2"), F.when(part >= 6, "3")))
-    for batch in streams.stage_batches(_rows(spark, sf_dir), batches, base):
+    rows = _rows(spark, sf_dir).drop("hash")
+    for batch in streams.stage_batches(rows, batches, base):
         streams.arrive(spark, base, batch)
-        source = streams.ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA)
-        keyed.write_routed(keyed.route(source, 10_000, period_days=ID_DAYS), f"{base}/routed", f"{base}/ck1").awaitTermination()
-    keyed.maintain_wallets(keyed.stream_routed(spark, f"{base}/routed", LEDGER_SCHEMA), f"{base}/ck2").awaitTermination()
+        source = streams.ledger_stream(spark, f"{base}/in", rows.schema, consume=True)
+        routed = keyed.route(source, 10_000, period_days=ID_DAYS).withColumn("id", F.when(F.col("late"), F.col("id")))
+        keyed.write_routed(routed, f"{base}/routed", f"{base}/ck1").awaitTermination()
+    keyed.maintain_wallets(keyed.stream_routed(spark, f"{base}/routed", rows.schema), f"{base}/ck2").awaitTermination()
     return keyed.wallet_state(spark, f"{base}/ck2")
 
 
@@ -79,7 +84,7 @@ def stream_late_rows(spark, sf_dir):
     batches = F.array_compact(F.array(*(F.when(some, str(i)) for i, some in enumerate(parts, 1))))
     for batch in streams.stage_batches(_rows(spark, sf_dir), batches, base):
         streams.arrive(spark, base, batch)
-        source = streams.ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA)
+        source = streams.ledger_stream(spark, f"{base}/in", LEDGER_SCHEMA, consume=True)
         keyed.write_routed(keyed.route(source, 90, period_days=60), f"{base}/routed", f"{base}/ck").awaitTermination()
     return keyed.routed(spark, f"{base}/routed").select(*PN, "id", "late")
 

@@ -3,15 +3,17 @@
 Two queries, joined by an append-only table, each resumed from its own checkpoint:
 
 * ``route`` lets each id through once and marks rows behind the watermark. State is keyed by (unit, period of
-  the row, bucket of the id) and holds that period's ids; a batch reads and appends only under the periods it
-  has rows of, and a timer drops a period once the watermark has passed it. So work a batch doesn't grow with
-  history, and neither does state beyond the horizon.
+  the row, bucket of the id) and holds that period's ids, a compressed block of them for each batch; a batch reads
+  and appends only under the periods it has rows of, and a timer drops a period once the watermark has passed it.
+  So work a batch doesn't grow with history, and neither does state beyond the horizon.
 * ``wallet_totals`` is a streaming aggregation: sums and minima by wallet after partial sums, a hot
   address being one row a task and batch. The store keeps it; ``wallet_state`` reads it.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,10 +25,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.numbers import RAW
 from ..operators.replay import legs
 from ..sources.ledger import DAY
+from .streams import lean
 
 UNIT = ["product", "network"]
 #: Buckets of a unit's period: how many tasks the ids of a busy one are spread over.
 ID_BUCKETS = 64
+#: Ids of one block of state, at most.
+BLOCK_IDS = 50_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,6 +41,16 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def pack_ids(ids: list[str]) -> list[bytes]:
+    """Blocks of the whole ids; in order their beginnings repeat, so that a block is a fraction of the text."""
+    ids = sorted(ids, key=str)
+    return [zlib.compress(json.dumps(ids[i : i + BLOCK_IDS], ensure_ascii=False, separators=(",", ":")).encode()) for i in range(0, len(ids), BLOCK_IDS)]
+
+
+def unpack_ids(block: bytes) -> list[str]:
+    return json.loads(zlib.decompress(block))
+
+
 class _OncePerPeriod(StatefulProcessor):
     """Rows of one (unit, period, bucket): new ids pass, known ones don't, rows behind the watermark pass marked."""
 
@@ -44,13 +59,13 @@ class _OncePerPeriod(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ids = handle.getListState("ids", T.StructType([T.StructField("id", T.StringType())]))
+        self.ids = handle.getListState("ids", T.StructType([T.StructField("block", T.BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
         had = self.ids.exists()
-        known = {x[0] for x in self.ids.get()} if had else set()
-        added: list[tuple[str]] = []
+        known = {i for x in self.ids.get() for i in unpack_ids(x[0])} if had else set()
+        added: list[str] = []
         for batch in rows:
             late = batch["ts_unix"] * 1000 < mark
             keep = []
@@ -58,13 +73,13 @@ class _OncePerPeriod(StatefulProcessor):
                 new = not behind and i not in known
                 if new:
                     known.add(i)
-                    added.append((i,))
+                    added.append(i)
                 keep.append(behind or new)
             some = batch.loc[keep, self.columns]
             if len(some):
                 yield some.assign(late=late[keep])
         if added:
-            self.ids.appendList(added)
+            self.ids.appendList([(block,) for block in pack_ids(added)])
             if not had:
                 self.handle.registerTimer((int(key[2]) + 1) * self.period * 1000)
 
@@ -91,7 +106,9 @@ def route(stream: DataFrame, horizon_days: int, buckets: int = ID_BUCKETS, perio
 
 def write_routed(routed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to a table partitioned by ``late``; a batch that is run again replaces its own files."""
-    return routed.writeStream.format("parquet").partitionBy("late").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = routed.writeStream.format("parquet").partitionBy("late").option("compression", "zstd").option("path", path)
+    with lean(routed.sparkSession):
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def routed(spark: SparkSession, path: str) -> DataFrame:
@@ -117,9 +134,10 @@ def maintain_wallets(stream: DataFrame, checkpoint: str, path: str | None = None
     """Keep wallets in the state store; with ``path`` each batch's changed wallets are also written there, as ``batch=n``."""
     use_rocksdb(stream.sparkSession)
     writer = wallet_totals(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if path is None:
-        return writer.format("noop").start()
-    return writer.foreachBatch(lambda changed, n: changed.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
+    with lean(stream.sparkSession):
+        if path is None:
+            return writer.format("noop").start()
+        return writer.foreachBatch(lambda changed, n: changed.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
 
 
 def wallet_state(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -7,6 +7,9 @@ harmless, and an id that comes again in a later batch is known, which makes rede
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,8 +19,23 @@ from ..sources.ledger import DAY
 from ..sources.store import VersionedStore
 
 
-def ledger_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Writes run, and streams started, in here drop an exchange's files with the batch that made them, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def ledger_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, consume: bool = False) -> DataFrame:
+    """Files of ``path`` as a stream; with ``consume`` those of a committed batch are deleted, for copies that nothing else reads."""
     reader = spark.readStream.schema(schema)
+    if consume:
+        reader = reader.option("cleanSource", "delete")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
@@ -67,7 +85,8 @@ def stage_batches(rows: DataFrame, batches: Column, path: str) -> list[str]:
 
     What a batch holds is settled by its folder, not by a number of files, so no task has to write or read a batch alone.
     """
-    rows.withColumn("_batch", F.explode(batches)).write.partitionBy("_batch").parquet(f"{path}/staged")
+    with lean(rows.sparkSession):
+        rows.withColumn("_batch", F.explode(batches)).write.partitionBy("_batch").option("compression", "zstd").parquet(f"{path}/staged")
     files = _files(rows.sparkSession, path)
     return sorted(s.getPath().getName().split("=")[1] for s in files.listStatus(_path(rows.sparkSession, f"{path}/staged")) if "=" in s.getPath().getName())
 
