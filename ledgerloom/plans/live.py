@@ -190,7 +190,7 @@ def stream_twin_dedup(spark, sf_dir):
     for batch in "123":
         for name in feeds:
             streams.arrive(spark, f"{base}/{name}", batch)
-        live = [streams.ledger_stream(spark, f"{base}/{name}/in", last.select(cols).schema) for name in feeds]
+        live = [streams.ledger_stream(spark, f"{base}/{name}/in", last.select(cols).schema, consume=True) for name in feeds]
         twins.write_twins(twins.one_of_twins(live, owners, apart_days=4000, delay_days=4000), f"{base}/out", f"{base}/ck").awaitTermination()
     return spark.read.parquet(f"{base}/out").where("hash <> 'end'").select("hash", "from_addr", "to_addr", "value_raw", "id")
 
